@@ -170,19 +170,20 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, prefix: str = "dc_") -> DataFrame:
     """Each row of docs with what the items hit in it.
 
-    Adds ``dc_words`` (words of the text), ``dc_spans`` (ranges of words, half open, covered by windows
-    of n item words; an item of fewer words is one window) and ``dc_items`` (ids of items with occurring
-    windows, as strings, sorted, each once). Null and empty texts have no words and no hits; items
+    Adds, their names after prefix, ``words`` (words of the text), ``spans`` (ranges of words, half open,
+    covered by windows of n item words; an item of fewer words is one window) and ``items`` (ids of items
+    with occurring windows, as strings, sorted, each once). Null and empty texts have no words and no hits; items
     without words never match; a null item id counts as the empty string; rows repeated in docs are
     judged each for itself; an empty items table hits nothing. Existing columns of those three names are
     replaced.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("dc_words", "dc_spans", "dc_items")]
-    out = docs.select(*kept).withColumns({"dc_words": F.lit(None).cast("long"), "dc_spans": F.lit(None).cast(_SPANS), "dc_items": F.lit(None).cast("array<string>")})
+    n_words, ranges, names_ = f"{prefix}words", f"{prefix}spans", f"{prefix}items"
+    kept = [c for c in docs.columns if c not in (n_words, ranges, names_)]
+    out = docs.select(*kept).withColumns({n_words: F.lit(None).cast("long"), ranges: F.lit(None).cast(_SPANS), names_: F.lit(None).cast("array<string>")})
     schema = out.schema
     blocks = _blocks(items, item_id, item_text, block_words)
     block = next(blocks, [])
@@ -193,7 +194,7 @@ def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", it
             automaton = sent.value
             for batch in batches:
                 sizes, spans, ids = [], [], []
-                before = zip(batch.column("dc_spans").to_pylist(), batch.column("dc_items").to_pylist(), strict=True)
+                before = zip(batch.column(ranges).to_pylist(), batch.column(names_).to_pylist(), strict=True)
                 for t, (old, names) in zip(batch.column(text).to_pylist(), before, strict=True):
                     ws = words(t)
                     hit, found = automaton.scan(ws)
@@ -202,7 +203,7 @@ def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", it
                     sizes.append(len(ws))
                     spans.append([{"start": a, "stop": b} for a, b in hit])
                     ids.append(sorted({"" if automaton.names[k] is None else str(automaton.names[k]) for k in found} | set(names or [])))
-                put = {"dc_words": pa.array(sizes, pa.int64()), "dc_spans": pa.array(spans, batch.schema.field("dc_spans").type), "dc_items": pa.array(ids, pa.list_(pa.string()))}
+                put = {n_words: pa.array(sizes, pa.int64()), ranges: pa.array(spans, batch.schema.field(ranges).type), names_: pa.array(ids, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([put.get(f.name, batch.column(k)) for k, f in enumerate(batch.schema)], names=batch.schema.names)
 
         out = out.mapInArrow(run, schema)
@@ -245,14 +246,14 @@ def remove(docs: DataFrame, items: DataFrame, n: int = 10, coverage: float = 0.5
     such a column, follows the cut text.
     """
     kept, schema = docs.columns, docs.schema
-    found = match(docs, items, n, text)
+    found = match(docs, items, n, text, prefix="__dc_")
 
     def apply(batches):
         for batch in batches:
             own = batch.select(kept)
-            texts, sizes = own.column(text).to_pylist(), batch.column("dc_words").to_pylist()
+            texts, sizes = own.column(text).to_pylist(), batch.column("__dc_words").to_pylist()
             stay, cuts = [], {}
-            for k, spans in enumerate(batch.column("dc_spans").to_pylist()):
+            for k, spans in enumerate(batch.column("__dc_spans").to_pylist()):
                 spans = [(s["start"], s["stop"]) for s in spans]
                 hit = sum(b - a for a, b in spans)
                 stay.append(hit <= coverage * sizes[k])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, packing, sharding
+from . import decontaminate, fingerprint, langid, neardup, packing, sharding
 from .common import table
 
 #: The vocabulary that op2 and the pipeline tokenise with.
@@ -31,12 +31,20 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"), folds=5)
+
+
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
