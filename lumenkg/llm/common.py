@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of a filter. It has at most BITS / 64 rows, 4 MB, whatever it is made from.
+BITS = 1 << 23
+
+
+def bit_filter(df: DataFrame, key: Column) -> DataFrame:
+    """A set of keys (longs) as bits: rows (word, bits), at most BITS / 64 of them."""
+    at = F.pmod(key, F.lit(BITS))
+    return df.select((at / 64).cast("int").alias("word"), F.pmod(at, F.lit(64)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def flagged(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: false only where the key is not in the set of the filter, which is small enough to broadcast."""
+    at = F.pmod(key, F.lit(BITS))
+    own = bits.select(F.col("word").alias(f"{name}_word"), F.col("bits").alias(f"{name}_bits"))
+    met = df.withColumn(f"{name}_at", at).join(F.broadcast(own), (F.col(f"{name}_at") / 64).cast("int") == F.col(f"{name}_word"), "left")
+    hit = F.coalesce(F.expr(f"getbit({name}_bits, cast({name}_at % 64 as int))") == 1, F.lit(False))
+    return met.withColumn(name, hit).drop(f"{name}_word", f"{name}_bits", f"{name}_at")

@@ -9,8 +9,11 @@ one of them is at most half full; it and the roomiest others are all that a late
 
 from __future__ import annotations
 
+import sys
 import zlib
-from bisect import insort
+from array import array
+from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,14 @@ GROUP_PIECES, FAN_IN = 65_536, 16
 #: Roomy bins that a group hands on beside the one that is at most half full.
 CARRY = 64
 #: Distinct words whose ids a Python worker remembers at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Tokens:
@@ -46,14 +56,14 @@ class Tokens:
         self.stops = {c: self._whole(c) for c in ".,"}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
         stop = self.stops.get(part[-1], b"")
         word = (part[:-1] if stop else part).lower()
         if word.isalpha() and max(part) < "ƀ":  # one word, which normalisation and splitting leave as it is
             raw = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
-            return np.array([t.id for t in self.tokenizer.model.tokenize(raw)], dtype="<u4").tobytes() + stop
+            return _bytes([t.id for t in self.tokenizer.model.tokenize(raw)]) + stop
         return self._whole(part)
 
     def __call__(self, text: str) -> bytes:
@@ -69,6 +79,12 @@ class Tokens:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """One for all tasks of a Python worker."""
+    return Tokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and part and slot, the place in the scan.
 
@@ -82,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches):
         from pyspark import TaskContext
 
-        tokens, part, slot = Tokens(tokenizer), TaskContext.get().partitionId(), 0
+        tokens, part, slot = tokens_of(tokenizer), TaskContext.get().partitionId(), 0
         last, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
@@ -107,8 +123,6 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by room left
     there: list[int] = []  # sorted: kinds of room that some bin has
     bins, offsets, made = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), 0
-    from bisect import bisect_left
-
     for k, size in enumerate(lengths.tolist()):
         at = bisect_left(there, size)
         if at < len(there):
@@ -130,10 +144,10 @@ def _round(items: DataFrame, groups: int, capacity: int, nearly: int) -> DataFra
     """Pack the items (id, group, length, order) of each group; per item: id, length, bin, shift, fill, and whether the bin goes on."""
 
     def run(batches):
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
+        frames = [batch.to_pandas() for batch in batches]
+        if not frames:
             return
-        frame = whole.to_pandas()
+        frame = pd.concat(frames)
         for group, own in frame.groupby("group", sort=True):
             own = own.sort_values(["length", "id"], ascending=[False, True], kind="stable")
             bins, offsets, made = best_fit(own.length.to_numpy(), capacity)

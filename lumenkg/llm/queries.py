@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, neardup, packing, sharding
+from . import decontaminate, fingerprint, langid, linededup, neardup, packing, sharding, warc
 from .common import table
 
 #: The vocabulary that op2 and the pipeline tokenise with.
@@ -39,12 +39,21 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"), least=0)
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.counted(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op8_linededup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
