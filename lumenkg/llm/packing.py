@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Pieces that a group packs at once, and groups that meet in a round.
-GROUP_PIECES, FAN_IN = 65_536, 16
+GROUP_PIECES, FAN_IN = 8_192, 16
 #: Roomy bins that a group hands on beside the one that is at most half full.
 CARRY = 64
 #: Distinct words whose ids a Python worker remembers at once.
