@@ -1,13 +1,11 @@
 """Near-duplicate detection: banded MinHash, odd sketches, and links confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one class, and only classes are compared. Classes that share a
-band of their MinHash signature meet in a bucket. In each round some members of a bucket, its pivots,
-are compared with the members of the bucket that are not yet in one component with them. A pair has to
-pass the odd sketches of its two classes (bitmaps that hold the parity of hashed MinHash samples; the
-population count of their XOR grows with the number of samples that differ) before its texts are read.
-A pivot has then met every other member of its bucket, and leaves it; buckets of one component are
-done. The first round takes one pivot of each bucket, the others several of those outside its largest
-component, so a bucket of n copies costs n pairs, not n squared, and no link is lost.
+band of their MinHash signature meet in a bucket, in which all are compared with one of them, the pivot:
+a bucket of n copies costs n pairs, not n squared. A pair has to pass the odd sketches of its two
+classes (bitmaps that hold the parity of hashed MinHash samples; the population count of their XOR grows
+with the number of samples that differ) before its texts are read. Buckets that still hold several
+components are searched once more, by their rarest shingles, for links that no pivot has seen.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -182,6 +180,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return met.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long, ok boolean")
 
 
+def _least_shared(n: Column, percent: int) -> Column:
+    """Shingles that a set of n must share with any set it is linked with, at least."""
+    return F.ceil(n * percent / 100 - 1e-9)
+
+
+def _residual(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes of one bucket that may be linked though no pivot has linked them.
+
+    Only classes of buckets that hold several components are left. Their shingles are put in order of
+    their frequency among these classes, rarest first. Linked sets share a shingle among the first few of
+    each, and from the first one they share on there must be enough of either set left; so an edited copy
+    whose own edits are rare meets nothing but what shares these edits.
+    """
+
+    def explode(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            sets = [hashed(unpack.decompress(z).decode("utf-8", "surrogatepass"), k).view(np.int64) for z in batch.column("z").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("c"), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "c", "gs"])
+
+    own = members.select("key", "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("c"))
+    mixed = own.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
+    left = own.join(mixed, "key").select("rid", "c").distinct()
+    sets = stored(left.join(texts, "rid").select("rid", "c", "z").mapInArrow(explode, "rid long, c long, gs array<long>"), "sets")
+    often = sets.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    known = sets.select("rid", "c", F.size("gs").alias("n"), F.explode("gs").alias("g")).join(often, "g")
+    # shingles that no other class has come before all others
+    every, order = Window.partitionBy("rid"), Window.partitionBy("rid").orderBy("df", "g")
+    placed = known.withColumns({"nth": F.row_number().over(order), "known": F.count("*").over(every)}).withColumn("before", F.col("n") - F.col("known") + F.col("nth") - 1)
+    first = stored(placed.where(F.col("before") <= F.col("n") - _least_shared(F.col("n"), percent)).select("g", "rid", "c", "n", "before"), "prefixes")
+    sizes = first.groupBy("g", "c").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("g").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("largest")).where("parts > 1").select("g", "largest")
+    met = first.join(several, "g")
+    turn = met.where("c != largest").select("g", *[F.col(x).alias(f"{x}_") for x in ("rid", "c", "n", "before")])
+    enough = F.least(F.col("n") - F.col("before"), F.col("n_") - F.col("before_")) * (100 + percent) >= (F.col("n") + F.col("n_")) * percent
+    once = (F.col("c") == F.col("largest")) | (F.col("rid") < F.col("rid_"))
+    pairs = met.join(turn, (met["g"] == turn["g"]) & (F.col("c") != F.col("c_")) & once & enough)
+    return pairs.select(F.least("rid", "rid_").alias("u"), F.greatest("rid", "rid_").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, row, n, digest; per set of shingles: digest, component_id, head).
 
@@ -193,42 +231,24 @@ def classes(docs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text:
     reps = sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bands", *sketch)])
     reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
     members = reps.select("rid", F.explode("bands").alias("key"))
-    several = members.groupBy("key").agg(F.min("rid").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    several = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(members.join(several, "key"), "buckets")
-    wanted = members.select("rid").distinct()
-    texts = stored(_texts(docs, reps.select("rid", "doc_id", "digest").join(wanted, "rid"), k, doc_id, text), "texts")
+    # The pivot of a bucket is the member with the fullest buckets: what most others are copies of.
+    central = members.groupBy("rid").agg(F.sum("size").alias("met"))
+    texts = stored(_texts(docs, reps.select("rid", "doc_id", "digest").join(central.select("rid"), "rid"), k, doc_id, text), "texts")
+    pivots = members.join(central, "rid").groupBy("key").agg(F.max_by("rid", F.struct("met", -F.col("rid"))).alias("pivot"))
+    pairs = members.join(pivots, "key").where("rid != pivot").select(F.least("rid", "pivot").alias("u"), F.greatest("rid", "pivot").alias("v")).distinct()
+
     sides = [reps.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{s}{x}") for s in sketch]) for x in "uv"]
     differ = sum((F.bit_count(F.col(f"{s}u").bitwiseXOR(F.col(f"{s}v"))) for s in sketch), F.lit(0))
     close = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (differ <= most_bits(percent / 100))
-
-    pairs = members.where("rid != pivot").select(F.least("rid", "pivot").alias("u"), F.greatest("rid", "pivot").alias("v")).distinct()
-    left = members.where("rid != pivot").drop("pivot")
-    links = failed = roots = None
-    pivots = 1
-    while True:
-        near = pairs.join(sides[0], "u").join(sides[1], "v").where(close).select("u", "v")
-        if failed is not None:
-            near = near.join(failed, ["u", "v"], "left_anti")
-        judged = stored(_confirmed(near, texts, k, percent), "judged")
-        found, not_linked = judged.where("ok").select("u", "v"), judged.where("not ok").select("u", "v")
-        links = found if links is None else links.unionByName(found)
-        failed = not_linked if failed is None else failed.unionByName(not_linked)
-        if roots is None or not found.isEmpty():
-            roots = components(links if roots is None else found.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))))
-        # what is left of each bucket, by component; whoever has met all others of its bucket has gone
-        own = left.join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("c"))
-        sizes = own.groupBy("key", "c").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("largest")).where("parts > 1").select("key", "largest")
-        own = stored(own.join(mixed, "key"), "buckets")
-        if own.isEmpty():
-            return sigs.select("doc_id", "row", "n", "digest"), _heads(reps, roots)
-        # the next pivots: of those outside the largest component, the first few by number
-        pivots *= 4
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("rid"))
-        turn = own.where("c != largest").withColumn("nth", nth).where(F.col("nth") <= pivots).select("key", F.col("rid").alias("p"), F.col("c").alias("pc"))
-        met = own.join(turn, "key").where((F.col("c") != F.col("pc")))
-        pairs = met.select(F.least("rid", "p").alias("u"), F.greatest("rid", "p").alias("v")).distinct()
-        left = own.select("key", "rid").join(turn.select("key", F.col("p").alias("rid")), ["key", "rid"], "left_anti")
+    near = pairs.join(sides[0], "u").join(sides[1], "v").where(close).select("u", "v")
+    links = stored(_confirmed(near, texts, k, percent).where("ok").select("u", "v"), "links")
+    roots = components(links)
+    more = stored(_confirmed(_residual(members, roots, texts, k, percent), texts, k, percent).where("ok").select("u", "v"), "links")
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))))
+    return sigs.select("doc_id", "row", "n", "digest"), _heads(reps, roots)
 
 
 def _heads(reps: DataFrame, roots: DataFrame) -> DataFrame:
