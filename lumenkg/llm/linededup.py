@@ -8,8 +8,9 @@ only. What is met this way is then verified word by word.
 
 Long lines have many words, so lines without a neighbour are sorted out first: of two lines within the
 bound, either the first half of the longer one or its second half is in the other, at its start or end.
-Four keys a line, and no line is lost. What the keys leave is found again with a filter of bounded size,
-so texts are not shuffled.
+Four keys a line, and no line is lost; a line that shares its first half only emits the keys of its
+second half. Texts are split into words once; after that, lines are hashes, and only those that share a
+half are read again.
 """
 
 from __future__ import annotations
@@ -24,18 +25,18 @@ LEAST_WORDS = 8
 
 
 def folded(line: Column) -> Column:
-    """The words of a line in lower case, by white space; punctuation stays."""
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+    """The words of a line: what stands between spaces."""
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _halves(words: Column, n: Column) -> Column:
+def _halves(words: Column, n: Column) -> list[Column]:
     """Keys of the halves that a line would share with a neighbour, the longer of both having n or n + 1 words."""
     keys = []
     for m in (n, n + 1):
         h = F.floor(m / 2).cast("int")
         tail = (m - h).cast("int")
         keys += [F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(1), m, F.slice(words, F.greatest(n - tail + 1, F.lit(1)), tail))]
-    return F.array(*keys)
+    return keys
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -49,59 +50,71 @@ def within_one(a: Column, b: Column) -> Column:
     return (m - n <= 1) & (rest == F.slice(shorter, F.when(n == m, head + 2).otherwise(head + 1), m + 1))
 
 
-def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per line that has a word: doc_id, row (hash of the text), at (number of the line, from 0), w (its words), name (128 bits of hash of the words)."""
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    own = every.select("doc_id", "row", "at", folded(F.col("line")).alias("w")).where(F.size("w") > 0)
-    return own.withColumn("name", F.unhex(F.md5(F.concat_ws(" ", "w"))))
-
-
-def near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Names of lines of at least LEAST_WORDS words that come within one word of a different line that is earlier."""
-    every = lines(docs, doc_id, text).withColumn("n", F.size("w")).where(F.col("n") >= LEAST_WORDS)
-    halves = _halves(F.col("w"), F.col("n"))
-    short = F.xxhash64("name")
-    shared = every.select(F.explode(halves).alias("key"), short.alias("line")).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("key")
-    bits = stored(bit_filter(shared, F.col("key")), "bits")
-    for k in range(4):
-        every = flagged(every.withColumn(f"key{k}", F.element_at(halves, k + 1)), F.col(f"key{k}"), bits, f"maybe{k}")
-    met = every.where("maybe0 or maybe1 or maybe2 or maybe3")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    firsts = met.groupBy("name").agg(F.min(place).alias("place"), F.first("w").alias("w"))
-    # numbered in the order of their places
-    firsts = stored(firsts.orderBy("place").select(F.monotonically_increasing_id().alias("id"), "name", "w"), "lines")
-
-    word = firsts.select("id", F.size("w").alias("n"), F.posexplode("w").alias("j", "word")).select("id", "n", "j", F.xxhash64("j", "word").alias("fore"), F.xxhash64(F.col("n") - F.col("j"), "word", F.lit(1)).alias("aft"))
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per line that has a word: doc_id, row (hash of the text), at (number of the line, from 0), line."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    return own.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.trim("line") != "")
+
+
+def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per line that has a word: doc_id, row, at, n (words), a and b (128 bits of hash of the words), halves (keys; null for lines of fewer than LEAST_WORDS)."""
+    own = _lines(docs, doc_id, text).select("doc_id", "row", "at", folded(F.col("line")).alias("w"))
+    own = own.select("doc_id", "row", "at", "w", F.size("w").alias("n"))
+    halves = [F.when(F.col("n") >= LEAST_WORDS, key) for key in _halves(F.col("w"), F.col("n"))]
+    return own.select("doc_id", "row", "at", "n", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), *[key.alias(f"h{i}") for i, key in enumerate(halves)])
+
+
+def _met(docs: DataFrame, names: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Lines that share a half with a different line: id (in the order of first places), a, b, fore, aft (the half they share), w."""
+    keys = names.where("h0 is not null").select("a", F.explode(F.array(*[F.struct(F.col(f"h{i}").alias("key"), F.lit(i % 2).alias("side")) for i in range(4)])).alias("half")).select("a", "half.*")
+    shared = keys.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key")
+    sides = keys.join(shared, "key").groupBy("a").agg((F.min("side") == 0).alias("fore"), (F.max("side") == 1).alias("aft"))
+    firsts = names.select("a", "b", "first").join(sides, "a")
+    firsts = stored(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "a", "b", "fore", "aft", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), "met")
+    bits = stored(bit_filter(firsts, F.xxhash64("d", "r", "t")), "bits")
+    every = flagged(_lines(docs, doc_id, text).withColumn("place", F.xxhash64("doc_id", "row", "at")), F.col("place"), bits, "maybe").where("maybe")
+    found = every.join(firsts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("at") == F.col("t")))
+    # rows that repeat a document have the same lines
+    return stored(found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("a", "b", "fore", "aft", "line")]).select("id", "a", "b", "fore", "aft", folded(F.col("line")).alias("w")), "words")
+
+
+def near(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """a, b of lines of at least LEAST_WORDS words that come within one word of a different line that is earlier. names: as in repeated()."""
+    met = _met(docs, names, doc_id, text)
+    word = met.select("id", "fore", "aft", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+    word = word.select("id", "fore", "aft", "n", "j", F.xxhash64("j", "word").alias("before_"), F.xxhash64(F.col("n") - F.col("j"), "word", F.lit(1)).alias("after_"))
     so_far = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    word = word.withColumns({"fores": F.bit_xor("fore").over(so_far), "afts": F.bit_xor("aft").over(so_far), "all": F.bit_xor("aft").over(Window.partitionBy("id"))})
-    before, after = F.col("fores").bitwiseXOR(F.col("fore")), F.col("all").bitwiseXOR(F.col("afts"))
-    gap, left_out = F.xxhash64(before, after.bitwiseXOR(F.col("aft"))), F.xxhash64(before, after)
-    end = F.when(F.col("j") + 1 == F.col("n"), F.array(F.xxhash64("fores", F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
-    keys = stored(word.select("id", F.explode(F.concat(F.array(gap, left_out), end)).alias("key")), "variants")
+    word = word.withColumns({"upto": F.bit_xor("before_").over(so_far), "beyond": F.bit_xor("after_").over(so_far), "all": F.bit_xor("after_").over(Window.partitionBy("id"))})
+    half = F.floor(F.col("n") / 2)
+    word = word.where((F.col("fore") & (F.col("j") >= half)) | (F.col("aft") & (F.col("j") <= half)))
+    before, after = F.col("upto").bitwiseXOR(F.col("before_")), F.col("all").bitwiseXOR(F.col("beyond"))
+    gap, left_out = F.xxhash64(before, after.bitwiseXOR(F.col("after_"))), F.xxhash64(before, after)
+    end = F.when(F.col("j") + 1 == F.col("n"), F.xxhash64("upto", F.lit(0).cast("long")))
+    keys = stored(word.select("id", F.explode(F.array(gap, left_out, end)).alias("key")).where("key is not null"), "variants")
     earliest = keys.groupBy("key").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).where("earlier < last").drop("last")
     pairs = keys.join(earliest, "key").where("earlier < id").select("id", "earlier").distinct()
-    pairs = pairs.join(firsts, "id").join(firsts.select(F.col("id").alias("earlier"), F.col("w").alias("x")), "earlier")
-    return pairs.where(within_one(F.col("w"), F.col("x"))).select("name").distinct()
+    pairs = pairs.join(met.select("id", "a", "b", "w"), "id").join(met.select(F.col("id").alias("earlier"), F.col("w").alias("x")), "earlier")
+    return pairs.where(within_one(F.col("w"), F.col("x"))).select("a", "b").distinct()
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with lines that go: doc_id, row (hash of its text), gone (their numbers).
 
     A line goes if an earlier one equals it or comes within one word of it. Earlier is by doc_id (null
-    last), hash of the text, and place in the text; an earlier line counts whether or not it goes itself.
-    Case and white space make no difference; lines of fewer than LEAST_WORDS words are compared for
+    first), hash of the text, and place in the text; an earlier line counts whether or not it goes itself.
+    The number of spaces makes no difference; lines of fewer than LEAST_WORDS words are compared for
     equality only, and lines without words never go. Null and empty texts have no lines. Rows that are
     equal in doc_id and text are one document.
     """
-    every = lines(docs, doc_id, text).select("doc_id", "row", "at", "name")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    firsts = every.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    close = near(docs, doc_id, text).withColumn("close", F.lit(True))
+    every = stored(hashed(docs, doc_id, text), "lines")
+    place = F.struct("doc_id", "row", "at")
+    code = F.xxhash64("doc_id", "row", "at")
+    names = every.groupBy("a", "b").agg(F.min(place).alias("first"), (F.min(code) != F.max(code)).alias("several"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(4)])
+    names = stored(names, "names")
+    close = near(docs, names, doc_id, text).withColumn("close", F.lit(True))
     # of lines that occur once and have no near one earlier, nothing goes
-    firsts = stored(firsts.join(close, "name", "left").where("close or first < last").select(F.col("name").alias("line"), "first", F.coalesce("close", F.lit(False)).alias("close")), "repeated")
-    bits = stored(bit_filter(firsts, F.xxhash64("line")), "bits")
-    every = flagged(every, F.xxhash64("name"), bits, "maybe").where("maybe").drop("maybe")
-    gone = every.join(firsts, F.col("name") == F.col("line")).where(F.col("close") | (place != F.col("first")))
+    firsts = names.select("a", "b", "first", "several").join(close, ["a", "b"], "left").where("close or several").select("a", "b", "first", F.coalesce("close", F.lit(False)).alias("close"))
+    gone = every.select("doc_id", "row", "at", "a", "b").join(firsts, ["a", "b"]).where(F.col("close") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
 
 
@@ -117,10 +130,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     bits = stored(bit_filter(gone, F.xxhash64("__line_row")), "bits")
     own = flagged(docs.withColumn("__line_text", F.xxhash64(text)), F.xxhash64("__line_text"), bits, "__line_maybe")
     same = F.col(doc_id).eqNullSafe(F.col("__line_id")) & (F.col("__line_text") == F.col("__line_row"))
-    parts = F.split(text, "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__line_gone"))
-    rest = F.when(F.col("__line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda k: F.get(F.split(text, "\n"), k)), "\n"))
-    some = own.where("__line_maybe").join(gone, same, "left").withColumn("__line_rest", rest)
+    places = F.array_except(F.sequence(F.lit(0), F.size("__line_parts") - 1), F.col("__line_gone"))
+    rest = F.when(F.col("__line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda k: F.get("__line_parts", k)), "\n"))
+    some = own.where("__line_maybe").join(gone, same, "left").withColumn("__line_parts", F.split(text, "\n")).withColumn("__line_rest", rest)
     if count is None:
         some = some.where(F.col("__line_gone").isNull() | F.col("__line_rest").rlike(r"\S"))
     changed = {text: F.col("__line_rest")} | ({n_chars: F.when(F.col("__line_gone").isNull(), F.col(n_chars)).otherwise(F.length("__line_rest").cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {})
