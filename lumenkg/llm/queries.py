@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, linededup, neardup, packing, sharding, warc
+from . import decontaminate, fingerprint, langid, linededup, neardup, packing, sharding, suffixdedup, warc
 from .common import table
 
 #: The vocabulary that op2 and the pipeline tokenise with.
@@ -44,6 +44,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.counted(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op8_linededup, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op7_suffixdedup, op8_linededup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
