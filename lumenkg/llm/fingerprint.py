@@ -40,7 +40,7 @@ def digest(canon: bytes) -> str:
 def repeated(found: DataFrame) -> bytearray:
     """Bits of the fingerprints that several rows of found have: BITS / 8 bytes, however many rows there are."""
     bit = F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("long") % BITS
-    several = found.groupBy("fingerprint").count().where("count > 1").select(bit.alias("bit"))
+    several = found.groupBy("fingerprint").count().where("count > 1").select((bit + 1).alias("bit"))  # Spark's bitmaps count from 1
     maps = several.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = bytearray(BITS // 8 + 4096)
     for row in maps.collect():  # at most BITS / 32768 rows of 4 KB
@@ -58,7 +58,6 @@ def collisions(docs: DataFrame, bits: bytearray, text: str = "text") -> DataFram
 
     def run(batches):
         pack, there = zstandard.ZstdCompressor(level=3), sent.value
-        # a bucket number and a position count bits from 0 in blocks of 32768, the first block having number 1
         for batch in batches:
             digests, canons = [], []
             for t in batch.column(0).to_pylist():

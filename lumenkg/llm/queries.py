@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, linededup, neardup, packing, sharding, suffixdedup, warc
+from . import decontaminate, fingerprint, langid, linededup, neardup, packing, pii, sharding, suffixdedup, warc
 from .common import table
 
+#: The key that op10 draws surrogates with; a deployment passes a secret one to the operator.
+KEY = b"lumenkg"
 #: The vocabulary that op2 and the pipeline tokenise with.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -56,8 +58,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_chars", "n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op7_suffixdedup, op8_linededup, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op7_suffixdedup, op8_linededup, op9_sharding, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
