@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Queries, Query
 
-MODULES = ("graph",)
+MODULES = ("graph", "states")
 
 
 def _every() -> list[Queries]:
