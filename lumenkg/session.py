@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of a batch that goes to a Python worker: long texts must not fill its memory.
+BATCH_BYTES = "8m"
 
 
 def session(app: str = "lumenkg", master: str | None = None, **settings: str) -> SparkSession:
@@ -22,7 +24,8 @@ def session(app: str = "lumenkg", master: str | None = None, **settings: str) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers find the package where it lies on the same path for them as for the driver."""
+    """Let Python workers find the package where it lies on the same path for them as for the driver, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
