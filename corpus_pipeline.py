@@ -12,32 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenkg.llm import decontaminate, langid, linededup, neardup, packing
 from lumenkg.llm.common import stored, table
 from lumenkg.llm.queries import vocabulary
+from lumenkg.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some known language; those without a letter, and those that are mostly noise, go."""
+    ship(spark)
     return langid.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that come within one word of an earlier line; a document of such lines only goes."""
+    ship(spark)
     return linededup.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
+    ship(spark)
     return neardup.deduplicated(docs, k=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of benchmark items; one that is mostly such passages goes."""
+    ship(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), n=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents in sequences of 2048 tokens."""
+    ship(spark)
     return packing.packed(docs, vocabulary(), capacity=2048, end_id=0)
 
 
