@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Queries, Query
 
-MODULES = ("graph", "states")
+MODULES = ("graph", "states", "search")
 
 
 def _every() -> list[Queries]:
