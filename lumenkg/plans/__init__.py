@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Queries, Query
 
-MODULES = ("graph", "states", "search")
+MODULES = ("graph", "states", "search", "build", "grading")
 
 
 def _every() -> list[Queries]:
