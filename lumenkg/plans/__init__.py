@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Queries, Query
 
-MODULES = ("graph", "states", "search", "build", "grading")
+MODULES = ("graph", "states", "search", "build", "grading", "documents", "editing")
 
 
 def _every() -> list[Queries]:
