@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Bytes of a batch that goes to a Python worker: long texts must not fill its memory.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def session(app: str = "lumenkg", master: str | None = None, **settings: str) -> SparkSession:
