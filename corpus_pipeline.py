@@ -1,49 +1,76 @@
 """The pipeline over documents: language, repeated lines, near duplicates, benchmark passages, packing.
 
-Each stage works on all rows that the stage before it kept, written as Parquet and read again.
+Each stage works on all rows that the stage before it kept, written as Parquet and read again. A stage
+deletes the tables that the stage before it, or an earlier run, has left in the shared folder: use the
+result of one run before the next begins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenkg.llm import decontaminate, langid, linededup, neardup, packing
-from lumenkg.llm.common import stored, table
+from lumenkg.llm.common import drop_since, made, stored, table
 from lumenkg.llm.queries import vocabulary
 from lumenkg.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_last: list[str] = []
 
+
+def _begin(spark: SparkSession, docs: DataFrame) -> int:
+    """Delete what the stage before has left, as its result is written by now; the place in made() from which on tables are this stage's."""
+    ship(spark)
+    own = made()
+    rest = [p for p in own if p not in _last]
+    own[:] = rest + [p for p in own if p in _last]
+    drop_since(spark, len(rest), docs)
+    return len(own)
+
+
+def _staged(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        mark = _begin(spark, docs)
+        kept = [p for p in _last if p in made()]  # docs itself
+        out = stage(spark, docs, sf_dir)
+        _last[:] = kept + made()[mark:]
+        return out
+
+    return run
+
+
+@_staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some known language; those without a letter, and those that are mostly noise, go."""
-    ship(spark)
     return langid.accepted(docs)
 
 
+@_staged
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that come within one word of an earlier line; a document of such lines only goes."""
-    ship(spark)
     return linededup.deduplicated(docs)
 
 
+@_staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
-    ship(spark)
     return neardup.deduplicated(docs, k=5, percent=80)
 
 
+@_staged
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of benchmark items; one that is mostly such passages goes."""
-    ship(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), n=10)
 
 
+@_staged
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents in sequences of 2048 tokens."""
-    ship(spark)
     return packing.packed(docs, vocabulary(), capacity=2048, end_id=0)
 
 
@@ -57,4 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        _last.append(made()[-1])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_own = threading.local()
+
+
+def made() -> list[str]:
+    """Paths of the tables that this thread has stored and not dropped, in their order."""
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -29,9 +40,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    made().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables stored since made() had mark entries, but for those that the frames of keep read."""
+    files = [f for df in keep for f in df.inputFiles()]
+    names = {f.split("/")[-2] for f in files}
+    gone = [p for p in made()[mark:] if p.split("/")[-1] not in names]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        made().remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, flagged, stored
+from .common import bit_filter, drop_since, flagged, made, stored
 
 #: Lines of fewer words are compared for equality only: one edit is too large a part of them.
 LEAST_WORDS = 8
@@ -126,7 +126,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     the text. With ``count``, no document goes and a column of that name has the number of lines that
     went (0 for the others).
     """
+    mark = len(made())
     gone = stored(repeated(docs, doc_id, text).withColumnsRenamed({"doc_id": "__line_id", "row": "__line_row", "gone": "__line_gone"}), "gone")
+    drop_since(docs.sparkSession, mark, gone)
     bits = stored(bit_filter(gone, F.xxhash64("__line_row")), "bits")
     own = flagged(docs.withColumn("__line_text", F.xxhash64(text)), F.xxhash64("__line_text"), bits, "__line_maybe")
     same = F.col(doc_id).eqNullSafe(F.col("__line_id")) & (F.col("__line_text") == F.col("__line_row"))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_since, made, stored
 
 #: 1 - (1 - s**ROWS)**BANDS of the pairs of similarity s share a bucket: all but 6e-11 at 0.85, all but 5e-8 at 0.8.
 BANDS, ROWS = 32, 4
@@ -98,8 +98,8 @@ def linked(a: set[bytes], b: set[bytes], percent: int) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """Smallest member of the component, for each end of the edges (u, v): id, root. Large and small stars in turn (Kiveris et al., 2014)."""
+    mark, spark, before = len(made()), edges.sparkSession, None
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    before = None
     while True:
         # every larger neighbour of u goes to the smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -109,6 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).where("u != v").distinct()
         edges = stored(small, "edges")
+        drop_since(spark, mark, edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
@@ -226,6 +227,7 @@ def classes(docs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text:
     component_id is the smallest doc_id of the component (null if all are null), head whether that
     document is of this class. Documents without words are in no class.
     """
+    mark = len(made())
     sigs = stored(signed(docs, k, doc_id, text), "signed")
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     reps = sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bands", *sketch)])
@@ -248,7 +250,9 @@ def classes(docs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text:
     more = stored(_confirmed(_residual(members, roots, texts, k, percent), texts, k, percent).where("ok").select("u", "v"), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("id").alias("u"), F.col("root").alias("v"))))
-    return sigs.select("doc_id", "row", "n", "digest"), _heads(reps, roots)
+    heads = stored(_heads(reps, roots), "heads")
+    drop_since(docs.sparkSession, mark, sigs, heads)
+    return sigs.select("doc_id", "row", "n", "digest"), heads
 
 
 def _heads(reps: DataFrame, roots: DataFrame) -> DataFrame:

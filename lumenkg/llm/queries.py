@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, fingerprint, langid, linededup, neardup, packing, pii, sharding, suffixdedup, warc
 from .common import table
+from .oracles import ORACLES
 
 #: The key that op10 draws surrogates with; a deployment passes a secret one to the operator.
 KEY = b"lumenkg"
@@ -67,4 +68,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; tests/llm holds the others against brute-force versions."""
+    return dict(ORACLES)

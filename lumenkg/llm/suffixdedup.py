@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, flagged, stored
+from .common import bit_filter, drop_since, flagged, made, stored
 
 #: Bytes of a window, of an anchor, windows of a part of a run, and parts.
 WINDOW, GRAM, PART, PARTS = 100, 32, 23, 3
@@ -344,7 +344,10 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     rows = _rows(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    some, rest = _with_texts(rows, stored(spans(rows), "spans"))
+    mark = len(made())
+    own = stored(spans(rows), "spans")
+    drop_since(docs.sparkSession, mark, own)
+    some, rest = _with_texts(rows, own)
 
     def cut(batches):
         for batch in batches:
