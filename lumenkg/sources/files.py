@@ -68,7 +68,7 @@ def sources(files: DataFrame, archives: DataFrame, formats: dict[str, str]) -> D
     placed = files.withColumn("folder", F.explode(ancestors(F.col("path")))).join(own, "folder").withColumn("rel_path", F.substring(F.col("path"), F.length("folder") + 2, F.length("path")))
     kinds = F.create_map(*[F.lit(x) for kv in formats.items() for x in kv])
     placed = placed.withColumn("format", F.try_element_at(kinds, F.regexp_extract("rel_path", r"\.([^./]+)$", 1)))
-    ignored = F.coalesce(F.concat(F.lit("/"), "rel_path").rlike(ignore_pattern(F.col("ignore"))), F.lit(False))
+    ignored = F.coalesce(F.rlike(F.concat(F.lit("/"), "rel_path"), ignore_pattern(F.col("ignore"))), F.lit(False))
     return placed.where(F.col("format").isNotNull() & ~ignored).select("archive", "rel_path", "format", "modified")
 
 
