@@ -34,14 +34,14 @@ Q.add("fs_archive_of", "docs archives", lambda d, a: S.owner(d.select(F.concat_w
 Q.add("catalog_index", "supplier customer", lambda s, c: S.catalog(s.select(F.lit("library").alias("kind"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("archive"), F.lit("").alias("file"), F.lit("").alias("notes"), F.col("s_name").alias("title"), F.col("s_suppkey").alias("ord")).unionByName(c.select(F.when(F.col("c_nationkey") % 3 == 0, "university").otherwise("course").alias("kind"), F.lit("").alias("archive"), F.lit("").alias("file"), F.concat(F.col("c_mktsegment"), F.col("c_nationkey")).alias("notes"), F.col("c_mktsegment").alias("title"), F.col("c_custkey").alias("ord")))).select("kind", "key", "ord"), "WITH e AS (SELECT 'library' AS kind, concat('n', s_nationkey) AS key, s_suppkey AS ord FROM {supplier} UNION ALL SELECT CASE WHEN c_nationkey % 3 = 0 THEN 'university' ELSE 'course' END, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment ELSE concat(c_mktsegment, c_nationkey) END, c_custkey FROM {customer}) SELECT kind, key, min(ord) AS ord FROM e GROUP BY kind, key")
 
 URI = "concat('http://corpus.org?a=', archive, '&p=', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2), '&d=o', CAST(k AS STRING), '&l=en')"
-_base = F.lit("http://corpus.org")
-Q.add("uri_from_relpath", "docs", lambda d: d.select("k", U.document_of(_base, F.col("archive"), F.col("rel_path")).alias("uri")), f"SELECT k, {URI} AS uri FROM {{docs}}")
-Q.add("uri_parse", "docs", lambda d: d.select("k", U.parse(U.document_of(_base, F.col("archive"), F.col("rel_path"))).alias("u")).select("k", *[F.col(f"u.{c}").alias(c) for c in ("base", "a", "p", "m", "d", "l", "kind", "error")]), "SELECT k, 'http://corpus.org' AS base, archive AS a, concat(split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2)) AS p, CAST(NULL AS STRING) AS m, concat('o', CAST(k AS STRING)) AS d, 'en' AS l, 'document' AS kind, CAST(NULL AS STRING) AS error FROM {docs}")
-Q.add("uri_compose", "elements", lambda e: e.select("uri", U.compose(_base, a=F.lit("x/y"), m=F.concat(F.lit("mod"), F.col("supplier")), s=F.when(F.col("kind") == "definition", F.concat(F.lit("sym"), F.col("part")))).alias("id")), "SELECT uri, concat('http://corpus.org?a=x/y&m=mod', supplier, CASE WHEN kind = 'definition' THEN concat('&s=sym', part) ELSE '' END) AS id FROM {elements}")
+BASE = "http://corpus.org"
+Q.add("uri_from_relpath", "docs", lambda d: d.select("k", U.document_of(F.lit(BASE), F.col("archive"), F.col("rel_path")).alias("uri")), f"SELECT k, {URI} AS uri FROM {{docs}}")
+Q.add("uri_parse", "docs", lambda d: d.select("k", U.parse(U.document_of(F.lit(BASE), F.col("archive"), F.col("rel_path"))).alias("u")).select("k", *[F.col(f"u.{c}").alias(c) for c in ("base", "a", "p", "m", "d", "l", "kind", "error")]), "SELECT k, 'http://corpus.org' AS base, archive AS a, concat(split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2)) AS p, CAST(NULL AS STRING) AS m, concat('o', CAST(k AS STRING)) AS d, 'en' AS l, 'document' AS kind, CAST(NULL AS STRING) AS error FROM {docs}")
+Q.add("uri_compose", "elements", lambda e: e.select("uri", U.compose(F.lit(BASE), a=F.lit("x/y"), m=F.concat(F.lit("mod"), F.col("supplier")), s=F.when(F.col("kind") == "definition", F.concat(F.lit("sym"), F.col("part")))).alias("id")), "SELECT uri, concat('http://corpus.org?a=x/y&m=mod', supplier, CASE WHEN kind = 'definition' THEN concat('&s=sym', part) ELSE '' END) AS id FROM {elements}")
 Q.add("uri_language", "documents", lambda d: d.select("doc_id", U.language(F.concat(F.lit("dir/d"), F.col("doc_id"), F.lit("."), F.col("lang"), F.lit(".tex"))).alias("language")), "SELECT doc_id, CASE WHEN lang IN ('en', 'de', 'fr', 'ro', 'ar', 'bg', 'ru', 'fi', 'tr', 'sl') THEN lang ELSE 'en' END AS language FROM {documents}")
-Q.add("uri_from_components", "docs", lambda d: d.select("k", U.from_components(F.when(F.col("k") % 3 == 0, F.col("uri")), F.when(F.col("k") % 3 != 0, F.col("archive")), F.when(F.col("k") % 3 == 1, F.col("rel_path")), _base).alias("id")), f"SELECT k, CASE k % 3 WHEN 0 THEN uri WHEN 1 THEN {URI} END AS id FROM {{docs}}")
+Q.add("uri_from_components", "docs", lambda d: d.select("k", U.from_components(F.when(F.col("k") % 3 == 0, F.col("uri")), F.when(F.col("k") % 3 != 0, F.col("archive")), F.when(F.col("k") % 3 == 1, F.col("rel_path")), F.lit(BASE)).alias("id")), f"SELECT k, CASE k % 3 WHEN 0 THEN uri WHEN 1 THEN {URI} END AS id FROM {{docs}}")
 Q.add("iri_escape", "documents", lambda d: d.select("doc_id", U.escaped(F.substring("text", 1, 200)).alias("iri"), (U.unescaped(U.escaped(F.substring("text", 1, 200))) == F.replace(F.replace(F.replace(F.replace(F.replace(F.substring("text", 1, 200), F.lit("%20"), F.lit(" ")), F.lit("%5C"), F.lit("\\")), F.lit("%5E"), F.lit("^")), F.lit("%5B"), F.lit("[")), F.lit("%5D"), F.lit("]"))).alias("back")), "SELECT doc_id, replace(replace(replace(replace(replace(substring(text, 1, 200), ' ', '%20'), '\\', '%5C'), '^', '%5E'), '[', '%5B'), ']', '%5D') AS iri, true AS back FROM {documents}")
 _wanted = lambda d: d.select("archive", F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("path"), F.concat(F.lit("o"), F.col("k")).alias("name"), F.lit("de").alias("lang"))
 _files = lambda d: d.select("archive", F.when(F.col("k") % 4 == 0, F.regexp_replace("rel_path", r"\.tex$", ".de.tex")).otherwise(F.col("rel_path")).alias("rel_path")).where("k % 7 != 0")
 Q.add("uri_source_file", "docs", lambda d: S.source_file(_wanted(d), _files(d)).select("archive", "name", "rel_path"), "SELECT archive, concat('o', CAST(k AS STRING)) AS name, CASE WHEN k % 4 = 0 THEN replace(rel_path, '.tex', '.de.tex') ELSE rel_path END AS rel_path FROM {docs} WHERE k % 7 <> 0")
-Q.add("uri_document_of", "docs", lambda d: S.source_file(_wanted(d), _files(d)).select("archive", "name", U.document_of(_base, F.col("archive"), F.col("rel_path")).alias("uri")), "SELECT archive, concat('o', CAST(k AS STRING)) AS name, concat('http://corpus.org?a=', archive, '&p=', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2), '&d=o', CAST(k AS STRING), CASE WHEN k % 4 = 0 THEN '&l=de' ELSE '&l=en' END) AS uri FROM {docs} WHERE k % 7 <> 0")
+Q.add("uri_document_of", "docs", lambda d: S.source_file(_wanted(d), _files(d)).select("archive", "name", U.document_of(F.lit(BASE), F.col("archive"), F.col("rel_path")).alias("uri")), "SELECT archive, concat('o', CAST(k AS STRING)) AS name, concat('http://corpus.org?a=', archive, '&p=', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2), '&d=o', CAST(k AS STRING), CASE WHEN k % 4 = 0 THEN '&l=de' ELSE '&l=en' END) AS uri FROM {docs} WHERE k % 7 <> 0")
