@@ -27,8 +27,8 @@ from .common import stored
 GROUP_PIECES, FAN_IN = 8_192, 16
 #: Roomy bins that a group hands on beside the one that is at most half full.
 CARRY = 64
-#: Distinct words whose ids a Python worker remembers at once.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose ids a task remembers at once.
+CACHE_WORDS = 300_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -66,11 +66,14 @@ class Tokens:
             return _bytes([t.id for t in self.tokenizer.model.tokenize(raw)]) + stop
         return self._whole(part)
 
+    def forget(self) -> None:
+        self.parts.clear()
+        self.parts[""] = b""
+
     def __call__(self, text: str) -> bytes:
         parts, out = self.parts, []
         if len(parts) > CACHE_WORDS:
-            parts.clear()
-            parts[""] = b""
+            self.forget()
         for part in text.replace("\n", " ").split(" "):
             ids = parts.get(part)
             if ids is None:
@@ -114,6 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 [batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:]), pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(slots)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "slot"],
             )
+        tokens.forget()  # the worker lives on
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
