@@ -11,7 +11,6 @@ MACROS = {
     "symdecl": "symbol", "textsymdecl": "symbol", "symdef": "symbol", "notation": "notation", "vardef": "variable", "varseq": "variable", "symref": "reference", "sr": "reference", "symname": "reference", "sn": "reference", "Symname": "reference", "Sn": "reference",
     "sns": "reference", "Sns": "reference", "symuse": "reference", "svar": "variable", "definame": "definiendum", "Definame": "definiendum", "definames": "definiendum", "Definames": "definiendum", "definiendum": "definiendum", "definiens": "definiens", "defnotation": "definiendum",
     "inlinedef": "definition", "inlineass": "assertion", "inlinepara": "paragraph", "inlineex": "example", "copymod": "morphism", "interpretmod": "morphism", "precondition": "precondition", "objective": "objective",
-    "stexstyleassertion": "style", "stexstyledefinition": "style", "stexstyleparagraph": "style",
 }
 ENVIRONMENTS = {
     "smodule": "module", "mathstructure": "structure", "extstructure": "structure", "extstructure*": "structure", "sassertion": "assertion", "sdefinition": "definition", "sparagraph": "paragraph", "sexample": "example", "ndefinition": "definition", "nparagraph": "paragraph",
