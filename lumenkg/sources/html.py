@@ -74,9 +74,10 @@ def annotated(found: DataFrame, prefix: str = PREFIX) -> DataFrame:
 
 def rows(found: DataFrame) -> DataFrame:
     """One row for each key with a rule: the columns of annotated(), key, kind and turn (its place in KEYS), and the nearest container around it (parent: nth)."""
-    table = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(k).alias("key"), F.lit(v).alias("kind")) for i, (k, v) in enumerate(KEYS.items())])
-    own = found.withColumn("r", F.explode(F.filter(table, lambda t: F.map_contains_key("attrs", t["key"])))).select("*", "r.*").drop("r")
-    return stored(nested(own), "rows")
+    kinds = F.create_map(*[F.lit(x) for kv in KEYS.items() for x in kv])
+    own = found.withColumn("key", F.explode(F.map_keys("attrs"))).withColumn("kind", F.try_element_at(kinds, F.col("key"))).where("kind is not null")
+    own = own.withColumn("turn", F.array_position(F.array(*map(F.lit, KEYS)), F.col("key")))
+    return stored(nested(stored(own, "annotated")), "rows")
 
 
 def nested(own: DataFrame) -> DataFrame:
