@@ -9,6 +9,7 @@ one of them is at most half full; it and the roomiest others are all that a late
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -28,7 +29,10 @@ GROUP_PIECES, FAN_IN = 8_192, 16
 #: Roomy bins that a group hands on beside the one that is at most half full.
 CARRY = 64
 #: Distinct words whose ids a task remembers at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
+#: Letters with ASCII signs before and after them. An apostrophe before letters is left out: it may belong to them.
+_WORD = re.compile(r"""([(\[{"*#$%&_-]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)""")
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -53,17 +57,24 @@ class Tokens:
         rest = [b for b in range(256) if b not in set(plain)]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.parts: dict[str, bytes] = {"": b""}
-        self.stops = {c: self._whole(c) for c in ".,"}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _signs(self, run: str) -> bytes:
+        ids = self.signs.get(run)
+        if ids is None:
+            ids = self._whole(run)
+            if len(self.signs) < 10_000:
+                self.signs[run] = ids
+        return ids
+
     def _part(self, part: str) -> bytes:
-        stop = self.stops.get(part[-1], b"")
-        word = (part[:-1] if stop else part).lower()
-        if word.isalpha() and max(part) < "ƀ":  # one word, which normalisation and splitting leave as it is
+        if (m := _WORD.fullmatch(part)) and max(m[2]) < "ƀ" and (word := m[2].lower()).isalpha():
+            # normalisation leaves such a word as it is, and it is split off from signs
             raw = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
-            return _bytes([t.id for t in self.tokenizer.model.tokenize(raw)]) + stop
+            return self._signs(m[1]) + _bytes([t.id for t in self.tokenizer.model.tokenize(raw)]) + self._signs(m[3])
         return self._whole(part)
 
     def forget(self) -> None:
