@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, in words of 64.
 SKETCH_WORDS = 8
+#: Shingles of sets that a worker keeps while it compares pairs, before it forgets them.
+MOST_KEPT = 50_000
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,7 +170,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
         def of(rid: int, z: bytes) -> set[bytes]:
             if rid not in kept:
-                if len(kept) >= 64:
+                if sum(map(len, kept.values())) > MOST_KEPT:
                     kept.clear()
                 kept[rid] = shingles(unpack.decompress(z).decode("utf-8", "surrogatepass"), k)
             return kept[rid]
