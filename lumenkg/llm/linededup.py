@@ -22,10 +22,19 @@ from .common import bit_filter, drop_since, flagged, made, stored
 
 #: Lines of fewer words are compared for equality only: one edit is too large a part of them.
 LEAST_WORDS = 8
+# Fixed value: white space but for the space and the end of a line.
+_SPACE = r"[\t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Whether a text has anything but white space.
+HAS_WORD = _SPACE.replace("[", r"[^ \n", 1)
+
+
+def plain(text: Column) -> Column:
+    """In lower case, each white space but the ends of lines as a space; done on whole texts, which is cheaper than line by line."""
+    return F.lower(F.regexp_replace(text, _SPACE, " "))
 
 
 def folded(line: Column) -> Column:
-    """The words of a line: what stands between spaces."""
+    """The words of a line of a plain text: what stands between spaces."""
     return F.array_remove(F.split(line, " "), "")
 
 
@@ -51,8 +60,8 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per line that has a word: doc_id, row (hash of the text), at (number of the line, from 0), line."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    """Per line that has a word: doc_id, row (hash of the text), at (number of the line, from 0), line (plain)."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), plain(F.col(text)).alias("text"))
     return own.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.trim("line") != "")
 
 
@@ -102,7 +111,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     A line goes if an earlier one equals it or comes within one word of it. Earlier is by doc_id (null
     first), hash of the text, and place in the text; an earlier line counts whether or not it goes itself.
-    The number of spaces makes no difference; lines of fewer than LEAST_WORDS words are compared for
+    Case and white space make no difference; lines of fewer than LEAST_WORDS words are compared for
     equality only, and lines without words never go. Null and empty texts have no lines. Rows that are
     equal in doc_id and text are one document.
     """
@@ -136,7 +145,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     rest = F.when(F.col("__line_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda k: F.get("__line_parts", k)), "\n"))
     some = own.where("__line_maybe").join(gone, same, "left").withColumn("__line_parts", F.split(text, "\n")).withColumn("__line_rest", rest)
     if count is None:
-        some = some.where(F.col("__line_gone").isNull() | F.col("__line_rest").rlike(r"\S"))
+        some = some.where(F.col("__line_gone").isNull() | F.col("__line_rest").rlike(HAS_WORD))
     changed = {text: F.col("__line_rest")} | ({n_chars: F.when(F.col("__line_gone").isNull(), F.col(n_chars)).otherwise(F.length("__line_rest").cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {})
     some = some.withColumns(changed)
     rest = own.where("not __line_maybe")
@@ -148,6 +157,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_lines (with words), n_removed, n_kept_bytes, kept_sha256 (of the UTF-8 of the text left; null: of nothing)."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("n_lines", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S"))).cast("long"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("n_lines", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(HAS_WORD))).cast("long"))
     left = F.coalesce("text", F.lit(""))
     return deduplicated(own, "doc_id", "text", count="n_removed").select("doc_id", "n_lines", "n_removed", F.octet_length(left).cast("long").alias("n_kept_bytes"), F.sha2(left, 256).alias("kept_sha256"))
