@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame expressions only.
 
-The edit distance of two lines counts words put in, left out or replaced; the bound is one. For each of
-its words a line emits the key of what is before and after that word, and for each gap between words the
+The edit distance of two lines counts words put in, left out or replaced; the bound is one. Where one of
+the lines has few words, as in scripts without spaces, it counts characters instead; what is said of words
+below holds for them, too. For each of its words a line emits the key of what is before and after that word, and for each gap between words the
 key of what is before and after the gap. Lines share a key P, Q exactly if they are P w Q, P v Q or P Q:
 any two of them are within the bound, so each line has to be held against the earliest of its bucket
 only. What is met this way is then verified word by word.
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import bit_filter, drop_since, flagged, made, stored
 
-#: Lines of fewer words are compared for equality only: one edit is too large a part of them.
+#: Lines of fewer words are compared by characters: one word is too large a part of them.
 LEAST_WORDS = 8
+#: No edit is allowed in lines of few words that have fewer characters: one is too large a part of them ("Chapter 1", "Chapter 2").
+LEAST_CHARS = 12
 # Fixed value: white space but for the space and the end of a line.
 _SPACE = r"[\t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Whether a text has anything but white space.
@@ -38,6 +41,11 @@ def folded(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
+def _chars(words: Column) -> Column:
+    """The characters of a line, one space between words."""
+    return F.split(F.array_join(words, " "), "")
+
+
 def _halves(words: Column, n: Column) -> list[Column]:
     """Keys of the halves that a line would share with a neighbour, the longer of both having n or n + 1 words."""
     keys = []
@@ -66,39 +74,44 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per line that has a word: doc_id, row, at, n (words), a and b (128 bits of hash of the words), halves (keys; null for lines of fewer than LEAST_WORDS)."""
+    """Per line that has a word: doc_id, row, at, a and b (128 bits of hash of the words), h0 to h3 (keys of halves; null for lines of fewer than LEAST_WORDS), c0 to c3 (the same of characters; null for lines of more than LEAST_WORDS, or fewer characters than LEAST_CHARS)."""
     own = _lines(docs, doc_id, text).select("doc_id", "row", "at", folded(F.col("line")).alias("w"))
     own = own.select("doc_id", "row", "at", "w", F.size("w").alias("n"))
-    halves = [F.when(F.col("n") >= LEAST_WORDS, key) for key in _halves(F.col("w"), F.col("n"))]
-    return own.select("doc_id", "row", "at", "n", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), *[key.alias(f"h{i}") for i, key in enumerate(halves)])
+    # one edit makes eight words of seven: lines of just LEAST_WORDS are compared both ways
+    own = own.withColumn("c", F.when(F.col("n") <= LEAST_WORDS, _chars(F.col("w"))))
+    halves = [F.when(F.col("n") >= LEAST_WORDS, key).alias(f"h{i}") for i, key in enumerate(_halves(F.col("w"), F.col("n")))]
+    halves += [F.when(F.size("c") >= LEAST_CHARS, key).alias(f"c{i}") for i, key in enumerate(_halves(F.col("c"), F.size("c")))]
+    return own.select("doc_id", "row", "at", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), *halves)
 
 
 def _met(docs: DataFrame, names: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines that share a half with a different line: id (in the order of first places), a, b, fore, aft (the half they share), w."""
-    keys = names.where("h0 is not null").select("a", F.explode(F.array(*[F.struct(F.col(f"h{i}").alias("key"), F.lit(i % 2).alias("side")) for i in range(4)])).alias("half")).select("a", "half.*")
-    shared = keys.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key")
-    sides = keys.join(shared, "key").groupBy("a").agg((F.min("side") == 0).alias("fore"), (F.max("side") == 1).alias("aft"))
+    """Lines that share a half with a different line: id (in the order of first places), a, b, chars (whether by characters), fore, aft (the half they share), w (words or characters)."""
+    halves = [F.struct(F.col(f"{unit}{i}").alias("key"), F.lit(i % 2).alias("side"), F.lit(unit == "c").alias("chars")) for unit in "hc" for i in range(4)]
+    keys = names.where("h0 is not null or c0 is not null").select("a", F.explode(F.array(*halves)).alias("half")).select("a", "half.*").where("key is not null")
+    shared = keys.groupBy("key", "chars").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key", "chars")
+    sides = keys.join(shared, ["key", "chars"]).groupBy("a", "chars").agg((F.min("side") == 0).alias("fore"), (F.max("side") == 1).alias("aft"))
     firsts = names.select("a", "b", "first").join(sides, "a")
-    firsts = stored(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "a", "b", "fore", "aft", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), "met")
+    firsts = stored(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "a", "b", "chars", "fore", "aft", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), "met")
     bits = stored(bit_filter(firsts, F.xxhash64("d", "r", "t")), "bits")
     every = flagged(_lines(docs, doc_id, text).withColumn("place", F.xxhash64("doc_id", "row", "at")), F.col("place"), bits, "maybe").where("maybe")
     found = every.join(firsts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("at") == F.col("t")))
     # rows that repeat a document have the same lines
-    return stored(found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("a", "b", "fore", "aft", "line")]).select("id", "a", "b", "fore", "aft", folded(F.col("line")).alias("w")), "words")
+    found = found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("a", "b", "chars", "fore", "aft", "line")]).withColumn("w", folded(F.col("line")))
+    return stored(found.select("id", "a", "b", "chars", "fore", "aft", F.when(F.col("chars"), _chars(F.col("w"))).otherwise(F.col("w")).alias("w")), "words")
 
 
 def near(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """a, b of lines of at least LEAST_WORDS words that come within one word of a different line that is earlier. names: as in repeated()."""
+    """a, b of lines that come within one word, or one character, of a different line that is earlier. names: as in repeated()."""
     met = _met(docs, names, doc_id, text)
-    word = met.select("id", "fore", "aft", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
-    word = word.select("id", "fore", "aft", "n", "j", F.xxhash64("j", "word").alias("before_"), F.xxhash64(F.col("n") - F.col("j"), "word", F.lit(1)).alias("after_"))
+    word = met.select("id", "chars", "fore", "aft", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+    word = word.select("id", "chars", "fore", "aft", "n", "j", F.xxhash64("j", "word").alias("before_"), F.xxhash64(F.col("n") - F.col("j"), "word", F.lit(1)).alias("after_"))
     so_far = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     word = word.withColumns({"upto": F.bit_xor("before_").over(so_far), "beyond": F.bit_xor("after_").over(so_far), "all": F.bit_xor("after_").over(Window.partitionBy("id"))})
     half = F.floor(F.col("n") / 2)
     word = word.where((F.col("fore") & (F.col("j") >= half)) | (F.col("aft") & (F.col("j") <= half)))
     before, after = F.col("upto").bitwiseXOR(F.col("before_")), F.col("all").bitwiseXOR(F.col("beyond"))
-    gap, left_out = F.xxhash64(before, after.bitwiseXOR(F.col("after_"))), F.xxhash64(before, after)
-    end = F.when(F.col("j") + 1 == F.col("n"), F.xxhash64("upto", F.lit(0).cast("long")))
+    gap, left_out = F.xxhash64(before, after.bitwiseXOR(F.col("after_")), "chars"), F.xxhash64(before, after, "chars")
+    end = F.when(F.col("j") + 1 == F.col("n"), F.xxhash64("upto", F.lit(0).cast("long"), "chars"))
     keys = stored(word.select("id", F.explode(F.array(gap, left_out, end)).alias("key")).where("key is not null"), "variants")
     earliest = keys.groupBy("key").agg(F.min("id").alias("earlier"), F.max("id").alias("last")).where("earlier < last").drop("last")
     pairs = keys.join(earliest, "key").where("earlier < id").select("id", "earlier").distinct()
@@ -109,16 +122,16 @@ def near(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str =
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document with lines that go: doc_id, row (hash of its text), gone (their numbers).
 
-    A line goes if an earlier one equals it or comes within one word of it. Earlier is by doc_id (null
+    A line goes if an earlier one equals it or comes within one word of it, or, where one of the two has
+    fewer than LEAST_WORDS words and both have LEAST_CHARS characters, within one character of it. Earlier is by doc_id (null
     first), hash of the text, and place in the text; an earlier line counts whether or not it goes itself.
-    Case and white space make no difference; lines of fewer than LEAST_WORDS words are compared for
-    equality only, and lines without words never go. Null and empty texts have no lines. Rows that are
+    Case and white space make no difference; lines without words never go. Null and empty texts have no lines. Rows that are
     equal in doc_id and text are one document.
     """
     every = stored(hashed(docs, doc_id, text), "lines")
     place = F.struct("doc_id", "row", "at")
     code = F.xxhash64("doc_id", "row", "at")
-    names = every.groupBy("a", "b").agg(F.min(place).alias("first"), (F.min(code) != F.max(code)).alias("several"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(4)])
+    names = every.groupBy("a", "b").agg(F.min(place).alias("first"), (F.min(code) != F.max(code)).alias("several"), *[F.first(f"{unit}{i}").alias(f"{unit}{i}") for unit in "hc" for i in range(4)])
     names = stored(names, "names")
     close = near(docs, names, doc_id, text).withColumn("close", F.lit(True))
     # of lines that occur once and have no near one earlier, nothing goes
