@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable
@@ -44,15 +45,20 @@ _ENDINGS = {
 
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
 _IP4 = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
-_IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IP6 = re.compile(r"(?:(?<=IPv6:)|(?<![\w:]))(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w|:[0-9A-Fa-f:])")
 _CARD = re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4})(?![\w-])")
 _ACCESS = re.compile(r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
-_SECRET = re.compile(r"(?i)(?<!\w)(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([\w/+-]{8,256})")
+_SECRET = re.compile(r"(?i)(?<!\w)(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([\w/+.~=-]{7,}[\w/+~=-])")
 _SECRET_WORDS = ("token", "passw", "secret", "api")
-_PERSON = re.compile(rf"(?<!\w)({'|'.join(_FEMALE + _MALE)})\.? ([^\W\d_]{{2,40}})(?: ([^\W\d_]{{2,40}}))?(?!\w)")
+_ADDRESS = re.compile(rf"(?<!\w)({'|'.join(_FEMALE + _MALE)})\.? (?=[^\W\d_])")
+# What may stand before or between the parts of a name, and endings that are not of the name.
+_DEGREES = ("Dr", "Prof")
+_PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "bin", "ibn", "al", "el")
+_PART = re.compile(r"[^\W\d_]+(?:['’‑-](?!(?:s|S|ll|d|re|ve)\b)[^\W\d_]+)*")
+_INITIALS = re.compile(r"(?:[^\W\d_]\. ?)+")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -78,6 +84,50 @@ def script_of(name: str) -> str | None:
     return kind if kind in _SYLLABLES else None
 
 
+def _address(s: str) -> str | None:
+    """An address of eight groups of four digits; null where it is none."""
+    try:
+        digits = f"{int(ipaddress.IPv6Address(s)):032x}" if s.strip(":") else ""
+        return ":".join(digits[k : k + 4] for k in range(0, 32, 4)) if digits else None
+    except ValueError:
+        return None
+
+
+def _parts(text: str, at: int) -> list[tuple[tuple[int, int], str]]:
+    """The parts of the name that begins at a place: span (initials beside it are in it) and name. Particles are left out."""
+    out: list[tuple[tuple[int, int], str]] = []
+    start, end = at, None  # end: of the last part, null while none has come since the initials at start
+    while True:
+        if (m := _INITIALS.match(text, at)) and text[at].isupper():
+            stop = m.start() + len(m[0].rstrip(" "))
+            if end is not None:  # after a name: they belong to it
+                out[-1] = ((out[-1][0][0], stop), out[-1][1])
+            at, start = m.end(), start if end is None else m.end()
+            if m[0][-1] != " " and not (at < len(text) and text[at].isalpha()):
+                return out
+        m = _PART.match(text, at)
+        if not m or m[0] in _FEMALE or m[0] in _MALE:
+            return out
+        word, at = m[0], m.end()
+        if word in _DEGREES and not out:
+            at += text[at : at + 1] == "."
+            start = at + 1
+        elif len(word) == 1 and word.isupper() and script_of(word) and (after := _PART.match(text, at + 1)) and len(after[0]) > 1 and after[0][0].isupper():  # an initial without a dot
+            if end is not None:
+                out[-1] = ((out[-1][0][0], at), out[-1][1])
+                start = at + 1
+        elif word in _PARTICLES:
+            start = at + 1
+        elif len(word) > 1 and word[0].isupper() and script_of(word):
+            out.append(((start, at), word))
+            start = end = at + 1
+        else:
+            return out
+        if text[at : at + 1] != " ":
+            return out
+        at += 1
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """start, stop, kind and canonical value, in order and apart from each other. Where finds overlap, the earlier in this function's order stays."""
     if not text:
@@ -98,25 +148,26 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         lower = text.lower()
         if any(w in lower for w in _SECRET_WORDS):
             every(_SECRET, "secret", lambda s: s if _DIGIT.search(s) else None, 1)
-        every(_IP4, "ip4", lambda s: s if all(int(o) < 256 for o in s.split(".")) else None)
         if ":" in text:
-            every(_IP6, "ip6", str.lower)
+            every(_IP6, "ip6", _address)
+        every(_IP4, "ip4", lambda s: s if all(int(o) < 256 for o in s.split(".")) else None)
         every(_IBAN, "iban", lambda s: v if _mod97(v := s.replace(" ", "")) == 1 else None)
         every(_CARD, "card", lambda s: d if (d := _digits(s)).isascii() and _luhn(d[:-1]) == int(d[-1]) else None)
         every(_SSN, "ssn", _digits)
         every(_PHONE, "phone", lambda s: d if 8 <= len(d := _digits(s)) <= 15 else None)
+    elif "::" in text:
+        every(_IP6, "ip6", _address)
     names: dict[str, tuple[str, str]] = {}
-    for m in _PERSON.finditer(text):
-        own = [(m.span(k), m[k]) for k in (2, 3) if m[k] and m[k][0].isupper() and script_of(m[k])]
-        if not own or own[0][0] != m.span(2):
-            continue
+    for m in _ADDRESS.finditer(text):
+        own = _parts(text, m.end())
         gender = "f" if m[1] in _FEMALE else "m"
         for k, (span, name) in enumerate(own):
             kind = f"name:{script_of(name)}:{'family' if k == len(own) - 1 else gender}"
             names[name] = (kind, unicodedata.normalize("NFC", name).casefold())
             found.append((*span, *names[name]))
     if names:  # the same names without a form of address
-        for m in re.finditer(rf"(?<!\w)({'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
+        any_name = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
+        for m in re.finditer(rf"(?<!\w)({any_name})(?:(?: [^\W\d_]\.)+(?= (?:{any_name})(?!\w)))?(?!\w)", text):
             found.append((*m.span(), *names[m[1]]))
     out: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
@@ -198,6 +249,8 @@ def rendered(kind: str, value: str, seen: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         chars = iter(value)
         return "".join(next(chars) if c.isalnum() else c for c in seen)
+    if kind == "ip6" and "::" in seen:
+        value = str(ipaddress.IPv6Address(value))
     if kind == "email" or kind == "ip6":
         return value.upper() if seen.isupper() else value
     if kind.startswith("name:"):
