@@ -32,7 +32,7 @@ Q.add("extract_tags", "pages", lambda p: H.tags(p, "page_id").where("not closing
 Q.add("extract_elements", "elements", lambda e: H.elements(_rows(e)).select("doc", "kind", "id", "uri", "depth", F.concat_ws(",", "fors").alias("fors")), "SELECT doc, 'section' AS kind, 's' AS id, concat(doc, '&e=s') AS uri, 0 AS depth, '' AS fors FROM {elements} GROUP BY doc UNION ALL SELECT doc, kind, concat('e', ord), concat(doc, '&e=s/e', ord), 1, concat('sym/', part) FROM {elements}")
 Q.add("extract_triples", "elements", _triples, "SELECT DISTINCT doc AS g, doc AS s, 'type' AS p, 'document' AS o FROM {elements} UNION SELECT doc, concat(doc, '&e=s'), 'type', 'section' FROM {elements} UNION SELECT doc, doc, 'contains', concat(doc, '&e=s') FROM {elements} UNION SELECT doc, concat(doc, '&e=s'), 'contains', concat(doc, '&e=s/e', ord) FROM {elements} UNION SELECT doc, concat(doc, '&e=s/e', ord), 'type', CASE kind WHEN 'paragraph' THEN 'para' ELSE kind END FROM {elements} UNION SELECT doc, concat(doc, '&e=s/e', ord), CASE kind WHEN 'definition' THEN 'defines' ELSE 'example-for' END, concat('sym/', part) FROM {elements} WHERE kind IN ('definition', 'example', 'paragraph') UNION SELECT doc, concat(doc, '&e=s/e', ord), 'crossrefs', concat('mod/', supplier) FROM {elements}")
 Q.add("extract_fragments", "elements", lambda e: H.elements(_rows(e)).where("title is not null").select("doc", "id", F.col("title.start").alias("start"), F.col("title.stop").alias("stop")).join(pages_of(e).select("doc", F.encode("html", "UTF-8").alias("raw")), "doc").select("doc", "id", F.decode(F.substring("raw", F.col("start") + 1, F.col("stop") - F.col("start")), "UTF-8").alias("title")), "SELECT doc, concat('e', ord) AS id, concat('é ', ord) AS title FROM {elements}")
-Q.add("extract_errors", "elements", lambda e: H.errors(H.nodes(H.tags(pages_of(e.where("level = 1")).withColumn("html", F.concat("html", F.lit("<p data-kg-zzz>")))))).groupBy("message").agg(F.count("*").alias("n")), "SELECT message, count(DISTINCT doc) AS n FROM {elements}, (SELECT 'unbalanced' AS message UNION ALL SELECT 'unknown key: zzz') m WHERE level = 1 GROUP BY message")
+Q.add("extract_errors", "elements", lambda e: H.errors(H.nodes(H.tags(pages_of(e).withColumn("html", F.concat("html", F.lit("<p data-kg-zzz>")))))).groupBy("message").agg(F.count("*").alias("n")), "SELECT message, count(DISTINCT doc) AS n FROM {elements}, (SELECT 'unbalanced' AS message UNION ALL SELECT 'unknown key: zzz') m WHERE level = 1 GROUP BY message")
 
 
 def _lines(q):
