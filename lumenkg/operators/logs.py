@@ -25,9 +25,10 @@ def spans(lines: DataFrame, keys: tuple[str, ...] = ("span",), ts: str = "ts", o
     """Each opening with the next closing of the same span before it opens again: opened, closed (null: still open), messages between."""
     pos = Window.partitionBy(*keys).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = lines.withColumn("nth", F.count_if(F.col("tag") == "open").over(pos)).where("nth > 0")
-    out = own.groupBy(*keys, "nth").agg(F.min(F.when(F.col("tag") == "open", F.col(ts))).alias("opened"), F.min(F.when(F.col("tag") == "close", F.struct(ts, order))).alias("end"), F.collect_list(F.when(F.col("tag") == "message", F.struct(ts, order))).alias("ms"))
-    inside = F.size(F.filter("ms", lambda m: F.col("end").isNull() | (m < F.col("end"))))
-    return out.select(*keys, "nth", "opened", F.col("end")[ts].alias("closed"), inside.alias("messages"))
+    since = Window.partitionBy(*keys, "nth").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("closes", F.count_if(F.col("tag") == "close").over(since))
+    out = own.groupBy(*keys, "nth").agg(F.min(F.when(F.col("tag") == "open", F.col(ts))).alias("opened"), F.min(F.when(F.col("tag") == "close", F.struct(ts, order))).alias("end"), F.count_if((F.col("tag") == "message") & (F.col("closes") == 0)).cast("int").alias("messages"))
+    return out.select(*keys, "nth", "opened", F.col("end")[ts].alias("closed"), "messages")
 
 
 def tree(opens: DataFrame) -> DataFrame:
@@ -47,3 +48,16 @@ def moving_average(deltas: Column, weight: float = 0.5) -> Column:
     """Exponential average of an array: the first as it is, then weight x new + (1 - weight) x old."""
     step = lambda a, x: F.when(a.isNull(), x).otherwise(a * (1 - weight) + x * weight)
     return F.aggregate(deltas, F.lit(None).cast("double"), step)
+
+
+def moving_averages(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.5, block: int = 4096) -> DataFrame:
+    """key and average: moving_average() of the values of each key by order, a whole number that is unique.
+
+    Values are averaged in blocks of the order, then blocks of a key in turn: an average that goes on from
+    an older one differs from one that begins anew by (older - first) x (1 - weight) ^ values.
+    """
+    own = rows.groupBy(key, F.floor(F.col(order) / block).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("vs"))
+    part = F.struct("block", moving_average(F.col("vs"), weight).alias("fresh"), F.get("vs", F.lit(0)).alias("first"), F.pow(F.lit(1 - weight), F.size("vs")).alias("left"), F.exists("vs", lambda v: v.isNull()).alias("anew"))
+    parts = own.select(key, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    step = lambda a, p: F.when(a.isNull() | p["anew"], p["fresh"]).otherwise(p["fresh"] + (a - p["first"]) * p["left"])
+    return parts.select(key, F.aggregate("parts", F.lit(None).cast("double"), step).alias("average"))
