@@ -41,7 +41,7 @@ def levels(tasks: DataFrame, deps: DataFrame, most_rounds: int = 1000) -> DataFr
     deps = stored(deps.where("task != dep").select("task", "dep").distinct(), "deps")
     left = stored(tasks.select("id").distinct(), "tasks")
     done, at = None, 0
-    for at in range(most_rounds):
+    for at in range(most_rounds + 1):
         blocked = deps.select(F.col("task").alias("id")).distinct()
         ready = stored(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(at)), "ready")
         if ready.isEmpty():
@@ -49,5 +49,7 @@ def levels(tasks: DataFrame, deps: DataFrame, most_rounds: int = 1000) -> DataFr
         done = ready if done is None else done.unionByName(ready)
         left = stored(left.join(ready, "id", "left_anti"), "tasks")
         deps = stored(deps.join(ready.select(F.col("id").alias("dep")), "dep", "left_anti"), "deps")
+    else:
+        raise ValueError(f"not finished after {most_rounds} rounds")
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)

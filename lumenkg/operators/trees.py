@@ -15,12 +15,14 @@ def paths(nodes: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """nodes with path (places from the root down) and depth, level by level: one join for each level of the deepest document."""
     level = stored(nodes.where("parent is null").select("doc", "node", F.array("ord").alias("path")), "level")
     known, rest = level, nodes.where("parent is not null").select("doc", "node", "parent", "ord")
-    for _ in range(most_rounds):
+    for _ in range(most_rounds + 1):
         up = level.select("doc", F.col("node").alias("parent"), "path")
         level = stored(rest.join(up, ["doc", "parent"]).select("doc", "node", F.concat("path", F.array("ord")).alias("path")), "level")
         if level.isEmpty():
             break
         known = known.unionByName(level)
+    else:
+        raise ValueError(f"not finished after {most_rounds} rounds")
     return nodes.join(known, ["doc", "node"]).withColumn("depth", F.size("path") - 1)
 
 
@@ -84,13 +86,15 @@ def contents(tree: DataFrame, parts: DataFrame, roots: DataFrame, most_rounds: i
     entries = stored(entries.withColumn("key", F.array_join(text, ".")).drop("path"), "entries")
     level = roots.select("root", F.col("root").alias("doc"), F.lit("").alias("key"), F.array("root").alias("trail"))
     found = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds + 1):
         own = level.withColumnRenamed("key", "above").join(entries, "doc").withColumn("key", F.concat_ws(".", F.nullif("above", F.lit("")), "key")).drop("above")
         own = stored(own, "contents")
         found = own if found is None else found.unionByName(own)
         level = own.where("kind = 'inputref' and target is not null and not array_contains(trail, target)").select("root", F.col("target").alias("doc"), "key", F.concat("trail", F.array("target")).alias("trail"))
         if level.isEmpty():
             break
+    else:
+        raise ValueError(f"not finished after {most_rounds} rounds")
     # what is above an entry that stays, stays
     real = found.where("kind not in ('inputref', 'skipped') and (kind != 'section' or title is not null)")
     above = real.select("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("key", r"\."))), lambda n: F.array_join(F.slice(F.split("key", r"\."), F.lit(1), n), "."))).alias("key")).distinct()

@@ -110,12 +110,14 @@ def elements(own: DataFrame, most_rounds: int = 100) -> DataFrame:
     found = stored(identified(own).drop("depth"), "containers")
     level = found.where("parent is null").select("doc", "nth", F.concat("doc", F.lit("&e="), "id").alias("uri"), F.lit(0).alias("depth"))
     known = level
-    for _ in range(most_rounds):
+    for _ in range(most_rounds + 1):
         up = level.select("doc", F.col("nth").alias("parent"), F.col("uri").alias("up"), "depth")
         level = stored(found.join(up, ["doc", "parent"]).select("doc", "nth", F.concat("up", F.lit("/"), "id").alias("uri"), (F.col("depth") + 1).alias("depth")), "level")
         if level.isEmpty():
             break
         known = known.unionByName(level)
+    else:
+        raise ValueError(f"not finished after {most_rounds} rounds")
     titles = own.where("kind = 'title' and parent is not null").groupBy("doc", F.col("parent").alias("nth")).agg(F.min_by(F.struct(F.col("inner_start").alias("start"), F.col("inner_stop").alias("stop")), "nth").alias("title"))
     words = lambda key: F.filter(F.transform(F.split(F.coalesce(F.col("attrs")[key], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     out = found.join(known, ["doc", "nth"]).join(titles, ["doc", "nth"], "left")
