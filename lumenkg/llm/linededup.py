@@ -16,6 +16,8 @@ half are read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +48,22 @@ def _chars(words: Column) -> Column:
     return F.split(F.array_join(words, " "), "")
 
 
-def _halves(words: Column, n: Column) -> list[Column]:
-    """Keys of the halves that a line would share with a neighbour, the longer of both having n or n + 1 words."""
+def _sides(half: str) -> tuple[Column, Column]:
+    """side and unit of a key of a half."""
+    return F.col(half).bitwiseAND(F.lit(1)), F.col(half).bitwiseAND(F.lit(2))
+
+
+def _halves(line: Column, n: Column, part: Callable[[Column, Column, Column], Column], unit: int) -> list[Column]:
+    """Keys of the halves that a line would share with a neighbour, the longer of both having n or n + 1 words.
+
+    part(line, start, length) cuts the line. The lowest bits of a key tell which half it is (0, 1) and the unit (0: words, 2: characters).
+    """
     keys = []
     for m in (n, n + 1):
         h = F.floor(m / 2).cast("int")
         tail = (m - h).cast("int")
-        keys += [F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(1), m, F.slice(words, F.greatest(n - tail + 1, F.lit(1)), tail))]
+        for side, half in enumerate((part(line, F.lit(1), h), part(line, F.greatest(n - tail + 1, F.lit(1)), tail))):
+            keys.append(F.xxhash64(m, half).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(unit + side)))
     return keys
 
 
@@ -78,18 +89,19 @@ def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     own = _lines(docs, doc_id, text).select("doc_id", "row", "at", folded(F.col("line")).alias("w"))
     own = own.select("doc_id", "row", "at", "w", F.size("w").alias("n"))
     # one edit makes eight words of seven: lines of just LEAST_WORDS are compared both ways
-    own = own.withColumn("c", F.when(F.col("n") <= LEAST_WORDS, _chars(F.col("w"))))
-    halves = [F.when(F.col("n") >= LEAST_WORDS, key).alias(f"h{i}") for i, key in enumerate(_halves(F.col("w"), F.col("n")))]
-    halves += [F.when(F.size("c") >= LEAST_CHARS, key).alias(f"c{i}") for i, key in enumerate(_halves(F.col("c"), F.size("c")))]
+    own = own.withColumn("c", F.when(F.col("n") <= LEAST_WORDS, F.array_join("w", " ")))
+    halves = [F.when(F.col("n") >= LEAST_WORDS, key).alias(f"h{i}") for i, key in enumerate(_halves(F.col("w"), F.col("n"), F.slice, 0))]
+    halves += [F.when(F.length("c") >= LEAST_CHARS, key).alias(f"c{i}") for i, key in enumerate(_halves(F.col("c"), F.length("c"), F.substring, 2))]
     return own.select("doc_id", "row", "at", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(1), "w").alias("b"), *halves)
 
 
 def _met(docs: DataFrame, names: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Lines that share a half with a different line: id (in the order of first places), a, b, chars (whether by characters), fore, aft (the half they share), w (words or characters)."""
-    halves = [F.struct(F.col(f"{unit}{i}").alias("key"), F.lit(i % 2).alias("side"), F.lit(unit == "c").alias("chars")) for unit in "hc" for i in range(4)]
-    keys = names.where("h0 is not null or c0 is not null").select("a", F.explode(F.array(*halves)).alias("half")).select("a", "half.*").where("key is not null")
-    shared = keys.groupBy("key", "chars").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key", "chars")
-    sides = keys.join(shared, ["key", "chars"]).groupBy("a", "chars").agg((F.min("side") == 0).alias("fore"), (F.max("side") == 1).alias("aft"))
+    halves = [f"{unit}{i}" for unit in "hc" for i in range(4)]
+    keys = names.where("h0 is not null or c0 is not null").select("a", F.explode(F.array(*halves)).alias("key")).where("key is not null")
+    shared = keys.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("key")
+    side, unit = _sides("key")
+    sides = keys.join(shared, "key").groupBy("a", (unit == 2).alias("chars")).agg((F.min(side) == 0).alias("fore"), (F.max(side) == 1).alias("aft"))
     firsts = names.select("a", "b", "first").join(sides, "a")
     firsts = stored(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "a", "b", "chars", "fore", "aft", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), "met")
     bits = stored(bit_filter(firsts, F.xxhash64("d", "r", "t")), "bits")

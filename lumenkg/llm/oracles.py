@@ -43,13 +43,16 @@ t AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * x + 1, 2 * (y - x)),
 m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
 SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(unhex(h))) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-OP8 = """
-WITH l AS (SELECT doc_id, CAST(k AS INT) AS pos, ls[k] AS line, regexp_extract_all(ls[k], '[^ ]+') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) x, unnest(generate_series(1, len(ls))) t(k)),
+# lines of 8 words or more by words, pairs with a shorter one by the characters of the words with one space between them
+OP8 = r"""
+WITH l AS (SELECT doc_id, CAST(k AS INT) AS pos, ls[k] AS line, regexp_extract_all(lower(regexp_replace(ls[k], '[\t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', ' ', 'g')), '[^ ]+') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) x, unnest(generate_series(1, len(ls))) t(k)),
 o AS (SELECT *, array_to_string(w, ' ') AS name, row_number() OVER (ORDER BY doc_id, pos) AS place FROM l WHERE len(w) > 0),
 f AS (SELECT name, min(place) AS first, any_value(w) AS w FROM o GROUP BY name),
-v AS (SELECT DISTINCT name, first, hash(array_to_string(list_slice(w, 1, j), ' '), j, array_to_string(list_slice(w, j + 1 + skip, len(w)), ' ')) AS key FROM f, unnest(generate_series(0, len(w))) t(j), (SELECT 0 AS skip UNION ALL SELECT 1) s WHERE len(w) >= 8 AND j + skip <= len(w)),
-e AS (SELECT key, min(first) AS least FROM v GROUP BY key),
-c AS (SELECT DISTINCT name FROM v JOIN e USING (key) WHERE least < first),
+v AS (SELECT name, first, len(w) AS n, 'words' AS unit, hash(array_to_string(list_slice(w, 1, j), ' '), j, array_to_string(list_slice(w, j + 1 + skip, len(w)), ' ')) AS key FROM f, unnest(generate_series(0, len(w))) t(j), (SELECT 0 AS skip UNION ALL SELECT 1) s WHERE len(w) >= 8 AND j + skip <= len(w)
+  UNION SELECT name, first, len(w), 'chars', hash(substr(name, 1, j), j, substr(name, j + 1 + skip)) FROM f, unnest(generate_series(0, length(name))) t(j), (SELECT 0 AS skip UNION ALL SELECT 1) s WHERE len(w) <= 8 AND length(name) >= 12 AND j + skip <= length(name)),
+e AS (SELECT unit, key, min(first) AS least, min(CASE WHEN n < 8 THEN first END) AS least_short FROM v GROUP BY unit, key),
+c AS (SELECT DISTINCT name FROM v JOIN e ON e.unit = v.unit AND e.key = v.key WHERE CASE WHEN v.unit = 'words' OR n < 8 THEN least ELSE least_short END < first),
 g AS (SELECT o.doc_id, o.pos, o.place <> f.first OR c.name IS NOT NULL AS gone FROM o JOIN f USING (name) LEFT JOIN c ON c.name = o.name),
 k AS (SELECT l.doc_id, count(g.pos) AS n_lines, count(*) FILTER (WHERE g.gone) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.gone IS DISTINCT FROM true), '') AS rest FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_removed, CAST(strlen(rest) AS BIGINT) AS n_kept_bytes, sha256(rest) AS kept_sha256 FROM k"""
