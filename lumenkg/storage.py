@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where nothing is set (tests in one process), a new one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where nothing is set and all runs in one process (tests), a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lumenkg-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
