@@ -3,22 +3,27 @@
 The automaton is built on the driver from one bounded block of items at a time and sent to the
 executors; documents stream through it word by word. Each step keeps the longest suffix of the words
 read so far that occurs in some item, so the positions covered by item windows of n words are known
-after one pass. Documents are never shuffled: with one block the result comes straight from the scan.
+after one pass. With one block the result comes straight from the scan and nothing is shuffled. With
+more, each block is scanned for by itself, what it hits (a key of the text and spans, no texts) is
+written, its automaton is destroyed, and documents with hits are joined with them in the end; so no more
+than one automaton is held at any time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bit_filter, flagged, frugal, stored
+
 #: Words of a block of items. An automaton has at most two states a word, so this bounds what is broadcast.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 200_000
 
 #: A-Z to a-z; bytes that belong to no word to a space. Bytes of non-ASCII characters stay as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -158,10 +163,14 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+_ARROW_SPANS, _ARROW_NAMES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string())
+Spans = list[tuple[int, int]]
+#: From a batch, and of each of its texts the words, the hit ranges and the items, the batch that comes out.
+Finish = Callable[[pa.RecordBatch, list[int], list[Spans], list[list[str]]], pa.RecordBatch]
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
+def _union(spans: Spans) -> Spans:
+    out: Spans = []
     for a, b in sorted(spans):
         if out and out[-1][1] >= a:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -170,6 +179,72 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _names(automaton: Automaton, found: set[int]) -> list[str]:
+    return sorted({"" if automaton.names[k] is None else str(automaton.names[k]) for k in found})
+
+
+def _dicts(spans: Spans) -> list[dict[str, int]]:
+    return [{"start": a, "stop": b} for a, b in spans]
+
+
+def _scanned(docs: DataFrame, items: DataFrame, n: int, text: str, item_id: str, item_text: str, block_words: int, finish: Finish, schema: T.StructType) -> DataFrame:
+    """docs, batch by batch, through finish."""
+    context, blocks = docs.sparkSession.sparkContext, _blocks(items, item_id, item_text, block_words)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        sent = context.broadcast(Automaton(block, n))
+
+        def run(batches):
+            automaton = sent.value
+            for batch in batches:
+                sizes, spans, names = [], [], []
+                for t in batch.column(text).to_pylist():
+                    hit, found = automaton.scan(ws := words(t))
+                    sizes.append(len(ws))
+                    spans.append(hit)
+                    names.append(_names(automaton, found))
+                yield finish(batch, sizes, spans, names)
+
+        return docs.mapInArrow(frugal(run), schema)
+
+    keyed = lambda df: df.withColumns({"__dc_a": F.xxhash64(text), "__dc_b": F.xxhash64(F.lit(1), text)})
+    hits = None
+    while block is not None:
+        sent = context.broadcast(Automaton(block, n))
+
+        def scan(batches, sent=sent):
+            automaton = sent.value
+            for batch in batches:
+                rows = {}  # copies of a text have the same hits
+                for t, *key in zip(*(batch.column(c).to_pylist() for c in (text, "__dc_a", "__dc_b")), strict=True):
+                    if tuple(key) not in rows:
+                        hit, found = automaton.scan(words(t))
+                        rows[tuple(key)] = (_dicts(hit), _names(automaton, found))
+                there = [(*key, *got) for key, got in rows.items() if got[0]]
+                columns = list(zip(*there, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), _ARROW_SPANS, _ARROW_NAMES), strict=True)], names=["__dc_x", "__dc_y", "__dc_at", "__dc_of"])
+
+        own = keyed(docs.select(text)).mapInArrow(frugal(scan), "__dc_x long, __dc_y long, __dc_at array<struct<start:bigint,stop:bigint>>, __dc_of array<string>")
+        own = stored(own.dropDuplicates(["__dc_x", "__dc_y"]), "hits")
+        sent.destroy()
+        hits = own if hits is None else hits.unionByName(own)
+        block, following = following, next(blocks, None)
+    # a row of hits for each block and text at most
+    hits = stored(hits.groupBy("__dc_x", "__dc_y").agg(F.flatten(F.collect_list("__dc_at")).alias("__dc_at"), F.flatten(F.collect_list("__dc_of")).alias("__dc_of")), "hits")
+
+    def close(batches):
+        for batch in batches:
+            spans = [_union([(s["start"], s["stop"]) for s in own or []]) for own in batch.column("__dc_at").to_pylist()]
+            names = [sorted(set(own or [])) for own in batch.column("__dc_of").to_pylist()]
+            yield finish(batch, [len(words(t)) for t in batch.column(text).to_pylist()], spans, names)
+
+    every = flagged(keyed(docs), F.col("__dc_a"), stored(bit_filter(hits, F.col("__dc_x")), "bits"), "__dc_maybe")
+    met = every.where("__dc_maybe").join(hits, (F.col("__dc_a") == F.col("__dc_x")) & (F.col("__dc_b") == F.col("__dc_y")), "left")
+    none = {"__dc_at": F.lit(None).cast(_SPANS), "__dc_of": F.lit(None).cast("array<string>")}
+    every = met.drop("__dc_x", "__dc_y").unionByName(every.where("not __dc_maybe").withColumns(none))
+    return every.drop("__dc_a", "__dc_b", "__dc_maybe").mapInArrow(frugal(close), schema)
+
+
 def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, prefix: str = "dc_") -> DataFrame:
     """Each row of docs with what the items hit in it.
 
@@ -180,36 +255,16 @@ def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", it
     judged each for itself; an empty items table hits nothing. Existing columns of those three names are
     replaced.
     """
-    spark = docs.sparkSession
-    n_words, ranges, names_ = f"{prefix}words", f"{prefix}spans", f"{prefix}items"
-    kept = [c for c in docs.columns if c not in (n_words, ranges, names_)]
-    out = docs.select(*kept).withColumns({n_words: F.lit(None).cast("long"), ranges: F.lit(None).cast(_SPANS), names_: F.lit(None).cast("array<string>")})
-    schema = out.schema
-    blocks = _blocks(items, item_id, item_text, block_words)
-    block = next(blocks, [])
-    while True:
-        sent = spark.sparkContext.broadcast(Automaton(block, n))
-
-        def run(batches, sent=sent):
-            automaton = sent.value
-            for batch in batches:
-                sizes, spans, ids = [], [], []
-                before = zip(batch.column(ranges).to_pylist(), batch.column(names_).to_pylist(), strict=True)
-                for t, (old, names) in zip(batch.column(text).to_pylist(), before, strict=True):
-                    ws = words(t)
-                    hit, found = automaton.scan(ws)
-                    if old:
-                        hit = _union(hit + [(s["start"], s["stop"]) for s in old])
-                    sizes.append(len(ws))
-                    spans.append([{"start": a, "stop": b} for a, b in hit])
-                    ids.append(sorted({"" if automaton.names[k] is None else str(automaton.names[k]) for k in found} | set(names or [])))
-                put = {n_words: pa.array(sizes, pa.int64()), ranges: pa.array(spans, batch.schema.field(ranges).type), names_: pa.array(ids, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([put.get(f.name, batch.column(k)) for k, f in enumerate(batch.schema)], names=batch.schema.names)
+    added = {f"{prefix}words": "long", f"{prefix}spans": _SPANS, f"{prefix}items": "array<string>"}
+    own = docs.select(*[c for c in docs.columns if c not in added])
+    kept = own.columns
 
-        out = out.mapInArrow(run, schema)
-        block = next(blocks, None)
-        if block is None:
-            return out
+    def finish(batch: pa.RecordBatch, sizes: list[int], spans: list[Spans], names: list[list[str]]) -> pa.RecordBatch:
+        put = [pa.array(sizes, pa.int64()), pa.array(list(map(_dicts, spans)), _ARROW_SPANS), pa.array(names, _ARROW_NAMES)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *put], names=[*kept, *added])
+
+    schema = own.withColumns({c: F.lit(None).cast(kind) for c, kind in added.items()}).schema
+    return _scanned(own, items, n, text, item_id, item_text, block_words, finish, schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +292,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def remove(docs: DataFrame, items: DataFrame, n: int = 10, coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, n: int = 10, coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without the spans that items cover.
 
     Spans of at least one window of n item words are cut out of the text. A document of which more than
@@ -245,30 +300,22 @@ def remove(docs: DataFrame, items: DataFrame, n: int = 10, coverage: float = 0.5
     empty text among them, stay as they are. The columns are those of docs; ``n_chars``, where there is
     such a column, follows the cut text.
     """
-    kept, schema = docs.columns, docs.schema
-    found = match(docs, items, n, text, prefix="__dc_")
-
-    def apply(batches):
-        for batch in batches:
-            own = batch.select(kept)
-            texts, sizes = own.column(text).to_pylist(), batch.column("__dc_words").to_pylist()
-            stay, cuts = [], {}
-            for k, spans in enumerate(batch.column("__dc_spans").to_pylist()):
-                spans = [(s["start"], s["stop"]) for s in spans]
-                hit = sum(b - a for a, b in spans)
-                stay.append(hit <= coverage * sizes[k])
-                if spans and stay[-1]:
-                    cuts[k] = cut(texts[k], spans)
-            if cuts:
-                arrays = dict(zip(own.schema.names, own.columns, strict=True))
-                arrays[text] = pa.array([cuts.get(k, t) for k, t in enumerate(texts)], own.schema.field(text).type)
-                if n_chars in arrays:
-                    chars = arrays[n_chars].to_pylist()
-                    arrays[n_chars] = pa.array([len(cuts[k]) if k in cuts else c for k, c in enumerate(chars)], own.schema.field(n_chars).type)
-                own = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
-            yield own.filter(pa.array(stay, pa.bool_()))
-
-    return found.mapInArrow(apply, schema)
+    kept = docs.columns
+
+    def finish(batch: pa.RecordBatch, sizes: list[int], spans: list[Spans], names: list[list[str]]) -> pa.RecordBatch:
+        own, texts = batch.select(kept), batch.column(text)
+        stay = [sum(b - a for a, b in hit) <= coverage * size for hit, size in zip(spans, sizes, strict=True)]
+        cuts = {k: cut(texts[k].as_py(), hit) for k, hit in enumerate(spans) if hit and stay[k]}
+        if cuts:
+            arrays = dict(zip(own.schema.names, own.columns, strict=True))
+            arrays[text] = pa.array([cuts.get(k, t) for k, t in enumerate(texts.to_pylist())], own.schema.field(text).type)
+            if n_chars in arrays:
+                chars = arrays[n_chars].to_pylist()
+                arrays[n_chars] = pa.array([len(cuts[k]) if k in cuts else c for k, c in enumerate(chars)], own.schema.field(n_chars).type)
+            own = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+        return own.filter(pa.array(stay, pa.bool_()))
+
+    return _scanned(docs, items, n, text, "item_id", "text", block_words, finish, docs.schema)
 
 
 def brute_force(texts: dict[object, str | None], items: dict[object, str | None], n: int = 10) -> dict[object, tuple[int, int, int, str]]:

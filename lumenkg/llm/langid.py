@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Classes that trigrams are hashed to.
 CLASSES = 1 << 16
 #: Languages that a model may hold; it takes 256 KB for each.
@@ -69,7 +71,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             there = own.nonzero()[0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(own[there])], names=["lang", "class", "n"])
 
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna().mapInArrow(count, "lang string, class int, n long")
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna().mapInArrow(frugal(count), "lang string, class int, n long")
     # at most CLASSES rows a language reach the driver
     found = rows.groupBy("lang", "class").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("class").alias("classes"), F.collect_list("n").alias("ns")).limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
@@ -166,7 +168,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "l
             put = {name: pa.array([f[k] for f in found], kind) for k, (name, kind) in enumerate(zip(added, (pa.string(), pa.float64(), pa.float64()), strict=True))}
             yield pa.RecordBatch.from_arrays([put.get(name, column) for name, column in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(frugal(run), out.schema)
 
 
 def fold(key: Column, folds: int = 5) -> Column:

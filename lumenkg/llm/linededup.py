@@ -27,10 +27,13 @@ from .common import bit_filter, drop_since, flagged, made, stored
 LEAST_WORDS = 8
 #: No edit is allowed in lines of few words that have fewer characters: one is too large a part of them ("Chapter 1", "Chapter 2").
 LEAST_CHARS = 12
-# Fixed value: white space but for the space and the end of a line.
-_SPACE = r"[\t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Names of lines that hold at least one in so many of all lines are joined without a shuffle; there are no more of them than that.
+HOT = 1000
+# Fixed value: white space but for the space and the end of a line. The range around the higher characters lets others pass after two tests.
+_SPACES = r"\t\x0B\f\r\x1C\x1D\x1E\x1F\x{85}\x{A0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+_SPACE = f"[{_SPACES}]"
 #: Whether a text has anything but white space.
-HAS_WORD = _SPACE.replace("[", r"[^ \n", 1)
+HAS_WORD = rf"[^ \n{_SPACES}]"
 
 
 def plain(text: Column) -> Column:
@@ -104,8 +107,10 @@ def _met(docs: DataFrame, names: DataFrame, doc_id: str, text: str) -> DataFrame
     sides = keys.join(shared, "key").groupBy("a", (unit == 2).alias("chars")).agg((F.min(side) == 0).alias("fore"), (F.max(side) == 1).alias("aft"))
     firsts = names.select("a", "b", "first").join(sides, "a")
     firsts = stored(firsts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "a", "b", "chars", "fore", "aft", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), "met")
+    texts = stored(bit_filter(firsts, F.xxhash64("r")), "bits")
     bits = stored(bit_filter(firsts, F.xxhash64("d", "r", "t")), "bits")
-    every = flagged(_lines(docs, doc_id, text).withColumn("place", F.xxhash64("doc_id", "row", "at")), F.col("place"), bits, "maybe").where("maybe")
+    some = flagged(docs.select(doc_id, text), F.xxhash64(F.xxhash64(text)), texts, "__line_some").where("__line_some").drop("__line_some")
+    every = flagged(_lines(some, doc_id, text).withColumn("place", F.xxhash64("doc_id", "row", "at")), F.col("place"), bits, "maybe").where("maybe")
     found = every.join(firsts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("at") == F.col("t")))
     # rows that repeat a document have the same lines
     found = found.groupBy("id").agg(*[F.first(c).alias(c) for c in ("a", "b", "chars", "fore", "aft", "line")]).withColumn("w", folded(F.col("line")))
@@ -143,12 +148,15 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     every = stored(hashed(docs, doc_id, text), "lines")
     place = F.struct("doc_id", "row", "at")
     code = F.xxhash64("doc_id", "row", "at")
-    names = every.groupBy("a", "b").agg(F.min(place).alias("first"), (F.min(code) != F.max(code)).alias("several"), *[F.first(f"{unit}{i}").alias(f"{unit}{i}") for unit in "hc" for i in range(4)])
+    names = every.groupBy("a", "b").agg(F.min(place).alias("first"), (F.min(code) != F.max(code)).alias("several"), F.count("*").alias("times"), *[F.first(f"{unit}{i}").alias(f"{unit}{i}") for unit in "hc" for i in range(4)])
     names = stored(names, "names")
     close = near(docs, names, doc_id, text).withColumn("close", F.lit(True))
     # of lines that occur once and have no near one earlier, nothing goes
-    firsts = names.select("a", "b", "first", "several").join(close, ["a", "b"], "left").where("close or several").select("a", "b", "first", F.coalesce("close", F.lit(False)).alias("close"))
-    gone = every.select("doc_id", "row", "at", "a", "b").join(firsts, ["a", "b"]).where(F.col("close") | ~place.eqNullSafe(F.col("first")))
+    firsts = names.select("a", "b", "first", "several", "times").join(close, ["a", "b"], "left").where("close or several").select("a", "b", "first", "times", F.coalesce("close", F.lit(False)).alias("close"))
+    firsts, rows = stored(firsts, "firsts"), every.select("doc_id", "row", "at", "a", "b")
+    hot = F.broadcast(firsts.where(F.col("times") * HOT > every.count()))  # fewer than HOT rows
+    cold = rows.join(hot.select("a", "b"), ["a", "b"], "left_anti").join(firsts, ["a", "b"])
+    gone = rows.join(hot, ["a", "b"]).unionByName(cold).where(F.col("close") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
 
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_since, made, stored
+from .common import drop_since, frugal, made, stored
 
 #: 1 - (1 - s**ROWS)**BANDS of the pairs of similarity s share a bucket: all but 6e-11 at 0.85, all but 5e-8 at 0.8.
 BANDS, ROWS = 32, 4
@@ -137,7 +137,7 @@ def signed(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(odd[:, i]) for i in range(SKETCH_WORDS))], names=["doc_id", "row", "n", "digest", "bands", *sketch])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, n long, digest binary, bands array<long>, {', '.join(f'{s} long' for s in sketch)}")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, row long, n long, digest binary, bands array<long>, {', '.join(f'{s} long' for s in sketch)}")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
@@ -156,9 +156,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -
             yield batch.select(["rid", "z"]).filter(pa.array([a == b for a, b in zip(own, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    z = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(squeeze, f"doc_id {kind}, z binary")
+    z = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(squeeze), f"doc_id {kind}, z binary")
     met = z.join(wanted.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("rid", "digest", "z")
-    return met.mapInArrow(right, "rid long, z binary").dropDuplicates(["rid"])
+    return met.mapInArrow(frugal(right), "rid long, z binary").dropDuplicates(["rid"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array([linked(of(a, x), of(b, y), percent) for a, b, x, y in zip(u, v, zu, zv, strict=True)], pa.bool_())], names=["u", "v", "ok"])
 
     met = pairs.join(texts.select(F.col("rid").alias("u"), F.col("z").alias("zu")), "u").join(texts.select(F.col("rid").alias("v"), F.col("z").alias("zv")), "v")
-    return met.select("u", "v", "zu", "zv").mapInArrow(run, "u long, v long, ok boolean")
+    return met.select("u", "v", "zu", "zv").mapInArrow(frugal(run), "u long, v long, ok boolean")
 
 
 def _least_shared(n: Column, percent: int) -> Column:
@@ -206,7 +206,7 @@ def _residual(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, pe
     own = members.select("key", "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("c"))
     mixed = own.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
     left = own.join(mixed, "key").select("rid", "c").distinct()
-    sets = stored(left.join(texts, "rid").select("rid", "c", "z").mapInArrow(explode, "rid long, c long, gs array<long>"), "sets")
+    sets = stored(left.join(texts, "rid").select("rid", "c", "z").mapInArrow(frugal(explode), "rid long, c long, gs array<long>"), "sets")
     often = sets.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     known = sets.select("rid", "c", F.size("gs").alias("n"), F.explode("gs").alias("g")).join(often, "g")
     # shingles that no other class has come before all others

@@ -9,27 +9,31 @@ one of them is at most half full; it and the roomiest others are all that a late
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 #: Pieces that a group packs at once, and groups that meet in a round.
 GROUP_PIECES, FAN_IN = 8_192, 16
 #: Roomy bins that a group hands on beside the one that is at most half full.
 CARRY = 64
-#: Distinct words whose ids a task remembers at once.
-CACHE_WORDS = 500_000
+#: Distinct words whose ids a task remembers: as many that are new, and as many that were in use before.
+CACHE_WORDS = 100_000
+# Normalisation and splitting that never join characters across a space or a line feed, and split letters off signs.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
 #: Letters with ASCII signs before and after them. An apostrophe before letters is left out: it may belong to them.
 _WORD = re.compile(r"""([(\[{"*#$%&_-]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)""")
@@ -45,19 +49,27 @@ def _bytes(ids: list[int]) -> bytes:
 class Tokens:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins characters across a space or a line feed, so the ids of a text are
-    those of its parts between them; parts that were seen before are not tokenised again.
+    Where the tokenizer is known never to join characters across a space or a line feed, the ids of a
+    text are those of its parts between them; parts that were seen before are not tokenised again. Any
+    other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parted = self._parts_alone(json.loads(Path(path).read_text(encoding="utf-8")))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.parts: dict[str, bytes] = {"": b""}
         self.signs: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    @staticmethod
+    def _parts_alone(found: dict) -> bool:
+        normal, split, model = found.get("normalizer") or {}, found.get("pre_tokenizer") or {}, found.get("model") or {}
+        alone = normal.get("normalizers") == _NORMAL and split.get("pretokenizers") == _SPLIT and model.get("type") == "BPE" and found.get("post_processor") is None and not found.get("truncation")
+        return alone and all(t["special"] and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in found.get("added_tokens") or [])
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -78,18 +90,26 @@ class Tokens:
         return self._whole(part)
 
     def forget(self) -> None:
-        self.parts.clear()
-        self.parts[""] = b""
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        parts, out = self.parts, []
-        if len(parts) > CACHE_WORDS:
-            self.forget()
+        if not self.parted:
+            return self._whole(text)
+        new, out = self.new, []
         for part in text.replace("\n", " ").split(" "):
-            ids = parts.get(part)
+            if not part:
+                continue
+            ids = new.get(part)
             if ids is None:
-                ids = parts[part] = self._part(part)
+                ids = self.old.get(part)
+                if ids is None:
+                    ids = self._part(part)
+                if len(part) < 64:
+                    new[part] = ids
             out.append(ids)
+        if len(new) > CACHE_WORDS:  # words that are in use come back from the old ones
+            self.new, self.old = {}, new
         return b"".join(out)
 
 
@@ -130,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             )
         tokens.forget()  # the worker lives on
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -155,50 +175,60 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, made
 
 
-def _round(items: DataFrame, groups: int, capacity: int, nearly: int) -> DataFrame:
-    """Pack the items (id, group, length, order) of each group; per item: id, length, bin, shift, fill, and whether the bin goes on."""
-
-    def run(batches):
-        frames = [batch.to_pandas() for batch in batches]
-        if not frames:
-            return
-        frame = pd.concat(frames)
-        for group, own in frame.groupby("group", sort=True):
-            own = own.sort_values(["length", "id"], ascending=[False, True], kind="stable")
-            bins, offsets, made = best_fit(own.length.to_numpy(), capacity)
-            fill = np.bincount(bins, weights=own.length.to_numpy(), minlength=made).astype(np.int64)
-            first = np.full(made, np.iinfo(np.int64).max)
-            np.minimum.at(first, bins, own.id.to_numpy())
-            onward = np.zeros(made, dtype=bool)
-            onward[np.argsort(fill, kind="stable")[: CARRY + 1]] = True
-            onward &= fill <= capacity - nearly
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({"id": own.id.to_numpy(), "bin": first[bins], "shift": offsets, "fill": fill[bins], "group": np.int32(group), "onward": onward[bins]}), preserve_index=False
-            )
+def _round(items: DataFrame, capacity: int, nearly: int, carry: int | None) -> DataFrame:
+    """Pack the items (id, group, length) of each group; per item: id, bin (its least id), shift, fill, group, and whether the bin goes on."""
 
-    return items.repartition(groups, "group").mapInArrow(run, "id long, bin long, shift long, fill long, group int, onward boolean")
+    def packed_(group: int, ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        bins, offsets, made = best_fit(lengths, capacity)
+        fill = np.bincount(bins, weights=lengths, minlength=made).astype(np.int64)
+        first = np.full(made, np.iinfo(np.int64).max)
+        np.minimum.at(first, bins, ids)
+        onward = np.zeros(made, dtype=bool)
+        onward[np.argsort(fill, kind="stable")[: None if carry is None else carry + 1]] = True
+        onward &= fill <= capacity - nearly
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, first[bins], offsets, fill[bins], np.full(len(ids), group, dtype=np.int64), onward[bins])], names=["id", "bin", "shift", "fill", "group", "onward"])
 
-
-def pack(items: DataFrame, capacity: int = 2048, nearly: int = 8, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the group that the next batch may go on with
+        last = None
+        for batch in batches:
+            groups, ids, lengths = (batch.column(c).to_numpy() for c in ("group", "id", "length"))
+            cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])).tolist() if len(groups) else []
+            for a, b in zip(cuts, [*cuts[1:], len(groups)], strict=True):
+                if held and groups[a] != last:
+                    yield packed_(last, *map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                last = int(groups[a])
+                held.append((ids[a:b], lengths[a:b]))
+        if held:
+            yield packed_(last, *map(np.concatenate, zip(*held, strict=True)))
+
+    # a task packs as many groups as make up a partition, one by one
+    dealt = items.select("id", "group", "length").repartition("group").sortWithinPartitions("group", F.desc("length"), "id")
+    return dealt.mapInArrow(frugal(run), "id long, bin long, shift long, fill long, group long, onward boolean")
+
+
+def pack(items: DataFrame, capacity: int = 2048, nearly: int = 8, group_pieces: int = GROUP_PIECES, carry: int | None = CARRY) -> DataFrame:
     """items (with part, slot and length, 1 to capacity) with sequence_id and offset.
 
     The items must come from a table (they are read more than once) in which (part, slot) is unique.
-    Bins with less than ``nearly`` of room are final at once. An empty table gives an empty result.
+    Bins with less than ``nearly`` of room are final at once; of the others a group hands on the carry
+    roomiest and one more, or all (None). An empty table gives an empty result.
     """
     key = F.shiftleft(F.col("part").cast("long"), 36) + F.col("slot")
     groups = max(1, -(-items.count() // group_pieces))
-    dealt = items.withColumn("id", key).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    where = stored(_round(dealt.select("id", "group", "length"), groups, capacity, nearly), "packed")
+    dealt = items.withColumn("id", key).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    where = stored(_round(dealt, capacity, nearly, carry), "packed")
     moved, rest = None, where.where("onward")
     while groups > 1:
         groups = -(-groups // FAN_IN)
-        bins = rest.groupBy(F.col("bin").alias("id")).agg(F.first("fill").alias("length"), (F.first("group") / FAN_IN).cast("int").alias("group"))
-        again = stored(_round(bins, groups, capacity, nearly), "packed")
+        bins = rest.groupBy(F.col("bin").alias("id")).agg(F.first("fill").alias("length"), F.floor(F.first("group") / FAN_IN).alias("group"))
+        again = stored(_round(bins, capacity, nearly, carry), "packed")
         step = again.select("id", F.col("bin").alias("to"), F.col("shift").alias("by"))
         if moved is None:
             moved = step
         else:  # where the bins of the first round have come to
-            moved = moved.join(step.withColumnRenamed("id", "to_").withColumnRenamed("to", "next").withColumnRenamed("by", "more"), F.col("to") == F.col("to_"), "left")
+            moved = moved.join(step.withColumnsRenamed({"id": "to_", "to": "next", "by": "more"}), F.col("to") == F.col("to_"), "left")
             moved = moved.select("id", F.coalesce("next", "to").alias("to"), (F.col("by") + F.coalesce("more", F.lit(0))).alias("by"))
         rest = again.where("onward")
     placed = dealt.drop("group").join(where.select("id", "bin", "shift"), "id")
