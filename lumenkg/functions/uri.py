@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # The languages that a file name or an identifier may carry, and the keys in their order.
 LANGUAGES = ("en", "de", "fr", "ro", "ar", "bg", "ru", "fi", "tr", "sl")
 KEYS = ("a", "p", "m", "s", "d", "l", "e")
+_VALUE = r"((?![\n\r\x{85}\x{2028}\x{2029}])[^&]+)"
+_DOCUMENT = rf"&d={_VALUE}(?:&l=({'|'.join(LANGUAGES)})(?=&|\z))?(?:&e={_VALUE})?"
+_WHOLE = rf"\A([a-z][a-z0-9+.-]*://[^/?#]+[^?]*)(?:\?a={_VALUE}(?:&p={_VALUE})?(?:&m={_VALUE}(?:&s={_VALUE})?|{_DOCUMENT})?)?\z"
+_KINDS = {"s": "symbol", "m": "module", "e": "element", "d": "document", "p": "path", "a": "archive"}
 # Characters that an IRI may not hold, and their escapes.
 ESCAPES = {" ": "%20", "\\": "%5C", "^": "%5E", "[": "%5B", "]": "%5D"}
 
@@ -19,10 +23,19 @@ def parse(uri: Column) -> Column:
 
     kind: base, archive, path, module, symbol, document or element; null with an error (the reason) for what is no identifier.
     """
+    good, of = uri.rlike(_WHOLE), {k: n for n, k in enumerate(("base", *KEYS), 1)}
+    part = {k: F.when(good, F.nullif(F.regexp_extract(uri, _WHOLE, n), F.lit(""))) for k, n in of.items()}
+    part["l"] = F.when(good & part["d"].isNotNull(), F.coalesce(part["l"], F.lit("en")))
+    kind = F.when(good, F.coalesce(*[F.when(part[k].isNotNull(), name) for k, name in _KINDS.items()], F.lit("base")))
+    error = F.when(~good, F.coalesce(_reason(uri), F.lit("empty part")))
+    return F.struct(F.coalesce(part["base"], F.substring_index(uri, "?", 1)).alias("base"), *[part[k].alias(k) for k in KEYS], kind.alias("kind"), error.alias("error"))
+
+
+def _reason(uri: Column) -> Column:
+    """Why a text is no identifier."""
     base = F.substring_index(uri, "?", 1)
     query = F.when(F.contains(uri, F.lit("?")), F.substring(uri, F.length(base) + 2, F.length(uri)))
-    split = _let(F.struct(uri.alias("uri"), base.alias("base"), query.alias("query"), F.split(query, "&").alias("parts")), _checked)
-    return _let(split, _taken)
+    return _let(F.struct(uri.alias("uri"), base.alias("base"), query.alias("query"), F.split(query, "&").alias("parts")), _checked)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,7 +47,7 @@ def _checked(x: Column) -> Column:
     keys = F.transform(x["parts"], lambda y: F.substring_index(y, "=", 1))
     order = F.transform(keys, lambda k: F.array_position(F.array(*map(F.lit, KEYS)), k))
     has = {k: F.array_contains(keys, k) for k in KEYS}
-    error = (
+    return (
         F.when(x["uri"].isNull(), None)
         .when(~x["base"].rlike(r"^[a-z][a-z0-9+.-]*://[^/?#]+"), "base")
         .when(x["query"].isNull(), None)
@@ -46,16 +59,6 @@ def _checked(x: Column) -> Column:
         .when(F.exists(x["parts"], lambda y: ~y.rlike("=.")), "empty part")
         .when(F.exists(x["parts"], lambda y: y.startswith("l=") & ~F.substring(y, 3, 99).isin(*LANGUAGES)), "language")
     )
-    return F.struct(x["uri"].alias("uri"), x["base"].alias("base"), x["query"].alias("query"), error.alias("error"))
-
-
-def _taken(x: Column) -> Column:
-    value = {k: F.nullif(F.regexp_extract(F.concat(F.lit("&"), x["query"]), f"&{k}=([^&]*)", 1), F.lit("")) for k in KEYS}
-    good = x["error"].isNull() & x["uri"].isNotNull()
-    kind = F.when(x["query"].isNull(), "base").when(x["query"].contains("&s="), "symbol").when(x["query"].contains("&m="), "module").when(x["query"].contains("&e="), "element").when(x["query"].contains("&d="), "document").when(x["query"].contains("&p="), "path").otherwise("archive")
-    own = {k: F.when(good, v) for k, v in value.items()}
-    own["l"] = F.when(good & value["d"].isNotNull(), F.coalesce(value["l"], F.lit("en")))
-    return F.struct(x["base"].alias("base"), *[own[k].alias(k) for k in KEYS], F.when(good, kind).alias("kind"), x["error"].alias("error"))
 
 
 def compose(base: Column, **parts: Column) -> Column:

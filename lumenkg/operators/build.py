@@ -92,6 +92,22 @@ def eta(done: DataFrame, total: int, queue: str = "queue", ts: str = "ts") -> Da
     return done.select(queue, "id", n.alias("done"), seconds.alias("elapsed"), F.when(n > 1, seconds / (n - 1) * (total - n)).alias("left"))
 
 
+def registered(queues: DataFrame) -> DataFrame:
+    """name and idx, the first free number, from 0, that a new queue of the name would get. queues: name, idx.
+
+    The k-th of the numbers in use is k as long as none is free before it.
+    """
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("idx")) - 1
+    used = queues.select("name", "idx").distinct().withColumn("nth", nth)
+    gap = F.min(F.when(F.col("idx") != F.col("nth"), F.col("nth")))
+    return used.groupBy("name").agg(F.coalesce(gap, F.count("*").cast("int")).cast("long").alias("idx"))
+
+
+def next_id(queues: DataFrame) -> DataFrame:
+    """The number that a new queue gets among all: id."""
+    return queues.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+
+
 def source_deps(sources: DataFrame, text: str = "text") -> DataFrame:
     """file, kind, archive (null: its own), path, strict, of the commands of a source that name other sources.
 

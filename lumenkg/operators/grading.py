@@ -26,11 +26,10 @@ def multiple(choices: Column, picks: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """The value of an answer: a sign, digits and perhaps a fraction; whole numbers must fit into 32 bits. Null for all else."""
-    t = F.trim(text)
-    whole = F.when(t.rlike(r"^[+-]?[0-9]+$"), F.try_to_number(F.regexp_replace(t, r"^\+", ""), F.lit("S9999999999999999999")))
+    """The value of an answer: whole numbers of 32 bits, or with a point digits before or after it and perhaps an exponent. Null for all else, blanks around it included."""
+    whole = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("decimal(38,0)"))
     whole = F.when(whole.between(-(1 << 31), (1 << 31) - 1), whole.cast("float"))
-    return F.coalesce(whole, F.when(t.rlike(r"^[+-]?[0-9]*\.[0-9]+$"), t.try_cast("float")))
+    return F.coalesce(whole, F.when(text.rlike(r"\A[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), text.try_cast("float")))
 
 
 def case_of(kind: Column, text: Column) -> Column:
@@ -44,13 +43,19 @@ def case_of(kind: Column, text: Column) -> Column:
 
 def fillin(cases: Column, text: Column) -> Column:
     """struct<points, correct> by the first case that fits; no case: wrong. Ranges include their ends; a pattern may fit anywhere."""
-    value = number(text)
 
-    def fits(c: Column) -> Column:
-        ranged = value.isNotNull() & (c["lo"].isNull() | (value >= c["lo"])) & (c["hi"].isNull() | (value <= c["hi"]))
-        return F.when(c["kind"] == "exact", text == c["value"]).when(c["kind"] == "range", ranged).otherwise(F.regexp_like(text, c["value"]))
+    def verdict(answer: Column) -> Column:
+        value = answer["value"]
 
-    right = F.coalesce(F.get(F.filter(cases, fits), 0)["verdict"], F.lit(False))
+        def fits(c: Column) -> Column:
+            ranged = value.isNotNull() & (c["lo"].isNull() | (value >= c["lo"])) & (c["hi"].isNull() | (value <= c["hi"]))
+            return F.when(c["kind"] == "exact", answer["text"] == c["value"]).when(c["kind"] == "range", ranged).otherwise(F.regexp_like(answer["text"], c["value"]))
+
+        return F.get(F.filter(cases, fits), 0)["verdict"]
+
+    # the number is read once for all cases
+    own = F.array(F.struct(text.alias("text"), number(text).alias("value")))
+    right = F.coalesce(F.get(F.transform(own, verdict), 0), F.lit(False))
     return F.struct(right.cast("float").alias("points"), right.alias("correct"))
 
 

@@ -5,11 +5,13 @@ A solution is a row, a variable a column; an unbound variable is null. Joins are
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
 from .closure import closure
 
 
@@ -40,8 +42,21 @@ def natural(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def bgp(data: DataFrame, *patterns: tuple[str | None, str | None, str | None]) -> DataFrame:
-    """Join of triple patterns, in the given order where they share variables; Catalyst and AQE choose the kinds of join."""
-    return reduce(natural, [pattern(data, *t) for t in patterns])
+    """Join of triple patterns. The next pattern is the first that shares a variable with those before it, so that only patterns without any link are crossed; Catalyst and AQE choose the kinds of join."""
+    left = [pattern(data, *t) for t in patterns]
+    out = left.pop(0)
+    while left:
+        linked = next((n for n, p in enumerate(left) if set(p.columns) & set(out.columns)), 0)
+        out = natural(out, left.pop(linked))
+    return out
+
+
+def kept_triples(quads: DataFrame, *predicates: str) -> DataFrame:
+    """The triples of the predicates as a table that is laid out by predicate: each pattern reads its own part, and the quads are derived once."""
+    own = triples(quads.where(F.col("p").isin(*predicates)))
+    path = f"{shared_dir(quads.sparkSession)}/triples-{uuid.uuid4().hex}"
+    own.write.partitionBy("p").parquet(path)
+    return quads.sparkSession.read.schema(own.schema).parquet(path)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -49,24 +64,33 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Solutions of a that agree with none of b. Without shared variables nothing goes; an unbound shared variable agrees with anything, but one must be bound in both."""
+    """Solutions of a that agree with none of b. Without shared variables nothing goes; an unbound shared variable agrees with anything, but one must be bound in both.
+
+    Rows are taken apart by which of the shared variables they bind (few patterns); for each two patterns
+    that is an anti join on what both bind.
+    """
     shared = [c for c in a.columns if c in b.columns]
     if not shared:
         return a
-    right = b.select(*[F.col(c).alias(f"_{c}") for c in shared]).distinct()
-    unbound = [c for c in shared if a.schema[c].nullable or b.schema[c].nullable]
-    sure = [c for c in shared if c not in unbound]
-    agree = [F.col(c) == F.col(f"_{c}") for c in sure]
-    agree += [F.col(c).isNull() | F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")) for c in unbound]
-    if not sure:
-        agree.append(reduce(Column.__or__, [F.col(c).isNotNull() & F.col(f"_{c}").isNotNull() for c in shared]))
-    return a.join(right, reduce(Column.__and__, agree), "left_anti")
+    right = b.select(*shared).distinct()
+    bound = F.array(*[F.col(c).isNotNull() for c in shared])
+    kinds = [{tuple(r[0]) for r in side.select(bound.alias("bound")).distinct().collect()} for side in (a, right)]
+    out = a.limit(0)
+    for here in sorted(kinds[0]):
+        rows = a.where(reduce(Column.__and__, [F.col(c).isNotNull() == is_bound for c, is_bound in zip(shared, here, strict=True)]))
+        for there in sorted(kinds[1]):
+            both = [c for c, x, y in zip(shared, here, there, strict=True) if x and y]
+            if both:
+                own = right.where(reduce(Column.__and__, [F.col(c).isNotNull() == is_bound for c, is_bound in zip(shared, there, strict=True)]))
+                rows = bound_minus(rows, own.select(*both))
+        out = out.unionByName(rows)
+    return out.select(*a.columns)
 
 
 def bound_minus(a: DataFrame, b: DataFrame) -> DataFrame:
     """minus() where the shared variables are bound in both: a plain anti join."""
     shared = [c for c in a.columns if c in b.columns]
-    return a.join(b.select(*shared).distinct(), shared, "left_anti") if shared else a
+    return a.join(b.select(*shared).distinct(), shared, "left_anti").select(*a.columns) if shared else a
 
 
 def optional(a: DataFrame, b: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -74,7 +98,7 @@ def optional(a: DataFrame, b: DataFrame, condition: Column | None = None) -> Dat
     shared = [c for c in a.columns if c in b.columns]
     right = b.select(*[F.col(c).alias(f"_{c}" if c in shared else c) for c in b.columns])
     on = [F.col(c) == F.col(f"_{c}") for c in shared] + ([condition] if condition is not None else [])
-    return a.join(right, reduce(Column.__and__, on), "left").drop(*[f"_{c}" for c in shared])
+    return a.join(right, reduce(Column.__and__, on) if on else F.lit(True), "left").drop(*[f"_{c}" for c in shared])
 
 
 def exists(a: DataFrame, b: DataFrame, negate: bool = False) -> DataFrame:
@@ -139,21 +163,63 @@ def first_notation(quads: DataFrame) -> DataFrame:
     return pattern(triples(quads), "?element", "notation-for", "?symbol").groupBy("symbol").agg(F.min("element").alias("element"))
 
 
-def archive_edges(quads: DataFrame) -> DataFrame:
-    """Archive to archive: one of its documents requires, imports or has as a part what the other holds."""
+def rolled_up(quads: DataFrame, predicates: list[str], up: list[str]) -> DataFrame:
+    """Pairs (term, holder): a triple with one of the predicates has the term as its object, and the holder as its subject or as what holds it over one or more of the predicates of up.
+
+    What is carried up is terms, each once for each holder, not pairs of a holder and all within it.
+    """
+    found = quads.where(F.col("p").isin(predicates)).select(F.col("o").alias("src"), F.col("s").alias("dst"))
+    return _carried(found, quads, up).withColumnsRenamed({"src": "term", "dst": "holder"})
+
+
+def _carried(found: DataFrame, quads: DataFrame, up: list[str]) -> DataFrame:
+    """Pairs (src, dst) with all dst above theirs. Terms are marked, so that a term that is a holder, too, is not gone on from."""
+    mark = F.lit("\x00")
+    start = found.select(F.concat(mark, "src").alias("src"), "dst")
+    above = quads.where(F.col("p").isin(up)).select(F.col("o").alias("src"), F.col("s").alias("dst"))
+    return closure(start.unionByName(above), start.select("src")).select(F.substring("src", 2, 1 << 30).alias("src"), "dst")
+
+
+def documents(quads: DataFrame) -> DataFrame:
+    return quads.where("p = 'type' and o = 'document'").select(F.col("s").alias("doc")).distinct()
+
+
+def archive_edges(quads: DataFrame, metas: DataFrame | None = None, prefix: str = "arch/") -> DataFrame:
+    """src, dst: a document of the archive src, or what it contains, requires, imports or has as a part what is, or is contained in, a document of dst.
+
+    metas (src, dst): archives for meta data, which all archives of their groups depend on.
+    """
+    t = triples(quads)
+    docs = documents(quads)
+    held = t.where((F.col("p") == "contains") & F.col("s").startswith(prefix)).select(F.col("s").alias("archive"), F.col("o").alias("doc")).join(docs, "doc", "left_semi")
+    used = rolled_up(t, ["requires", "imports", "hasPart"], ["contains"]).select(F.col("holder").alias("doc"), "term")
+    used = held.join(used, "doc").select("archive", "term").distinct()
+    holders = docs.select("doc", F.col("doc").alias("term")).unionByName(t.where("p = 'contains'").select(F.col("s").alias("doc"), F.col("o").alias("term")).join(docs, "doc", "left_semi")).distinct()
+    owners = holders.join(held, "doc").select("term", F.col("archive").alias("dst")).distinct()
+    out = used.join(owners, "term").select(F.col("archive").alias("src"), "dst")
+    return (out if metas is None else out.unionByName(metas)).distinct()
+
+
+def unused_files(quads: DataFrame, prefix: str = "arch/") -> DataFrame:
+    """archive, file: held by an archive, no part of any document, and not above anything that is required or imported."""
     t = triples(quads)
-    holds = t.where((F.col("p") == "contains") & F.col("s").startswith("arch/")).select(F.col("s").alias("archive"), F.col("o").alias("inner"))
-    uses = t.where(F.col("p").isin("requires", "imports", "hasPart")).select(F.col("s").alias("inner"), F.col("o").alias("used"))
-    owner = holds.select(F.col("archive").alias("dst"), F.col("inner").alias("used"))
-    return holds.join(uses, "inner").join(owner, "used").select(F.col("archive").alias("src"), "dst").where("src != dst").distinct()
+    files = t.where((F.col("p") == "contains") & F.col("s").startswith(prefix)).select(F.col("s").alias("archive"), F.col("o").alias("file"))
+    parts = t.where("p = 'hasPart'").select(F.col("o").alias("file")).distinct()
+    wanted = t.where("p in ('requires', 'imports')").select(F.col("o").alias("src")).distinct()
+    above = path(t, ["contains"], wanted, "+", inverse=True).select(F.col("dst").alias("file")).distinct()
+    return files.join(parts.unionByName(above).distinct(), "file", "left_anti").select("archive", "file")
+
+
+def symbols_of(quads: DataFrame, predicate: str) -> DataFrame:
+    """doc, symbol: the document, or what it contains or has as a part at any depth, has a triple of the predicate with the symbol."""
+    found = rolled_up(triples(quads), [predicate], ["contains", "hasPart"])
+    return found.select(F.col("holder").alias("doc"), F.col("term").alias("symbol")).join(documents(quads), "doc", "left_semi").distinct()
 
 
 def prerequisites(quads: DataFrame, intent: bool = False) -> DataFrame:
-    """doc, symbol: referenced in the document and not defined; as written down, a definition counts in the same element only, with intent anywhere in the document."""
-    t = triples(quads)
-    inner = pattern(t, "?doc", "contains", "?element")
-    refers = natural(inner, pattern(t, "?element", "crossrefs", "?symbol"))
-    defines = natural(inner, pattern(t, "?element", "defines", "?symbol"))
+    """doc, symbol: referenced in the document, at any depth, and not defined; as written down, a definition counts in the same element only, with intent anywhere in the document."""
     if intent:
-        refers, defines = refers.drop("element"), defines.drop("element")
-    return bound_minus(refers, defines).select("doc", "symbol").distinct()
+        return bound_minus(symbols_of(quads, "crossrefs"), symbols_of(quads, "defines"))
+    refers, defines = (triples(quads).where(F.col("p") == p).select("s", "o") for p in ("crossrefs", "defines"))
+    own = bound_minus(refers, defines).withColumn("p", F.lit("crossrefs")).select("s", "p", "o")
+    return symbols_of(own.unionByName(triples(quads).where("p in ('contains', 'hasPart', 'type')")), "crossrefs")

@@ -44,20 +44,20 @@ def duration(ms: Column) -> Column:
     return F.concat_ws(" ", F.when(d > 0, F.concat(d, F.lit("d"))), F.when(h > 0, F.concat(h % 24, F.lit("h"))), F.when(m > 0, F.concat(m % 60, F.lit("m"))), s)
 
 
-def moving_average(deltas: Column, weight: float = 0.5) -> Column:
-    """Exponential average of an array: the first as it is, then weight x new + (1 - weight) x old."""
-    step = lambda a, x: F.when(a.isNull(), x).otherwise(a * (1 - weight) + x * weight)
+def moving_average(deltas: Column, scale: float = 0.5) -> Column:
+    """Exponential average of an array: the first as it is, then scale x old + (1 - scale) x new."""
+    step = lambda a, x: F.when(a.isNull(), x).otherwise(a * scale + x * (1 - scale))
     return F.aggregate(deltas, F.lit(None).cast("double"), step)
 
 
-def moving_averages(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.5, block: int = 4096) -> DataFrame:
+def moving_averages(rows: DataFrame, key: str, order: str, value: str, scale: float = 0.5, block: int = 4096) -> DataFrame:
     """key and average: moving_average() of the values of each key by order, a whole number that is unique.
 
     Values are averaged in blocks of the order, then blocks of a key in turn: an average that goes on from
-    an older one differs from one that begins anew by (older - first) x (1 - weight) ^ values.
+    an older one differs from one that begins anew by (older - first) x scale ^ values.
     """
     own = rows.groupBy(key, F.floor(F.col(order) / block).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("vs"))
-    part = F.struct("block", moving_average(F.col("vs"), weight).alias("fresh"), F.get("vs", F.lit(0)).alias("first"), F.pow(F.lit(1 - weight), F.size("vs")).alias("left"), F.exists("vs", lambda v: v.isNull()).alias("anew"))
+    part = F.struct("block", moving_average(F.col("vs"), scale).alias("fresh"), F.get("vs", F.lit(0)).alias("first"), F.pow(F.lit(scale), F.size("vs")).alias("left"), F.exists("vs", lambda v: v.isNull()).alias("anew"))
     parts = own.select(key, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     step = lambda a, p: F.when(a.isNull() | p["anew"], p["fresh"]).otherwise(p["fresh"] + (a - p["first"]) * p["left"])
     return parts.select(key, F.aggregate("parts", F.lit(None).cast("double"), step).alias("average"))

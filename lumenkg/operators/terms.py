@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 
-def presented(terms: DataFrame, notations: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def presented(terms: DataFrame, notations: DataFrame) -> DataFrame:
     """owner, node and text of the outermost terms (owner, node, parent, ord, name).
 
     notations (name, template): $1, $2, ... stand for the arguments. Without a notation a term is its name,
     followed by its arguments in brackets. One join for each level, from the leaves up.
     """
     own = stored(terms.join(notations.dropDuplicates(["name"]), "name", "left").withColumn("text", F.lit(None).cast("string")), "terms")
-    for _ in range(most_rounds):
-        waits = own.where("text is null")
-        if waits.isEmpty():
-            break
+    before = None
+    while (waits := own.where("text is null").count()) and waits != before:  # on a cycle nothing changes any more
+        before = waits
         inner = own.where("parent is not null").groupBy("owner", F.col("parent").alias("node")).agg(F.count_if(F.col("text").isNull()).alias("open"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("args"))
         met = own.join(inner, ["owner", "node"], "left")
         texts = F.transform("args", lambda a: a["text"])

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .closure import rooted_paths
+
+#: Digits of the largest whole number that a place can be.
+PLACE_DIGITS = 19
 
 # Section levels from the highest.
 SECTION_LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
 
 
-def paths(nodes: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """nodes with path (places from the root down) and depth, level by level: one join for each level of the deepest document."""
-    level = stored(nodes.where("parent is null").select("doc", "node", F.array("ord").alias("path")), "level")
-    known, rest = level, nodes.where("parent is not null").select("doc", "node", "parent", "ord")
-    for _ in range(most_rounds + 1):
-        up = level.select("doc", F.col("node").alias("parent"), "path")
-        level = stored(rest.join(up, ["doc", "parent"]).select("doc", "node", F.concat("path", F.array("ord")).alias("path")), "level")
-        if level.isEmpty():
-            break
-        known = known.unionByName(level)
-    else:
-        raise ValueError(f"not finished after {most_rounds} rounds")
+def paths(nodes: DataFrame, most_depth: int = 1 << 20) -> DataFrame:
+    """nodes with path (places from the root down) and depth."""
+    known = rooted_paths(nodes.withColumn("part", F.col("ord")), most_depth)
     return nodes.join(known, ["doc", "node"]).withColumn("depth", F.size("path") - 1)
 
 
@@ -74,7 +71,7 @@ def fragments(ranges: DataFrame, html: DataFrame, start: str = "start", stop: st
     return own.withColumn("fragment", F.decode(F.substring("__raw", F.col(start) + 1, F.col(stop) - F.col(start)), "UTF-8")).drop("__raw")
 
 
-def contents(tree: DataFrame, parts: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def contents(tree: DataFrame, parts: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Tables of contents of roots (root): root, path (of nodes), doc, node, kind, title.
 
     tree: doc, node, path, kind, title, target (document of an inputref). parts are the edges (doc,
@@ -82,19 +79,19 @@ def contents(tree: DataFrame, parts: DataFrame, roots: DataFrame, most_rounds: i
     without a title that hold nothing are left out, and a document within itself is not opened again.
     """
     entries = tree.where(F.col("kind").isin("section", "inputref", "skipped", "slide", "paragraph")).select("doc", "node", "path", "kind", "title", "target")
-    text = F.transform("path", lambda p: F.lpad(p.cast("string"), 6, "0"))
+    text = F.transform("path", lambda p: F.lpad(p.cast("string"), PLACE_DIGITS, "0"))
     entries = stored(entries.withColumn("key", F.array_join(text, ".")).drop("path"), "entries")
     level = roots.select("root", F.col("root").alias("doc"), F.lit("").alias("key"), F.array("root").alias("trail"))
     found = None
-    for _ in range(most_rounds + 1):
+    for n in count():
+        if most_rounds is not None and n > most_rounds:
+            raise ValueError(f"not finished after {most_rounds} rounds")
         own = level.withColumnRenamed("key", "above").join(entries, "doc").withColumn("key", F.concat_ws(".", F.nullif("above", F.lit("")), "key")).drop("above")
         own = stored(own, "contents")
         found = own if found is None else found.unionByName(own)
         level = own.where("kind = 'inputref' and target is not null and not array_contains(trail, target)").select("root", F.col("target").alias("doc"), "key", F.concat("trail", F.array("target")).alias("trail"))
-        if level.isEmpty():
+        if level.isEmpty():  # trails end: no document is within itself
             break
-    else:
-        raise ValueError(f"not finished after {most_rounds} rounds")
     # what is above an entry that stays, stays
     real = found.where("kind not in ('inputref', 'skipped') and (kind != 'section' or title is not null)")
     above = real.select("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("key", r"\."))), lambda n: F.array_join(F.slice(F.split("key", r"\."), F.lit(1), n), "."))).alias("key")).distinct()

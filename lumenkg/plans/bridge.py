@@ -26,6 +26,10 @@ SELECT k, ord, concat('doc/', CAST(k AS STRING), '/', CAST(ord AS STRING)) AS ur
   CAST(quantity AS INT) % 7 AS level, tax < 0.02 AS notation, shipped
 FROM (SELECT l_orderkey AS k, l_partkey AS part, l_suppkey AS supplier, l_linenumber AS line, l_linestatus AS status, l_returnflag AS flag, l_quantity AS quantity, l_tax AS tax, l_shipdate AS shipped,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS ord FROM {lineitem}) x""",
+    "metas": """
+SELECT concat('arch/', id) AS src, concat('arch/', grp, '/meta-inf') AS dst FROM {archives} WHERE grp < 'B' OR grp > 'E'""",
+    "modules": """
+SELECT concat('mod/', CAST(s_suppkey AS STRING)) AS m, concat('mod/', CAST(s_suppkey + 1 AS STRING)) AS onward, uri AS host FROM {supplier} JOIN {docs} ON k = s_suppkey * 7""",
     "quads": """
 SELECT uri AS g, concat('arch/', archive) AS s, 'contains' AS p, uri AS o FROM {docs}
 UNION ALL SELECT uri, uri, 'type', 'document' FROM {docs}
@@ -37,8 +41,12 @@ UNION ALL SELECT doc, uri, 'notation-for', concat('sym/', CAST(part AS STRING))
 UNION ALL SELECT doc, uri, 'objective', concat('_:', uri) FROM {elements} WHERE kind IN ('problem', 'subproblem')
 UNION ALL SELECT doc, concat('_:', uri), 'po-symbol', concat('sym/', CAST(part AS STRING)) FROM {elements} WHERE kind IN ('problem', 'subproblem')
 UNION ALL SELECT doc, concat('_:', uri), 'cognitive-dimension', concat('cd-', CAST(line % 6 AS STRING)) FROM {elements} WHERE kind IN ('problem', 'subproblem')
-UNION ALL SELECT concat('arch/', id), concat('mod/', CAST(s_suppkey AS STRING)), 'type', 'theory' FROM {supplier} JOIN {archives} ON s_nationkey = nation
-UNION ALL SELECT concat('arch/', id), concat('arch/', id), 'contains', concat('mod/', CAST(s_suppkey AS STRING)) FROM {supplier} JOIN {archives} ON s_nationkey = nation
+UNION ALL SELECT host, host, 'contains', m FROM {modules}
+UNION ALL SELECT host, m, 'type', 'theory' FROM {modules}
+UNION ALL SELECT host, m, 'contains', concat(m, '/sub') FROM {modules}
+UNION ALL SELECT host, concat(m, '/sub'), 'type', 'theory' FROM {modules}
+UNION ALL SELECT host, concat(m, '/sub'), 'imports', onward FROM {modules}
+UNION ALL SELECT DISTINCT doc, doc, 'requires', concat('mod/', CAST(supplier AS STRING), '/sub') FROM {elements} WHERE part % 5 = 0
 UNION ALL SELECT 'parts', concat('sym/', CAST(p_partkey AS STRING)), 'extends', concat('sym/', CAST(CAST(floor((p_partkey - 1) / 2.0) AS BIGINT) AS STRING)) FROM {part} WHERE p_partkey > 0 AND p_size % 3 = 0
 UNION ALL SELECT 'inputs', concat('doc/', CAST(c.o_orderkey AS STRING)), 'part-of', concat('doc/', CAST(CAST(floor((c.o_orderkey - 1) / 2.0) AS BIGINT) AS STRING)) FROM {orders} c WHERE c.o_orderkey > 0 AND c.o_orderkey % 8 <> 3
 UNION ALL SELECT 'inputs', concat('doc/', CAST(CAST(floor((c.o_orderkey - 1) / 2.0) AS BIGINT) AS STRING)), 'hasPart', concat('doc/', CAST(c.o_orderkey AS STRING)) FROM {orders} c WHERE c.o_orderkey > 0 AND c.o_orderkey % 8 <> 3""",

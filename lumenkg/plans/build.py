@@ -32,4 +32,5 @@ _sources = lambda e: e.groupBy(F.col("k").alias("file")).agg(F.concat_ws("\n", F
 Q.add("build_source_deps", "elements", lambda e: B.source_deps(_sources(e)), "WITH x AS (SELECT DISTINCT k AS file, CASE kind WHEN 'definition' THEN 'import' ELSE 'input' END AS kind, concat('a', level) AS archive, concat('p/m', supplier) AS path FROM {elements} WHERE kind <> 'example') SELECT x.*, false AS strict FROM x UNION ALL SELECT x.*, true FROM x WHERE kind = 'import'")
 Q.add("overlay_archives", "docs", lambda d: B.overlaid([d.where("k % 5 = 0").select("uri", F.lit("sandbox").alias("text")), d.where("k % 3 = 0").select("uri", F.lit("temporary").alias("text")), d.select("uri", F.lit("global").alias("text"))], "uri"), "SELECT uri, CASE WHEN k % 5 = 0 THEN 'sandbox' WHEN k % 3 = 0 THEN 'temporary' ELSE 'global' END AS text, CASE WHEN k % 5 = 0 THEN 0 WHEN k % 3 = 0 THEN 1 ELSE 2 END AS layer FROM {docs}")
 Q.add("overlay_required", "archives", lambda a: B.required(a.select("id").unionByName(a.select(F.concat("grp", F.lit("/meta-inf")).alias("id")).distinct()), a.where("nation % 4 = 0").select("id")), "SELECT id FROM {archives} WHERE nation % 4 = 0 UNION SELECT concat(grp, '/meta-inf') FROM {archives} WHERE nation % 4 = 0")
-Q.add("build_queue_registry", "tasks", lambda t: t.groupBy(F.col("archive").alias("owner")).agg((F.max("id") + 1).alias("next"), F.min(F.when(F.col("state") == "queued", F.col("id"))).alias("first")), "SELECT archive AS owner, max(id) + 1 AS next, min(CASE WHEN state = 'queued' THEN id END) AS first FROM {tasks} GROUP BY archive")
+_queues = lambda t: t.where("size % 4 != 1").select("id", F.col("archive").alias("name"), (F.floor(F.col("id") / 3) % 9).alias("idx"))
+Q.add("build_queue_registry", "tasks", lambda t: B.registered(_queues(t)).crossJoin(B.next_id(_queues(t)).withColumnRenamed("id", "next")), "WITH q AS (SELECT DISTINCT archive AS name, id, CAST(floor(id / 3.0) AS BIGINT) % 9 AS idx FROM {tasks} WHERE size % 4 <> 1) SELECT name, (SELECT min(g) FROM unnest(generate_series(0, 9)) s(g) WHERE NOT EXISTS (SELECT 1 FROM q r WHERE r.name = n.name AND r.idx = g)) AS idx, (SELECT max(id) + 1 FROM q) AS \"next\" FROM (SELECT DISTINCT name FROM q) n")

@@ -44,8 +44,8 @@ def _toc(e, o):
 
 TOC = """
 WITH RECURSIVE c AS (SELECT root, root AS doc, '' AS key FROM (SELECT 'doc/900' AS root UNION ALL SELECT 'doc/901') x
-UNION ALL SELECT c.root, concat('doc/', o_orderkey), concat(key, CASE key WHEN '' THEN '' ELSE '.' END, lpad(CAST(o_orderkey % 2 + 100 AS STRING), 6, '0')) FROM c JOIN {orders} ON o_orderkey > 0 AND concat('doc/', CAST(floor((o_orderkey - 1) / 2.0) AS BIGINT)) = c.doc),
-r AS (SELECT c.root, concat(c.key, CASE c.key WHEN '' THEN '' ELSE '.' END, lpad(CAST(ord AS STRING), 6, '0')) AS key, CASE kind WHEN 'definition' THEN 'section' ELSE 'paragraph' END AS kind, CASE WHEN level <> 1 THEN uri END AS title FROM c JOIN {elements} e ON e.doc = c.doc WHERE level < 6 AND NOT (kind = 'definition' AND level = 1))
+UNION ALL SELECT c.root, concat('doc/', o_orderkey), concat(key, CASE key WHEN '' THEN '' ELSE '.' END, lpad(CAST(o_orderkey % 2 + 100 AS STRING), 19, '0')) FROM c JOIN {orders} ON o_orderkey > 0 AND concat('doc/', CAST(floor((o_orderkey - 1) / 2.0) AS BIGINT)) = c.doc),
+r AS (SELECT c.root, concat(c.key, CASE c.key WHEN '' THEN '' ELSE '.' END, lpad(CAST(ord AS STRING), 19, '0')) AS key, CASE kind WHEN 'definition' THEN 'section' ELSE 'paragraph' END AS kind, CASE WHEN level <> 1 THEN uri END AS title FROM c JOIN {elements} e ON e.doc = c.doc WHERE level < 6 AND NOT (kind = 'definition' AND level = 1))
 SELECT root, key, kind, title FROM r UNION ALL SELECT root, key, 'inputref', NULL FROM c WHERE key <> '' AND EXISTS (SELECT 1 FROM r WHERE r.root = c.root AND starts_with(r.key, concat(c.key, '.')))"""
 Q.add("content_toc", "elements orders", _toc, TOC)
 Q.add("content_quiz", "elements", lambda e: T.quiz(e.withColumn("solution", F.when(F.col("level") != 3, F.col("part").cast("string")))).select("doc", F.size("problems").alias("n"), F.concat_ws(";", F.transform("problems", lambda p: F.concat_ws(",", p["outer"], p["parts"], F.concat_ws("+", p["solutions"])))).alias("problems"), "error"), "WITH p AS (SELECT doc, ord, kind, CASE WHEN level <> 3 THEN CAST(part AS STRING) END AS solution, coalesce(last_value(CASE WHEN kind = 'problem' THEN ord END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING), ord) AS outer_ FROM {elements} WHERE kind IN ('problem', 'subproblem')), g AS (SELECT doc, outer_, count(*) AS parts, coalesce(string_agg(solution, '+' ORDER BY ord), '') AS solutions, count(solution) = 0 AS bad FROM p GROUP BY doc, outer_) SELECT doc, count(*) AS n, string_agg(concat_ws(',', outer_, parts, solutions), ';' ORDER BY outer_) AS problems, bool_or(bad) AS error FROM g GROUP BY doc")

@@ -24,7 +24,7 @@ Q.add("log_span_durations", "log_lines", G.spans, "WITH a AS (SELECT *, sum(CASE
 Q.add("log_level_counts", "log_lines", lambda l: l.where(G.level_rank(F.col("level")) >= 2).groupBy("level", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")), "SELECT level, date_trunc('hour', ts) AS hour, count(*) AS n FROM {log_lines} WHERE level <> 'TRACE' GROUP BY 1, 2")
 Q.add("log_tree", "log_lines", lambda l: G.tree(l.where("tag = 'open'").select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 3).alias("parent"))).fillna(-1, ["parent"]), "SELECT a.event_id AS id, coalesce(b.event_id, -1) AS parent FROM {log_lines} a LEFT JOIN {log_lines} b ON b.tag = 'open' AND b.event_id = CAST(floor(a.event_id / 3.0) AS BIGINT) WHERE a.tag = 'open'")
 Q.add("fmt_duration", "events", lambda e: e.select("event_id", G.duration(F.col("event_id") * 12_345).alias("text")), "WITH x AS (SELECT event_id, event_id * 12345 AS ms FROM {events}) SELECT event_id, concat_ws(' ', CASE WHEN ms >= 86400000 THEN concat(ms // 86400000, 'd') END, CASE WHEN ms >= 3600000 THEN concat(ms // 3600000 % 24, 'h') END, CASE WHEN ms >= 60000 THEN concat(ms // 60000 % 60, 'm') END, concat(ms % 60000 // 1000, '.', lpad(CAST(ms % 1000 AS STRING), 3, '0'), 's')) AS text FROM x")
-Q.add("ema_delta", "events", lambda e: G.moving_averages(e, "user_id", "event_id", "value").select("user_id", F.round("average", 6).alias("average")), "WITH RECURSIVE x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}), r AS (SELECT user_id, n, value AS a FROM x WHERE n = 1 UNION ALL SELECT x.user_id, x.n, r.a * 0.5 + x.value * 0.5 FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1) SELECT user_id, round(last(a ORDER BY n), 6) AS average FROM r GROUP BY user_id")
+Q.add("ema_delta", "events", lambda e: G.moving_averages(e, "user_id", "event_id", "value", scale=0.75).select("user_id", F.round("average", 6).alias("average")), "WITH RECURSIVE x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}), r AS (SELECT user_id, n, value AS a FROM x WHERE n = 1 UNION ALL SELECT x.user_id, x.n, r.a * 0.75 + x.value * 0.25 FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1) SELECT user_id, round(last(a ORDER BY n), 6) AS average FROM r GROUP BY user_id")
 
 
 def _commits(o):

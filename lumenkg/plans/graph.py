@@ -9,14 +9,25 @@ from ..operators.closure import closure
 from .registry import Queries
 
 Q = Queries()
+
+
+def _minus_unbound(q):
+    """Definitions with their notation, if any, less rows of which each binds one variable only."""
+    t = G.triples(q)
+    own = G.optional(G.pattern(t, "?x", "defines", "?y"), G.pattern(t, "?n", "notation-for", "?y"), F.col("n") == F.col("x"))
+    some = G.union(G.pattern(t.where("o like '%3'"), "?x", "defines", None), G.pattern(t.where("o like '%5'"), "?n", "notation-for", None))
+    return G.minus(own, some)
+
+
 T = "t AS (SELECT DISTINCT s, p, o FROM {quads})"
 LO = "SELECT s AS element, o AS symbol, 'definition' AS kind FROM t WHERE p = 'defines' UNION SELECT s, o, 'example' FROM t WHERE p = 'example-for'"
 
 Q.add("kg_num_relations", "quads", lambda q: G.triples(q).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM (SELECT DISTINCT s, p, o FROM {quads}) x")
 Q.add("kg_pattern_scan", "quads", lambda q: G.pattern(G.triples(q), "?x", "defines", "?y"), "SELECT DISTINCT s AS x, o AS y FROM {quads} WHERE p = 'defines'")
-Q.add("kg_bgp_join", "quads", lambda q: G.bgp(G.triples(q), ("?a", "contains", "?d"), ("?d", "contains", "?e"), ("?e", "defines", "?y")).select("a", "e", "y"), f"WITH {T} SELECT a.s AS a, b.o AS e, c.o AS y FROM t a JOIN t b ON a.o = b.s JOIN t c ON b.o = c.s WHERE a.p = 'contains' AND b.p = 'contains' AND c.p = 'defines'")
+Q.add("kg_bgp_join", "quads", lambda q: G.bgp(G.kept_triples(q, "contains", "defines"), ("?a", "contains", "?d"), ("?d", "contains", "?e"), ("?e", "defines", "?y")).select("a", "e", "y"), "WITH h AS (SELECT DISTINCT s, o FROM {quads} WHERE p = 'contains'), d AS (SELECT DISTINCT s, o FROM {quads} WHERE p = 'defines') SELECT a.s AS a, b.o AS e, d.o AS y FROM d JOIN h b ON b.o = d.s JOIN h a ON a.o = b.s")
 Q.add("kg_union_bind", "quads", lambda q: G.learning_objects(q), f"WITH {T} {LO}")
-Q.add("kg_minus", "quads", lambda q: G.bound_minus(G.pattern(G.triples(q), "?x", "crossrefs", "?y"), G.pattern(G.triples(q), "?x", "notation-for", "?y")), f"WITH {T} SELECT s AS x, o AS y FROM t WHERE p = 'crossrefs' AND NOT EXISTS (SELECT 1 FROM t u WHERE u.p = 'notation-for' AND u.s = t.s AND u.o = t.o)")
+Q.add("kg_minus", "quads", lambda q: G.minus(G.pattern(G.triples(q), "?x", "crossrefs", "?y"), G.pattern(G.triples(q), "?x", "notation-for", "?y")), f"WITH {T} SELECT s AS x, o AS y FROM t WHERE p = 'crossrefs' AND NOT EXISTS (SELECT 1 FROM t u WHERE u.p = 'notation-for' AND u.s = t.s AND u.o = t.o)")
+Q.add("kg_minus_unbound", "quads", _minus_unbound, f"WITH {T}, a AS (SELECT d.s AS x, d.o AS y, n.s AS n FROM t d LEFT JOIN t n ON n.p = 'notation-for' AND n.s = d.s AND n.o = d.o WHERE d.p = 'defines'), b AS (SELECT s AS x, CAST(NULL AS STRING) AS n FROM t WHERE p = 'defines' AND o LIKE '%3' UNION ALL SELECT NULL, s FROM t WHERE p = 'notation-for' AND o LIKE '%5') SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.x = a.x) AND NOT EXISTS (SELECT 1 FROM b WHERE b.n = a.n)")
 Q.add("kg_optional", "quads", lambda q: G.optional(G.pattern(G.triples(q), "?x", "defines", "?y"), G.pattern(G.triples(q), "?n", "notation-for", "?y"), F.col("n") < F.col("x")), f"WITH {T} SELECT a.s AS x, a.o AS y, b.s AS n FROM t a LEFT JOIN t b ON b.p = 'notation-for' AND b.o = a.o AND b.s < a.s WHERE a.p = 'defines'")
 Q.add("kg_filter_exists", "quads", lambda q: G.exists(G.pattern(G.triples(q), "?x", "type", "example"), G.pattern(G.triples(q), "?x", "notation-for", "?y")), f"WITH {T} SELECT s AS x FROM t WHERE p = 'type' AND o = 'example' AND EXISTS (SELECT 1 FROM t u WHERE u.p = 'notation-for' AND u.s = t.s)")
 Q.add("kg_filter_regex", "quads", lambda q: G.pattern(G.triples(q), "?x", "extends", "?y").where(F.col("x").rlike(r"7$") & F.col("y").contains("1")), f"WITH {T} SELECT s AS x, o AS y FROM t WHERE p = 'extends' AND s LIKE '%7' AND o LIKE '%1%'")
@@ -44,10 +55,20 @@ Q.add("kg_extensions", "quads", lambda q: G.pattern(G.triples(q), "?x", "extends
 _SEEDS = lambda q, start: G.triples(q).where(F.col("s").startswith(start)).select(F.col("s").alias("src"))
 Q.add("kg_contains_plus", "quads", lambda q: G.path(q, ["contains"], _SEEDS(q, "arch/"), "+").groupBy("src").agg(F.count("*").alias("n")), "WITH RECURSIVE c AS (SELECT DISTINCT s AS src, o AS dst FROM {quads} WHERE p = 'contains' AND s LIKE 'arch/%' UNION SELECT c.src, q.o FROM c JOIN {quads} q ON q.s = c.dst AND q.p = 'contains') SELECT src, count(*) AS n FROM c GROUP BY src")
 Q.add("kg_contains_or_part_star", "quads", lambda q: G.path(q, ["contains", "hasPart"], q.sparkSession.createDataFrame([("doc/100",), ("doc/7",)], "src string"), "*"), "WITH RECURSIVE c AS (SELECT x.src, x.src AS dst FROM (SELECT 'doc/100' AS src UNION ALL SELECT 'doc/7') x UNION SELECT c.src, q.o FROM c JOIN {quads} q ON q.s = c.dst AND q.p IN ('contains', 'hasPart')) SELECT src, dst FROM c")
-Q.add("kg_archive_deps", "quads", lambda q: closure(G.archive_edges(q)), "WITH RECURSIVE t AS (SELECT DISTINCT s, p, o FROM {quads}), e AS (SELECT DISTINCT a.s AS src, c.s AS dst FROM t a JOIN t b ON a.o = b.s JOIN t c ON b.o = c.o WHERE a.p = 'contains' AND a.s LIKE 'arch/%' AND b.p IN ('requires', 'imports', 'hasPart') AND c.p = 'contains' AND c.s LIKE 'arch/%' AND a.s <> c.s), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
-Q.add("kg_unused_files", "quads", lambda q: G.bound_minus(G.bound_minus(G.pattern(G.triples(q), "?x", "type", "document"), G.pattern(q, None, "hasPart", "?x").distinct()), G.pattern(q, "?x", "requires", None).distinct()), "SELECT DISTINCT s AS x FROM {quads} q WHERE p = 'type' AND o = 'document' AND NOT EXISTS (SELECT 1 FROM {quads} h WHERE h.p = 'hasPart' AND h.o = q.s) AND NOT EXISTS (SELECT 1 FROM {quads} r WHERE r.p = 'requires' AND r.s = q.s)")
-for name, p in (("kg_referenced_symbols", "crossrefs"), ("kg_defined_symbols", "defines")):
-    Q.add(name, "quads", lambda q, p=p: G.bgp(G.triples(q), ("?doc", "contains", "?e"), ("?e", p, "?symbol")).select("doc", "symbol").distinct(), f"WITH {T} SELECT DISTINCT a.s AS doc, b.o AS symbol FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'contains' AND b.p = '{p}'")
-Q.add("kg_prerequisites", "quads", G.prerequisites, f"WITH {T} SELECT DISTINCT a.s AS doc, b.o AS symbol FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'contains' AND b.p = 'crossrefs' AND NOT EXISTS (SELECT 1 FROM t c WHERE c.p = 'defines' AND c.s = b.s AND c.o = b.o)")
-Q.add("kg_prerequisites_intent", "quads", lambda q: G.prerequisites(q, True), f"WITH {T}, d AS (SELECT a.s AS doc, b.p AS p, b.o AS symbol FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'contains' AND b.p IN ('crossrefs', 'defines')) SELECT DISTINCT doc, symbol FROM d WHERE p = 'crossrefs' AND NOT EXISTS (SELECT 1 FROM d e WHERE e.p = 'defines' AND e.doc = d.doc AND e.symbol = d.symbol)")
+# what is below each document, at any depth
+BELOW = "below AS (SELECT DISTINCT s AS doc, s AS x FROM {quads} WHERE p = 'type' AND o = 'document' UNION SELECT below.doc, q.o FROM below JOIN {quads} q ON q.s = below.x AND q.p IN (%s))"
+DEEP = f"WITH RECURSIVE {BELOW % "'contains', 'hasPart'"}, refers AS (SELECT DISTINCT doc, x, q.o AS symbol FROM below JOIN {{quads}} q ON q.s = x AND q.p = 'crossrefs'), defines AS (SELECT DISTINCT doc, x, q.o AS symbol FROM below JOIN {{quads}} q ON q.s = x AND q.p = 'defines')"
+DEPS = f"""WITH RECURSIVE {BELOW % "'contains'"}, d AS (SELECT DISTINCT s AS doc FROM {{quads}} WHERE p = 'type' AND o = 'document'),
+held AS (SELECT DISTINCT s AS archive, o AS doc FROM {{quads}} WHERE p = 'contains' AND s LIKE 'arch/%' AND o IN (SELECT doc FROM d)),
+used AS (SELECT DISTINCT archive, q.o AS m FROM held JOIN below USING (doc) JOIN {{quads}} q ON q.s = x AND q.p IN ('requires', 'imports', 'hasPart')),
+owners AS (SELECT doc AS m, doc FROM d UNION SELECT o, s FROM {{quads}} WHERE p = 'contains' AND s IN (SELECT doc FROM d)),
+e AS (SELECT DISTINCT used.archive AS src, held.archive AS dst FROM used JOIN owners USING (m) JOIN held ON held.doc = owners.doc UNION SELECT src, dst FROM {{metas}}),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r"""
+Q.add("kg_archive_deps", "quads metas", lambda q, m: closure(G.archive_edges(G.kept_triples(q, "contains", "type", "requires", "imports", "hasPart"), m)), DEPS)
+Q.add("kg_unused_files", "quads", lambda q: G.unused_files(G.kept_triples(q, "contains", "hasPart", "requires", "imports")), "WITH RECURSIVE w AS (SELECT DISTINCT o AS m, s AS f FROM {quads} WHERE p = 'contains' AND o IN (SELECT o FROM {quads} WHERE p IN ('requires', 'imports')) UNION SELECT w.m, q.s FROM w JOIN {quads} q ON q.o = w.f AND q.p = 'contains') SELECT DISTINCT s AS archive, o AS file FROM {quads} WHERE p = 'contains' AND s LIKE 'arch/%' AND o NOT IN (SELECT o FROM {quads} WHERE p = 'hasPart') AND o NOT IN (SELECT f FROM w)")
+_DEEP = ("contains", "hasPart", "type", "crossrefs", "defines")
+Q.add("kg_referenced_symbols", "quads", lambda q: G.symbols_of(G.kept_triples(q, *_DEEP), "crossrefs"), DEEP + " SELECT DISTINCT doc, symbol FROM refers")
+Q.add("kg_defined_symbols", "quads", lambda q: G.symbols_of(G.kept_triples(q, *_DEEP), "defines"), DEEP + " SELECT DISTINCT doc, symbol FROM defines")
+Q.add("kg_prerequisites", "quads", lambda q: G.prerequisites(G.kept_triples(q, *_DEEP)), DEEP + " SELECT DISTINCT doc, symbol FROM refers r WHERE NOT EXISTS (SELECT 1 FROM defines f WHERE f.doc = r.doc AND f.x = r.x AND f.symbol = r.symbol)")
+Q.add("kg_prerequisites_intent", "quads", lambda q: G.prerequisites(G.kept_triples(q, *_DEEP), True), DEEP + " SELECT DISTINCT doc, symbol FROM refers r WHERE NOT EXISTS (SELECT 1 FROM defines f WHERE f.doc = r.doc AND f.symbol = r.symbol)")
 Q.add("kg_export_closure", "quads", lambda q: G.path(q, ["hasPart"], q.sparkSession.createDataFrame([("doc/3",)], "src string"), "*").select(F.col("dst").alias("doc")), "WITH RECURSIVE c AS (SELECT 'doc/3' AS doc UNION SELECT q.o FROM c JOIN {quads} q ON q.s = c.doc AND q.p = 'hasPart') SELECT doc FROM c")

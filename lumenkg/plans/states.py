@@ -40,7 +40,7 @@ Q.add("uri_parse", "docs", lambda d: d.select("k", U.parse(U.document_of(F.lit(B
 Q.add("uri_compose", "elements", lambda e: e.select("uri", U.compose(F.lit(BASE), a=F.lit("x/y"), m=F.concat(F.lit("mod"), F.col("supplier")), s=F.when(F.col("kind") == "definition", F.concat(F.lit("sym"), F.col("part")))).alias("id")), "SELECT uri, concat('http://corpus.org?a=x/y&m=mod', supplier, CASE WHEN kind = 'definition' THEN concat('&s=sym', part) ELSE '' END) AS id FROM {elements}")
 Q.add("uri_language", "documents", lambda d: d.select("doc_id", U.language(F.concat(F.lit("dir/d"), F.col("doc_id"), F.lit("."), F.col("lang"), F.lit(".tex"))).alias("language")), "SELECT doc_id, CASE WHEN lang IN ('en', 'de', 'fr', 'ro', 'ar', 'bg', 'ru', 'fi', 'tr', 'sl') THEN lang ELSE 'en' END AS language FROM {documents}")
 Q.add("uri_from_components", "docs", lambda d: d.select("k", U.from_components(F.when(F.col("k") % 3 == 0, F.col("uri")), F.when(F.col("k") % 3 != 0, F.col("archive")), F.when(F.col("k") % 3 == 1, F.col("rel_path")), F.lit(BASE)).alias("id")), f"SELECT k, CASE k % 3 WHEN 0 THEN uri WHEN 1 THEN {URI} END AS id FROM {{docs}}")
-Q.add("iri_escape", "documents", lambda d: d.select("doc_id", U.escaped(F.col("text")).alias("iri"), (U.unescaped(U.escaped(F.col("text"))) == F.replace(F.replace(F.replace(F.replace(F.replace(F.col("text"), F.lit("%20"), F.lit(" ")), F.lit("%5C"), F.lit("\\")), F.lit("%5E"), F.lit("^")), F.lit("%5B"), F.lit("[")), F.lit("%5D"), F.lit("]"))).alias("back")), "SELECT doc_id, replace(replace(replace(replace(replace(substring(text, 1, 200), ' ', '%20'), '\\', '%5C'), '^', '%5E'), '[', '%5B'), ']', '%5D') AS iri, true AS back FROM {documents}")
+Q.add("iri_escape", "documents", lambda d: d.select("doc_id", U.escaped(F.col("text")).alias("iri"), (U.unescaped(U.escaped(F.col("text"))) == F.replace(F.replace(F.replace(F.replace(F.replace(F.col("text"), F.lit("%20"), F.lit(" ")), F.lit("%5C"), F.lit("\\")), F.lit("%5E"), F.lit("^")), F.lit("%5B"), F.lit("[")), F.lit("%5D"), F.lit("]"))).alias("back")), "SELECT doc_id, replace(replace(replace(replace(replace(text, ' ', '%20'), '\\', '%5C'), '^', '%5E'), '[', '%5B'), ']', '%5D') AS iri, true AS back FROM {documents}")
 _wanted = lambda d: d.select("archive", F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("path"), F.concat(F.lit("o"), F.col("k")).alias("name"), F.lit("de").alias("lang"))
 _files = lambda d: d.select("archive", F.when(F.col("k") % 4 == 0, F.regexp_replace("rel_path", r"\.tex$", ".de.tex")).otherwise(F.col("rel_path")).alias("rel_path")).where("k % 7 != 0")
 Q.add("uri_source_file", "docs", lambda d: S.source_file(_wanted(d), _files(d)).select("archive", "name", "rel_path"), "SELECT archive, concat('o', CAST(k AS STRING)) AS name, CASE WHEN k % 4 = 0 THEN replace(rel_path, '.tex', '.de.tex') ELSE rel_path END AS rel_path FROM {docs} WHERE k % 7 <> 0")

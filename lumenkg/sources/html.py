@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.closure import rooted_paths
 from ..storage import stored
 
 PREFIX = "data-kg-"
@@ -40,7 +41,7 @@ def tags(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     raw = F.when(F.col("part").rlike(r"(?i)^(script|style)[\s>]"), True).when(F.col("part").rlike(r"(?i)^/(script|style)\s*>"), False)
     state = lambda c: F.coalesce(F.last(c, True).over(before), F.lit(False))
     own = own.withColumns({"note": note, "raw": raw}).withColumns({"in_note": state("note"), "in_raw": state("raw")})
-    tag = F.regexp_extract("part", r"""^(?:[^>"']|"[^"]*"|'[^']*')*>""", 0)
+    tag = F.regexp_extract("part", r"""^(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", 0)
     own = own.where("nth > 0 and not in_note and (not in_raw or raw = false)").select("doc", "nth", "start", tag.alias("text"))
     own = own.where(F.col("text").rlike("^/?[A-Za-z]"))
     name = F.lower(F.regexp_extract("text", "^/?([A-Za-z][A-Za-z0-9-]*)", 1))
@@ -105,19 +106,11 @@ def identified(own: DataFrame) -> DataFrame:
     return own.where(F.col("kind").isin(*CONTAINERS)).withColumn("id", F.coalesce(given, auto))
 
 
-def elements(own: DataFrame, most_rounds: int = 100) -> DataFrame:
+def elements(own: DataFrame, most_depth: int = 1 << 20) -> DataFrame:
     """Containers: doc, nth, parent, kind, id, uri (doc and the ids from the outermost down), depth, ranges, fors, styles, title (range of the nearest title within)."""
     found = stored(identified(own).drop("depth"), "containers")
-    level = found.where("parent is null").select("doc", "nth", F.concat("doc", F.lit("&e="), "id").alias("uri"), F.lit(0).alias("depth"))
-    known = level
-    for _ in range(most_rounds + 1):
-        up = level.select("doc", F.col("nth").alias("parent"), F.col("uri").alias("up"), "depth")
-        level = stored(found.join(up, ["doc", "parent"]).select("doc", "nth", F.concat("up", F.lit("/"), "id").alias("uri"), (F.col("depth") + 1).alias("depth")), "level")
-        if level.isEmpty():
-            break
-        known = known.unionByName(level)
-    else:
-        raise ValueError(f"not finished after {most_rounds} rounds")
+    rooted = rooted_paths(found.select("doc", F.col("nth").alias("node"), "parent", F.col("id").alias("part")), most_depth)
+    known = rooted.select("doc", F.col("node").alias("nth"), F.concat("doc", F.lit("&e="), F.array_join("path", "/")).alias("uri"), (F.size("path") - 1).alias("depth"))
     titles = own.where("kind = 'title' and parent is not null").groupBy("doc", F.col("parent").alias("nth")).agg(F.min_by(F.struct(F.col("inner_start").alias("start"), F.col("inner_stop").alias("stop")), "nth").alias("title"))
     words = lambda key: F.filter(F.transform(F.split(F.coalesce(F.col("attrs")[key], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     out = found.join(known, ["doc", "nth"]).join(titles, ["doc", "nth"], "left")

@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.uri import escaped, unescaped
 
-_LINE = r'^\s*(<[^<>"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9]+)\s+<([^<>"{}|^`\\\x00-\x20]*)>\s+(<[^<>"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+_LINE = r'^\s*(<[^<>"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9]+)\s+<([^<>"{}|^`\\\x00-\x20]*)>\s+(<[^<>"{}|^`\\\x00-\x20]*>|_:[A-Za-z0-9]+|"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+
+
+# Escapes of one character in literals.
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def _literal(text: Column) -> Column:
+    """The text of a literal with its escapes read, each once and from the left."""
+    pieces = F.regexp_extract_all(text, F.lit(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)|[^\\]++"), F.lit(0))
+
+    def read(x: Column) -> Column:
+        code = F.substring(x, 2, 1)
+        wide = F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+        known = F.coalesce(*[F.when(code == c, F.lit(to)) for c, to in _ESCAPES.items()], x)
+        return F.when(~x.startswith("\\"), x).when(code.isin("u", "U") & (F.length(x) > 2), wide).otherwise(known)
+
+    return F.array_join(F.transform(pieces, read), "")
 
 
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -16,8 +33,8 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
     kind = lambda c: F.when(c.startswith("<"), "iri").when(c.startswith("_:"), "bnode").otherwise("literal")
     bare = lambda c: unescaped(F.regexp_replace(c, "^<|>$", ""))
     own = lines.withColumns({"__s": part(1), "__p": part(2), "__o": part(3)}).where("__p != ''")
-    text = F.regexp_extract("__o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    text = F.replace(F.replace(F.replace(text, F.lit(r"\n"), F.lit("\n")), F.lit(r"\""), F.lit('"')), F.lit(r"\\"), F.lit("\\"))
+    text = F.regexp_extract("__o", r'^"((?:[^"\\]++|\\.)*+)"', 1)
+    text = F.when(F.contains(text, F.lit("\\")), _literal(text)).otherwise(text)
     blank = lambda c: F.nullif(c, F.lit(""))
     return own.withColumns({"s": bare(F.col("__s")), "s_kind": kind(F.col("__s")), "p": bare(F.col("__p")), "o_kind": kind(F.col("__o")), "o": F.when(kind(F.col("__o")) == "literal", text).otherwise(bare(F.col("__o"))), "o_lang": blank(F.regexp_extract("__o", r'"@([A-Za-z-]+)$', 1)), "o_dtype": blank(F.regexp_extract("__o", r'"\^\^<([^>]*)>$', 1))}).drop("__s", "__p", "__o", value)
 
@@ -29,7 +46,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def line(quads: DataFrame) -> Column:
     iri = lambda c, k: F.when(F.col(k) == "bnode", F.col(c)).otherwise(F.concat(F.lit("<"), escaped(F.col(c)), F.lit(">")))
-    text = F.replace(F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit(r"\\")), F.lit('"'), F.lit(r"\"")), F.lit("\n"), F.lit(r"\n"))
+    text = F.col("o")
+    for code in ("\\", '"', "n", "r"):  # the backslash first
+        text = F.replace(text, F.lit(_ESCAPES[code]), F.lit(f"\\{code}"))
     literal = F.concat(F.lit('"'), text, F.lit('"'), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dtype").isNotNull(), F.concat(F.lit("^^<"), "o_dtype", F.lit(">"))).otherwise(""))
     return F.concat(iri("s", "s_kind"), F.lit(" <"), escaped(F.col("p")), F.lit("> "), F.when(F.col("o_kind") == "literal", literal).otherwise(iri("o", "o_kind")), F.lit(" ."))
 
