@@ -215,11 +215,13 @@ def _residual(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, pe
     first = stored(placed.where(F.col("before") <= F.col("n") - _least_shared(F.col("n"), percent)).select("g", "rid", "c", "n", "before"), "prefixes")
     sizes = first.groupBy("g", "c").agg(F.count("*").alias("size"))
     several = sizes.groupBy("g").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("size", "c")).alias("largest")).where("parts > 1").select("g", "largest")
-    met = first.join(several, "g")
-    turn = met.where("c != largest").select("g", *[F.col(x).alias(f"{x}_") for x in ("rid", "c", "n", "before")])
+    # sizes of linked sets differ by percent at most: they lie in one band or in bands that touch
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
+    met = first.join(several, "g").withColumn("band", band)
+    turn = met.where("c != largest").select("g", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band_"), *[F.col(x).alias(f"{x}_") for x in ("rid", "c", "n", "before")])
     enough = F.least(F.col("n") - F.col("before"), F.col("n_") - F.col("before_")) * (100 + percent) >= (F.col("n") + F.col("n_")) * percent
     once = (F.col("c") == F.col("largest")) | (F.col("rid") < F.col("rid_"))
-    pairs = met.join(turn, (met["g"] == turn["g"]) & (F.col("c") != F.col("c_")) & once & enough)
+    pairs = met.join(turn, (met["g"] == turn["g"]) & (F.col("band") == F.col("band_")) & (F.col("c") != F.col("c_")) & once & enough)
     return pairs.select(F.least("rid", "rid_").alias("u"), F.greatest("rid", "rid_").alias("v")).distinct()
 
 
