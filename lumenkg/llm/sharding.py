@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Buckets of a shard whose rows are numbered each by itself.
-BUCKETS = 256
+#: Rows of a bucket, about: one task numbers the rows of a bucket of a shard.
+BUCKET_ROWS = 100_000
+#: Counts of buckets that are sent to all executors; more of them are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def jump(key: Column, shards: int) -> Column:
@@ -38,7 +40,8 @@ def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16, doc_id: str =
     law ("key"), shard, slot (gapless from 0 in each shard), grown_shard (with one more shard).
 
     Rows with equal keys share a shard and get different slots; a null key is a key like any other. The
-    documents' own order does not matter; other columns are left out. An empty table gives no rows.
+    documents' own order does not matter; other columns are left out; long texts are only measured. An
+    empty table gives no rows.
     """
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     rows = docs.select(
@@ -49,12 +52,14 @@ def sharded(docs: DataFrame, shards: int = 40, overhead: int = 16, doc_id: str =
         jump(key, shards).alias("shard"),
         jump(key, shards + 1).alias("grown_shard"),
         # rows with one key in a third of the table still spread over the tasks that read them
-        F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.xxhash64(key, F.spark_partition_id()).alias("spread"),
     )
     rows = stored(rows, "sharded")
+    buckets = max(1, -(-rows.count() // (shards * BUCKET_ROWS)))
+    rows = rows.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
     counts = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    # (shards x BUCKETS) rows at most
+    starts = F.broadcast(starts) if shards * buckets <= MOST_SENT else starts
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("within", within).join(F.broadcast(starts), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("start") + F.col("within") - 1).alias("slot"), "grown_shard")
+    return rows.withColumn("within", within).join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("start") + F.col("within") - 1).alias("slot"), "grown_shard")
