@@ -13,33 +13,50 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
-#: Draws for one entity before the run gives up.
+#: Draws for one entity before the run gives up, unless more are asked for.
 MOST_DRAWS = 64
+#: Bits of entropy a character from which a value that is called a secret is one, though it has no digit.
+RANDOM = 3.2
 #: Bits that say which entities were drawn again; each executor holds BITS / 8 bytes.
 BITS = 1 << 23
 
 # Forms of address and the gender of the name that follows.
 _FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "госпожа", "κυρία")
 _MALE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "господин", "κύριος")
+_EITHER = ("Dr", "Prof", "Professor", "Mx", "Rev", "доктор", "δρ")
+# What follows a name as a form of address, and what comes before the name of who is speaking or signs.
+_AFTER = ("さん", "様", "氏", "先生")
+_SIGNED = ("my name is", "My name is", "full name:", "Full name:", "Name:", "name:", "Patient:", "Customer:", "Contact:", "Kind regards,", "Best regards,", "Sincerely,", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo")
+# Kinds of streets, after a number and a name, or at the end of a word before a number.
+_STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Terrace", "Square")
+_STREET_ENDS = ("straße", "strasse", "gasse", "allee", "weg", "platz")
+# Beginnings of tokens that are known by their form.
+_TOKEN_HEADS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "sk_live_", "rk_live_", "sk_test_", "AIza", "ya29.", "npm_", "hf_")
 # Syllables and endings that names are made of.
 _SYLLABLES = {
     "latin": ("ba", "be", "da", "do", "fe", "ga", "ha", "jo", "ka", "le", "li", "ma", "me", "na", "no", "pa", "re", "ri", "sa", "so", "ta", "te", "va", "ve", "wi"),
     "cyrillic": ("ба", "ва", "ве", "го", "да", "де", "жа", "за", "ка", "ко", "ла", "ле", "ма", "ми", "на", "но", "па", "ра", "ро", "са", "се", "та", "те", "фе"),
+    "cjk": ("佐", "藤", "山", "木", "中", "村", "小", "林", "加", "田", "吉", "井", "松", "本", "清", "水", "森", "川", "石", "原"),
+    "katakana": ("ア", "イ", "カ", "キ", "サ", "シ", "タ", "ト", "ナ", "ニ", "マ", "ミ", "ラ", "リ", "ロ"),
     "greek": ("βα", "γα", "δη", "δο", "θα", "θε", "κα", "κο", "λα", "λε", "μα", "μη", "να", "νι", "πα", "πε", "ρα", "ρο", "σα", "σο", "τα", "τε", "φα", "χα"),
 }
 _ENDINGS = {
     ("latin", "f"): ("na", "lia", "rina"), ("latin", "m"): ("n", "lo", "rus"), ("latin", "family"): ("man", "ster", "lund", "ck"),
     ("cyrillic", "f"): ("на", "лия", "рина"), ("cyrillic", "m"): ("н", "лий", "слав"), ("cyrillic", "family"): ("енко", "ович", "чук"),
+    ("latin", "either"): ("ri", "is", "el"), ("cyrillic", "either"): ("ша", "ня", "си"), ("greek", "either"): ("ι", "ις", "ω"),
+    ("cjk", "family"): ("子", "郎", "美"), ("katakana", "family"): ("ン", "ノ", "ヤ"),
     ("greek", "f"): ("να", "λια", "νη"), ("greek", "m"): ("νος", "ρης", "λος"), ("greek", "family"): ("ίδης", "άκης", "όπουλος"),
 }
 
@@ -51,9 +68,13 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4})(?![\w-])")
 _ACCESS = re.compile(r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)")
-_SECRET = re.compile(r"(?i)(?<!\w)(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([\w/+.~=-]{7,}[\w/+~=-])")
+_SECRET = re.compile(r"(?i)(?<!\w)(token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([\w/+.~=-]{7,}[\w/+~=-])")
 _SECRET_WORDS = ("token", "passw", "secret", "api")
-_ADDRESS = re.compile(rf"(?<!\w)({'|'.join(_FEMALE + _MALE)})\.? (?=[^\W\d_])")
+_TOKEN = re.compile(rf"(?<![\w-])(?:(?:{'|'.join(map(re.escape, _TOKEN_HEADS))})[\w-]{{16,}}|eyJ[\w-]{{8,}}\.[\w-]{{8,}}(?:\.[\w-]*)?)(?![\w-])")
+_ADDRESS = re.compile(rf"(?<!\w)(?:({'|'.join(_FEMALE + _MALE + _EITHER)})\.? |({'|'.join(map(re.escape, _SIGNED))})\s+)(?=[^\W\d_])")
+_HONOUR = re.compile(rf"([\u4e00-\u9fff々]{{1,5}}|[\u30a1-\u30fa\u30fc]{{2,10}})(?={'|'.join(_AFTER)})")
+_STREET = re.compile(rf"(?<![\w-])[0-9]{{1,5}} (?:[A-Z][\w'-]+ ){{1,3}}(?:{'|'.join(_STREETS)})(?!\w)")
+_STREET_NO = re.compile(rf"(?<![\w-])[A-ZÄÖÜ][a-zäöüß-]+(?:{'|'.join(_STREET_ENDS)}) [0-9]{{1,4}}[a-z]?(?!\w)")
 # What may stand before or between the parts of a name, and endings that are not of the name.
 _DEGREES = ("Dr", "Prof")
 _PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "bin", "ibn", "al", "el")
@@ -79,8 +100,18 @@ def _digits(s: str) -> str:
     return "".join(filter(str.isdigit, s))
 
 
+def _entropy(s: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def _secret(name: str, value: str) -> bool:
+    """Whether what follows the name of a secret is one: any password, and other values that are no words."""
+    return bool(_DIGIT.search(value)) or name[:5].lower() == "passw" or len(value) >= 16 and _entropy(value) >= RANDOM
+
+
 def script_of(name: str) -> str | None:
-    kind = unicodedata.name(name[0], "").split(" ")[0].lower()
+    kind = unicodedata.name(name[0], "").split(" ")[0].split("-")[0].lower()
     return kind if kind in _SYLLABLES else None
 
 
@@ -106,7 +137,7 @@ def _parts(text: str, at: int) -> list[tuple[tuple[int, int], str]]:
             if m[0][-1] != " " and not (at < len(text) and text[at].isalpha()):
                 return out
         m = _PART.match(text, at)
-        if not m or m[0] in _FEMALE or m[0] in _MALE:
+        if not m or m[0] in _FEMALE or m[0] in _MALE or m[0] in _SIGNED:
             return out
         word, at = m[0], m.end()
         if word in _DEGREES and not out:
@@ -141,13 +172,15 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
 
     if "@" in text:
         every(_EMAIL, "email", str.lower)
+    if any(h in text for h in _TOKEN_HEADS) or "eyJ" in text:
+        every(_TOKEN, "secret", str)
+    lower = text.lower()
+    if any(w in lower for w in _SECRET_WORDS):
+        found += [(*m.span(2), "secret", m[2]) for m in _SECRET.finditer(text) if _secret(m[1], m[2])]
     digit = _DIGIT.search(text)
     if digit:
         if "AKIA" in text:
             every(_ACCESS, "secret", str)
-        lower = text.lower()
-        if any(w in lower for w in _SECRET_WORDS):
-            every(_SECRET, "secret", lambda s: s if _DIGIT.search(s) else None, 1)
         if ":" in text:
             every(_IP6, "ip6", _address)
         every(_IP4, "ip4", lambda s: s if all(int(o) < 256 for o in s.split(".")) else None)
@@ -155,17 +188,29 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         every(_CARD, "card", lambda s: d if (d := _digits(s)).isascii() and _luhn(d[:-1]) == int(d[-1]) else None)
         every(_SSN, "ssn", _digits)
         every(_PHONE, "phone", lambda s: d if 8 <= len(d := _digits(s)) <= 15 else None)
+        if any(f" {x}" in text for x in _STREETS):
+            every(_STREET, "street", str.casefold)
+        if any(f"{x} " in text for x in _STREET_ENDS):
+            every(_STREET_NO, "street", str.casefold)
     elif "::" in text:
         every(_IP6, "ip6", _address)
     names: dict[str, tuple[str, str]] = {}
     for m in _ADDRESS.finditer(text):
         own = _parts(text, m.end())
-        gender = "f" if m[1] in _FEMALE else "m"
+        gender = "f" if m[1] in _FEMALE else "m" if m[1] in _MALE else "either"
         for k, (span, name) in enumerate(own):
             kind = f"name:{script_of(name)}:{'family' if k == len(own) - 1 else gender}"
             names[name] = (kind, unicodedata.normalize("NFC", name).casefold())
             found.append((*span, *names[name]))
-    if names:  # the same names without a form of address
+    if any(a in text for a in _AFTER):
+        for m in _HONOUR.finditer(text):
+            names[m[1]] = (f"name:{script_of(m[1])}:family", m[1])
+            found.append((*m.span(1), *names[m[1]]))
+    if names:  # the same names without a form of address, and in capital letters
+        for name in list(names):
+            names.setdefault(name.upper(), names[name])
+            if name.isupper() and len(name) > 1:
+                names.setdefault(name.capitalize(), names[name])
         any_name = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
         for m in re.finditer(rf"(?<!\w)({any_name})(?:(?: [^\W\d_]\.)+(?= (?:{any_name})(?!\w)))?(?!\w)", text):
             found.append((*m.span(), *names[m[1]]))
@@ -217,9 +262,9 @@ def surrogate(key: bytes, kind: str, canon: str, draw: int = 0) -> str:
     own = _Draw(key, kind, canon, draw)
     if kind == "email":
         local, _, domain = canon.partition("@")
-        return own.like(local) + "@" + own.like(domain.rpartition(".")[0]).replace("-", "x").replace(".", "") + ".example"
+        return own.like(local) + "@" + own.like(domain.rpartition(".")[0]) + ".example"
     if kind == "ip4":
-        octets = [(11, 100, 128, 203)[own.below(4)], own.below(256), own.below(256), 1 + own.below(254)]
+        octets = [1 + (own.below(222) + 127) % 223, own.below(256), own.below(256), 1 + own.below(254)]
         return ".".join(map(str, octets))
     if kind == "ip6":
         return "2001:0db8:" + own.like(":".join(g.zfill(4) for g in canon.split(":")[2:]), "0123456789abcdef", "0123456789abcdef")
@@ -236,8 +281,19 @@ def surrogate(key: bytes, kind: str, canon: str, draw: int = 0) -> str:
         return canon[:head] + str(2 + own.below(8)) + own.like(canon[head + 1 :])
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in canon)
-        head = "AKIA" if canon.startswith("AKIA") else ""
+        head = next((h for h in ("AKIA", "eyJ", *_TOKEN_HEADS) if canon.startswith(h)), "")
         return head + own.like(canon[len(head) :], *(("0123456789abcdef",) * 2 if hexadecimal else ()))
+    if kind == "street":
+        words = []
+        for w in canon.split(" "):
+            end = next((e for e in _STREET_ENDS if w.endswith(e)), "") if w.isalpha() else w if not w[:1].isalpha() else ""
+            if w[:1].isdigit():
+                words.append(str(1 + own.below(9)) + own.like(w[1:]))
+            elif w.capitalize() in _STREETS and w is not canon.split(" ")[0]:
+                words.append(w)
+            else:
+                words.append("".join(_SYLLABLES["latin"][own.below(25)] for _ in range(3 + draw // 4)) + end)
+        return " ".join(words)
     _, script, role = kind.split(":")
     syllables, endings = _SYLLABLES[script], _ENDINGS[script, role]
     # more syllables after some draws: names that are free must not run out
@@ -253,6 +309,8 @@ def rendered(kind: str, value: str, seen: str) -> str:
         value = str(ipaddress.IPv6Address(value))
     if kind == "email" or kind == "ip6":
         return value.upper() if seen.isupper() else value
+    if kind == "street":
+        return value.upper() if seen.isupper() else " ".join(w[:1].upper() + w[1:] for w in value.split(" ")[:-1]) + " " + (value.split(" ")[-1] if seen.split(" ")[-1][:1].isdigit() else value.split(" ")[-1].capitalize())
     if kind.startswith("name:"):
         return value.upper() if seen.isupper() else value[0].upper() + value[1:]
     return value
@@ -283,10 +341,10 @@ def occurring(docs: DataFrame, text: str = "text") -> DataFrame:
             own = sorted({e[2:] for t in batch.column(0).to_pylist() for e in entities(t)})
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in own], pa.string()) for k in range(2)], names=["kind", "canon"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, canon string").distinct()
+    return docs.select(F.col(text).alias("text")).mapInArrow(frugal(run), "kind string, canon string").distinct()
 
 
-def assigned(found: DataFrame, key: bytes) -> DataFrame:
+def assigned(found: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> DataFrame:
     """kind, canon, draw, value: a surrogate for each entity, different from all others and from all entities.
 
     Of entities that draw the same, the first by canonical value keeps it. found must be a table.
@@ -298,10 +356,10 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
                 kinds, canons = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n] * len(kinds), pa.int32()), pa.array([surrogate(key, k, c, n) for k, c in zip(kinds, canons, strict=True)], pa.string())], names=["kind", "canon", "draw", "value"])
 
-        return stored(rows.select("kind", "canon").mapInArrow(run, "kind string, canon string, draw int, value string"), "drawn")
+        return stored(rows.select("kind", "canon").mapInArrow(frugal(run), "kind string, canon string, draw int, value string"), "drawn")
 
     done, rows = None, draw(found, 0)
-    for n in range(1, MOST_DRAWS):
+    for n in range(1, most_draws):
         taken = found.select("kind", F.col("canon").alias("value"))
         if done is not None:
             taken = taken.unionByName(done.select("kind", "value"))
@@ -314,14 +372,14 @@ def assigned(found: DataFrame, key: bytes) -> DataFrame:
         if rest.isEmpty():
             return done
         rows = draw(rest, n)
-    raise ValueError(f"no free surrogate for some entities after {MOST_DRAWS} draws")
+    raise ValueError(f"no free surrogate for some entities after {most_draws} draws")
 
 
 def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", count: str = "n_entities") -> DataFrame:
     """docs with surrogates in place of entities, and a column ``count``: how many were replaced.
 
     ``n_chars``, where there is such a column, follows the text; a column named ``count`` is replaced, all
-    others are kept. Null and empty texts stay as they are and have no entities; rows that repeat each
+    others are kept. Long texts are read as a whole. Null and empty texts stay as they are and have no entities; rows that repeat each
     other get the same surrogates; an empty table gives no rows. Numbers with wrong check digits, and
     addresses out of range, are no entities.
     """
@@ -333,7 +391,7 @@ def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
             own = [1 + _bit(k, c) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["bit"])
 
-    maps = again.mapInArrow(mark, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    maps = again.mapInArrow(frugal(mark), "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bits = bytearray(BITS // 8 + 4096)
     for row in maps.collect():  # at most BITS / 32768 rows of 4 KB
         at = (row["bucket"] - 1) * 4096
@@ -374,9 +432,9 @@ def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
             yield changed(batch, texts, counts, [None] * len(texts))
 
     if again.isEmpty():
-        return out.mapInArrow(run, schema).drop("__pii_check")
-    first = stored(out.mapInArrow(run, schema).withColumn("__pii_row", F.monotonically_increasing_id()), "surrogates")
+        return out.mapInArrow(frugal(run), schema).drop("__pii_check")
+    first = stored(out.mapInArrow(frugal(run), schema).withColumn("__pii_row", F.monotonically_increasing_id()), "surrogates")
     wanted = first.where("__pii_check is not null").select("__pii_row", F.explode("__pii_check").alias("e")).select("__pii_row", "e.*")
     draws = wanted.join(again, ["kind", "canon"]).groupBy("__pii_row").agg(F.collect_list(F.struct("kind", "canon", "draw")).alias("__pii_draws"))
-    second = first.where("__pii_check is not null").join(draws, "__pii_row", "left").select(*schema.names, "__pii_draws").mapInArrow(rerun, schema)
+    second = first.where("__pii_check is not null").join(draws, "__pii_row", "left").select(*schema.names, "__pii_draws").mapInArrow(frugal(rerun), schema)
     return first.where("__pii_check is null").select(*schema.names).unionByName(second).drop("__pii_check")
