@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, in words of 64.
 SKETCH_WORDS = 8
+#: Shingles that make up at least one in so many of all are joined without a shuffle; there are no more of them than that.
+COMMON = 1000
 #: Shingles of sets that a worker keeps while it compares pairs, before it forgets them.
 MOST_KEPT = 50_000
 
@@ -207,8 +209,11 @@ def _residual(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, pe
     mixed = own.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
     left = own.join(mixed, "key").select("rid", "c").distinct()
     sets = stored(left.join(texts, "rid").select("rid", "c", "z").mapInArrow(frugal(explode), "rid long, c long, gs array<long>"), "sets")
-    often = sets.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    known = sets.select("rid", "c", F.size("gs").alias("n"), F.explode("gs").alias("g")).join(often, "g")
+    often = stored(sets.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    every = sets.select("rid", "c", F.size("gs").alias("n"), F.explode("gs").alias("g"))
+    total = sets.agg(F.coalesce(F.sum(F.size("gs")), F.lit(0))).first()[0]
+    common = F.broadcast(often.where(F.col("df") * COMMON > total))  # fewer than COMMON rows
+    known = every.join(common, "g").unionByName(every.join(common.select("g"), "g", "left_anti").join(often, "g"))
     # shingles that no other class has come before all others
     every, order = Window.partitionBy("rid"), Window.partitionBy("rid").orderBy("df", "g")
     placed = known.withColumns({"nth": F.row_number().over(order), "known": F.count("*").over(every)}).withColumn("before", F.col("n") - F.col("known") + F.col("nth") - 1)
