@@ -87,7 +87,7 @@ def test_sql(spark):
 
 def test_the_rest_stands_alone():
     """Without the subpackage and the pipeline, the entry point still imports."""
-    code = "import sys; sys.path.insert(0, '.'); import importlib.util as u; real = u.find_spec; u.find_spec = lambda n, *a: None if n in ('lumenkg.llm', 'corpus_pipeline') else real(n, *a); import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; assert 'lumenkg.llm' not in sys.modules; print(len(e.oracle_sql()))"
+    code = "import sys; sys.path.insert(0, '.'); sys.modules['lumenkg.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; print(len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(corpus_pipeline.__file__).rsplit("/", 1)[0], check=False)
     assert done.returncode == 0, done.stderr
     assert packing is not None
