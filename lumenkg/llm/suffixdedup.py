@@ -14,8 +14,9 @@ have equal anchors at equal places, and an anchor speaks for the run of windows
 
 Ranks are 64-bit hashes made by doubling (that of 2h bytes from those of h bytes at offsets 0 and h);
 what is compared has at least two of them. Rows of a rank that are equal within a batch are merged
-before the shuffle, and a rank with many different runs in a batch is passed on to the last round, whose
-ranks are spread, so no task gets all rows of a common string.
+before the shuffle, and a rank with many different runs in a batch, or with very many rows in all, is passed
+on to the last round, whose ranks are spread. There equal windows are merged over many batches before the
+shuffle, so that a common string comes about once a task.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, drop_since, flagged, made, stored
+from .common import bit_filter, drop_since, flagged, frugal, made, stored
 
 #: Bytes of a window, of an anchor, windows of a part of a run, and parts.
 WINDOW, GRAM, PART, PARTS = 100, 32, 23, 3
@@ -38,6 +39,10 @@ REACH = WINDOW - GRAM + 1
 CHUNK = 1 << 20
 #: Different runs of one rank in a batch that are sent to the first round; the others go on at once.
 CROWD = 4
+#: Rows of one rank that are held at once in the first round; the runs of a rank with more all go on.
+HELD = 1 << 17
+#: Windows that are merged at once in the last round.
+FOLD = 1 << 19
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -151,10 +156,16 @@ def _merged(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out | {"rank": np.where(kind >= _AGAIN, own, rank), "shape": out["shape"] | kind}
 
 
-def _decided(rank: np.ndarray, name: np.ndarray, moved: np.ndarray, shape: np.ndarray) -> np.ndarray:
+def _later(new: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """Of sorted rows, whether one is at another position than the first of its group. new: begins a group; moved: is elsewhere than the row before."""
+    steps = np.cumsum(moved | new)
+    return steps != steps[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _decided(rank: np.ndarray, name: np.ndarray, moved: np.ndarray, shape: np.ndarray, forced: int | None = None) -> np.ndarray:
     """Of rows sorted by rank, name and position: 0 for runs that go, 1 to 7 (bits: parts) for those that go on, -1 for the rest.
 
-    moved: whether the position is another one than that of the row before.
+    moved: whether the position is another one than that of the row before. forced: a rank whose first runs all go on.
     """
     kind = shape & ~np.uint64((1 << 62) - 1)
     out = np.where(kind == _AGAIN, 0, np.where(kind == _ONWARD, 7, -1))
@@ -164,11 +175,12 @@ def _decided(rank: np.ndarray, name: np.ndarray, moved: np.ndarray, shape: np.nd
     rank, name, moved, shape, kind = rank[own], name[own], moved[own], shape[own], kind[own]
     new_rank = np.concatenate([[True], rank[1:] != rank[:-1]])
     new_name = new_rank | np.concatenate([[True], name[1:] != name[:-1]])
-    steps = np.cumsum(moved | new_name)
-    first = steps == steps[np.flatnonzero(new_name)][np.cumsum(new_name) - 1]
+    first = ~_later(new_name, moved)
     group = np.cumsum(new_rank) - 1
     several = np.bincount(group, weights=new_name)[group] > 1
     crowded = np.bincount(group, weights=kind == _CROWDED)[group] > 0
+    if forced is not None:
+        crowded |= rank == forced
     parts = np.zeros(len(own), dtype=np.int64)
     open_ = np.flatnonzero(first & several & ~crowded & new_name)
     for part in range(PARTS):
@@ -207,8 +219,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def anchored(rows: DataFrame) -> DataFrame:
-    """First round. doc_id, at (row and start in one number), ds, span, parts (0: the run goes)."""
+def anchored(rows: DataFrame, most_held: int = HELD) -> DataFrame:
+    """First round. doc_id, at (row and start in one number), ds, span, parts (0: the run goes).
+
+    Of a rank with more than most_held rows only the first of the last run is kept while the rows go by.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sample(batches):
@@ -223,13 +238,14 @@ def anchored(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found["rank"].view(np.int64)), pa.array(found["name"].view(np.int64)), ids, pa.array(at), pa.array(found["shape"].view(np.int64))], names=["rank", "name", "doc_id", "at", "shape"])
 
     def decide(batches):
-        def judged(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
+        def judged(t: pa.Table, forced: int | None, carried: bool) -> pa.RecordBatch:
             rank, name, at, shape = (t.column(c).to_numpy() for c in ("rank", "name", "at", "shape"))
             ids = _codes(t.column("doc_id").combine_chunks())
             moved = np.concatenate([[True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])])
             shape = shape.view(np.uint64)
-            parts = _decided(rank, name, moved, shape)
+            parts = _decided(rank, name, moved, shape, forced)
+            if carried:  # given out before
+                parts[0] = -1
             keep = np.flatnonzero(parts >= 0)
             chosen = t.take(pa.array(keep))
             return pa.RecordBatch.from_arrays(
@@ -238,6 +254,7 @@ def anchored(rows: DataFrame) -> DataFrame:
             )
 
         held: list[pa.Table] = []  # rows of the rank that the next batch may go on with
+        forced = None  # this rank, once it has had too many rows; then the first row of held is carried on
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -245,14 +262,19 @@ def anchored(rows: DataFrame) -> DataFrame:
             rank = batch.column("rank").to_numpy()
             last = int(np.searchsorted(rank, rank[-1]))
             if last or (held and held[0].column("rank")[0].as_py() != rank[0]):
-                yield judged(pa.concat_tables([*held, t.slice(0, last)]))
-                held = []
+                yield judged(pa.concat_tables([*held, t.slice(0, last)]).combine_chunks(), forced, forced is not None)
+                held, forced = [], None
             held.append(t.slice(last))
+            if sum(h.num_rows for h in held) > most_held:
+                whole = pa.concat_tables(held).combine_chunks()
+                yield judged(whole, int(rank[-1]), forced is not None)
+                name, forced = whole.column("name").to_numpy(), int(rank[-1])
+                held = [whole.slice(int(np.searchsorted(name, name[-1])), 1)]
         if held:
-            yield judged(pa.concat_tables(held))
+            yield judged(pa.concat_tables(held).combine_chunks(), forced, forced is not None)
 
-    sampled = rows.mapInArrow(sample, f"rank long, name long, doc_id {kind}, at long, shape long")
-    return sampled.repartition("rank").sortWithinPartitions("rank", "name", "doc_id", "at").mapInArrow(decide, f"doc_id {kind}, at long, ds int, span int, parts int")
+    sampled = rows.mapInArrow(frugal(sample), f"rank long, name long, doc_id {kind}, at long, shape long")
+    return sampled.repartition("rank").sortWithinPartitions("rank", "name", "doc_id", "at").mapInArrow(frugal(decide), f"doc_id {kind}, at long, ds int, span int, parts int")
 
 
 def _row(at: str = "at") -> Column:
@@ -273,13 +295,24 @@ def _with_texts(rows: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame
     return met.drop("d", "r", "maybe"), every.where("not maybe").drop("maybe")
 
 
-def windows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Last round. doc_id, row, start of windows that also start earlier, of the runs that the first round passed on."""
+def windows(rows: DataFrame, found: DataFrame, fold: int = FOLD) -> DataFrame:
+    """Last round. doc_id, row, start of windows that also start earlier, of the runs that the first round passed on. Equal ones of about fold windows are merged before the shuffle."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     marks = found.where("parts > 0").groupBy("doc_id", _row().alias("row")).agg(F.collect_list(F.struct(_start().alias("s"), "ds", "span", "parts")).alias("runs"))
     met, _ = _with_texts(rows, stored(marks, "onward"))
 
+    def folded(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in ("one", "two", "doc_id", "at")], null_placement="at_start")).combine_chunks()
+        one, two, at = (t.column(c).to_numpy() for c in ("one", "two", "at"))
+        ids = _codes(t.column("doc_id").combine_chunks())
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        again = _later(new, np.concatenate([[True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])]))
+        one = np.where(again, _mix(one.view(np.uint64) + at.view(np.uint64) * _A + ids.astype(np.uint64) * _B).view(np.int64), one)
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), t.column("doc_id").combine_chunks(), pa.array(at), pa.array(again)], names=["one", "two", "doc_id", "at", "again"])
+
     def spread(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             table = _sorted(batch)
             which, starts, ones, twos = [], [], [], []
@@ -302,24 +335,25 @@ def windows(rows: DataFrame, found: DataFrame) -> DataFrame:
             if not which:
                 continue
             which, starts, ones, twos = (np.concatenate(x) for x in (which, starts, ones, twos))
-            order = np.lexsort((starts, which, twos, ones))
-            which, starts, ones, twos = which[order], starts[order], ones[order], twos[order]
-            again = np.concatenate([[False], (ones[1:] == ones[:-1]) & (twos[1:] == twos[:-1])])
-            ones = np.where(again, _mix(ones + starts.astype(np.uint64) * _A + which.astype(np.uint64) * _B), ones)
             at = table.column("row").to_numpy()[which] << 32 | starts
-            yield pa.RecordBatch.from_arrays([pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), table.column("doc_id").combine_chunks().take(pa.array(which)), pa.array(at), pa.array(again)], names=["one", "two", "doc_id", "at", "again"])
+            held.append(pa.RecordBatch.from_arrays([pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), table.column("doc_id").combine_chunks().take(pa.array(which)), pa.array(at)], names=["one", "two", "doc_id", "at"]))
+            if sum(h.num_rows for h in held) >= fold:
+                yield folded(held)
+                held = []
+        if held:
+            yield folded(held)
 
-    pairs = met.where("runs is not null").mapInArrow(spread, f"one long, two long, doc_id {kind}, at long, again boolean")
+    pairs = met.where("runs is not null").mapInArrow(frugal(spread), f"one long, two long, doc_id {kind}, at long, again boolean")
     # rows that are known to come again have ranks of their own
     nth = F.rank().over(Window.partitionBy("one", "two", "again").orderBy("doc_id", "at"))
     return pairs.withColumn("nth", nth).where("again or nth > 1").select("doc_id", _row().alias("row"), _start().alias("start"))
 
 
-def spans(rows: DataFrame) -> DataFrame:
+def spans(rows: DataFrame, most_held: int = HELD, fold: int = FOLD) -> DataFrame:
     """Per document with repeated strings: doc_id, row, spans (start, stop in bytes; they may overlap and are in no order)."""
-    found = stored(anchored(rows), "anchored")
+    found = stored(anchored(rows, most_held), "anchored")
     whole = found.where("parts = 0").select("doc_id", _row().alias("row"), _start().alias("start"), (_start() + F.col("span") + WINDOW).alias("stop"))
-    single = windows(rows, found).select("doc_id", "row", "start", (F.col("start") + WINDOW).alias("stop"))
+    single = windows(rows, found, fold).select("doc_id", "row", "start", (F.col("start") + WINDOW).alias("stop"))
     return whole.unionByName(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -333,19 +367,20 @@ def joined(own: list[dict]) -> list[tuple[int, int]]:
     return list(zip(starts[cut].tolist(), stops[np.append(cut[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_held: int = HELD, fold: int = FOLD) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, stop of the maximal removed runs of bytes).
 
     A byte goes if a string of WINDOW bytes over it also starts earlier, in a document with a smaller
     doc_id or before in the same one, judged on the texts as they come in. A null doc_id is smaller than
     all others; documents that share a doc_id are ordered by a hash of their texts, and rows that repeat
     doc_id and text are one document. Null and empty texts, and those shorter than a window, lose
-    nothing. An empty table gives no rows; other columns are left out.
+    nothing. An empty table gives no rows; other columns are left out. most_held and fold bound what a task
+    holds, and change no row.
     """
     rows = _rows(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
     mark = len(made())
-    own = stored(spans(rows), "spans")
+    own = stored(spans(rows, most_held, fold), "spans")
     drop_since(docs.sparkSession, mark, own)
     some, rest = _with_texts(rows, own)
 
@@ -365,7 +400,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     shape = "array<struct<start:bigint,stop:bigint>>"
-    cut_ = some.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {shape}")
+    cut_ = some.select("doc_id", "text", "spans").mapInArrow(frugal(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {shape}")
     zero = F.lit(0).cast("long")
     whole = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), F.array().cast(shape).alias("spans"))
     return whole.unionByName(cut_)

@@ -284,6 +284,23 @@ def test_crowded_ranks(spark, monkeypatch):
     assert by_id(suffixdedup.removed(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == suffixdedup.brute_force(texts)
 
 
+def test_ranks_with_too_many_rows(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    common, passages = word(40), [word(170) for _ in range(6)]
+    texts = {k: word(rng.randint(0, 90)) + common + word(rng.choice([0, 3, 70])) + passages[min(k % 11, 5)] for k in range(200)}
+    df = spark.createDataFrame([*texts.items(), (7, texts[7]), (90, texts[90])], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+        for held, fold in ((1, 1), (30, 400), (1 << 17, 1 << 19)):
+            assert by_id(suffixdedup.removed(df, most_held=held, fold=fold), "n_bytes", "n_removed", "n_spans", "kept_sha256") == suffixdedup.brute_force(texts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_chunks_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffixdedup, "CHUNK", 1000)
     found = suffixdedup.runs([bytes(range(256)) * 20, b"x" * 99])
