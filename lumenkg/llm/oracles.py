@@ -57,4 +57,39 @@ g AS (SELECT o.doc_id, o.pos, o.place <> f.first OR c.name IS NOT NULL AS gone F
 k AS (SELECT l.doc_id, count(g.pos) AS n_lines, count(*) FILTER (WHERE g.gone) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.gone IS DISTINCT FROM true), '') AS rest FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_removed, CAST(strlen(rest) AS BIGINT) AS n_kept_bytes, sha256(rest) AS kept_sha256 FROM k"""
 
-ORACLES = {"op1_decontaminate": OP1, "op5_neardup": OP5, "op6_warc": OP6, "op7_suffixdedup": OP7, "op8_linededup": OP8}
+
+def _clustering() -> str:
+    """Rows of kept vectors by component, then rounds of nearest centroids and their floored means."""
+    ctes = [
+        "e AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "v AS MATERIALIZED (SELECT r, j, CAST(floor(256 * CAST(embedding[j] AS DOUBLE)) AS BIGINT) AS x FROM e, unnest(generate_series(1, 64)) t(j))",
+        "s AS (SELECT r, row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), embedding) - 1 AS c FROM e QUALIFY c < 40)",
+        "c0 AS MATERIALIZED (SELECT c, j, x FROM v JOIN s USING (r))",
+    ]
+    for n in range(6):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(c, (d, c)) AS c FROM (SELECT r, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN c{n} m USING (j) GROUP BY r, c) y GROUP BY r)")
+        if n < 5:
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, o.j, coalesce(f.x, o.x) AS x FROM c{n} o LEFT JOIN (SELECT c, j, CAST(sum(x) // count(*) AS BIGINT) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END AS x FROM v JOIN a{n} USING (r) GROUP BY c, j) f ON f.c = o.c AND f.j = o.j)")
+    return "WITH " + ",\n".join(ctes) + """
+SELECT vec_id, CAST(a5.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a5.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a5 JOIN e USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS sha FROM c5 GROUP BY c) h ON h.c = a5.c"""
+
+
+def _vectorcodes() -> str:
+    ctes = [
+        "e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding, len(embedding) // 4 AS w FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))",
+        "v AS MATERIALIZED (SELECT r, (j - 1) // w AS p, (j - 1) % w AS j, CAST(floor(1024 * CAST(embedding[j] AS DOUBLE)) AS BIGINT) AS x FROM e, unnest(generate_series(1, len(embedding))) t(j))",
+        "c0 AS MATERIALIZED (SELECT p, r - 1 AS c, j, x FROM v WHERE r <= 256)",
+    ]
+    for n in range(5):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, p, min(d) AS d, arg_min(c, (d, c)) AS c FROM (SELECT r, v.p, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN c{n} m ON m.p = v.p AND m.j = v.j GROUP BY r, v.p, c) y GROUP BY r, p)")
+        if n < 4:
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT o.p, o.c, o.j, coalesce(f.x, o.x) AS x FROM c{n} o LEFT JOIN (SELECT v.p, c, j, CAST(sum(x) // count(*) AS BIGINT) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END AS x FROM v JOIN a{n} a ON a.r = v.r AND a.p = v.p GROUP BY v.p, c, j) f ON f.p = o.p AND f.c = o.c AND f.j = o.j)")
+    return "WITH " + ",\n".join(ctes) + """,
+k AS (SELECT r, string_agg(lower(lpad(to_hex(c), 2, '0')), '' ORDER BY p) AS code, sum(d) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, c, j)) FROM c4) AS codebooks_sha256 FROM k JOIN e USING (r)"""
+
+
+OP11, OP13 = _clustering(), _vectorcodes()
+
+ORACLES = {"op1_decontaminate": OP1, "op5_neardup": OP5, "op6_warc": OP6, "op7_suffixdedup": OP7, "op8_linededup": OP8, "op11_clustering": OP11, "op13_vectorcodes": OP13}

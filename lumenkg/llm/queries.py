@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, linededup, neardup, packing, pii, sharding, suffixdedup, warc
+from . import clustering, decontaminate, fingerprint, langid, linededup, mixing, neardup, packing, pii, sharding, suffixdedup, vectorcodes, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -63,8 +63,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_chars", "n_entities")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2", dims=64, scale=256)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).drop("source", "times")
+
+
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op7_suffixdedup, op8_linededup, op9_sharding, op10_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_fingerprint, op4_langid, op5_neardup, op6_warc, op7_suffixdedup, op8_linededup, op9_sharding, op10_pii, op11_clustering, op12_mixing, op13_vectorcodes)}
 
 
 def oracle_sql() -> dict[str, str]:
