@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Queries, Query
 
-MODULES = ("graph", "states", "search", "build", "grading", "documents", "editing", "extraction", "streams")
+MODULES = ("graph", "states", "search", "build", "grading", "documents", "editing", "extraction", "streams", "store")
 
 
 def _every() -> list[Queries]:

@@ -50,6 +50,10 @@ UNION ALL SELECT DISTINCT doc, doc, 'requires', concat('mod/', CAST(supplier AS
 UNION ALL SELECT 'parts', concat('sym/', CAST(p_partkey AS STRING)), 'extends', concat('sym/', CAST(CAST(floor((p_partkey - 1) / 2.0) AS BIGINT) AS STRING)) FROM {part} WHERE p_partkey > 0 AND p_size % 3 = 0
 UNION ALL SELECT 'inputs', concat('doc/', CAST(c.o_orderkey AS STRING)), 'part-of', concat('doc/', CAST(CAST(floor((c.o_orderkey - 1) / 2.0) AS BIGINT) AS STRING)) FROM {orders} c WHERE c.o_orderkey > 0 AND c.o_orderkey % 8 <> 3
 UNION ALL SELECT 'inputs', concat('doc/', CAST(CAST(floor((c.o_orderkey - 1) / 2.0) AS BIGINT) AS STRING)), 'hasPart', concat('doc/', CAST(c.o_orderkey AS STRING)) FROM {orders} c WHERE c.o_orderkey > 0 AND c.o_orderkey % 8 <> 3""",
+    "literals": """
+SELECT 'parts' AS g, concat('sym/', CAST(p_partkey AS STRING)) AS s, 'title' AS p, p_name AS o, CASE p_size % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'en-gb' END AS o_lang, CAST(NULL AS STRING) AS o_dtype FROM {part}
+UNION ALL SELECT 'parts', concat('sym/', CAST(p_partkey AS STRING)), 'size', CAST(p_size AS STRING), NULL, 'http://www.w3.org/2001/XMLSchema#integer' FROM {part}
+UNION ALL SELECT concat('doc/', CAST(o_orderkey AS STRING)), concat('doc/', CAST(o_orderkey AS STRING)), 'changed', substring(CAST(o_orderdate AS STRING), 1, 10), NULL, 'http://www.w3.org/2001/XMLSchema#date' FROM {orders}""",
     "builds": """
 SELECT k, uri, line AS target, max(shipped) AS last_built FROM {elements} GROUP BY k, uri, line""",
     "file_targets": """
