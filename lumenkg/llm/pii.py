@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import frugal, stored
 
-#: Draws for one entity before the run gives up, unless more are asked for.
-MOST_DRAWS = 64
 #: Bits of entropy a character from which a value that is called a secret is one, though it has no digit.
 RANDOM = 3.2
 #: Bits that say which entities were drawn again; each executor holds BITS / 8 bytes.
@@ -60,6 +59,11 @@ _ENDINGS = {
     ("greek", "f"): ("να", "λια", "νη"), ("greek", "m"): ("νος", "ρης", "λος"), ("greek", "family"): ("ίδης", "άκης", "όπουλος"),
 }
 
+# Lower letters, or all, of scripts, by the first word of their characters' names.
+_BLOCKS = {"cyrillic": (0x0430, 0x044F), "greek": (0x03B1, 0x03C1), "hebrew": (0x05D0, 0x05EA), "arabic": (0x0627, 0x063A), "armenian": (0x0561, 0x0586), "georgian": (0x10D0, 0x10F0), "devanagari": (0x0915, 0x0939), "bengali": (0x0995, 0x09A8), "thai": (0x0E01, 0x0E2E), "hiragana": (0x3042, 0x3093), "katakana": (0x30A2, 0x30F3), "hangul": (0xAC00, 0xD7A3), "cjk": (0x4E00, 0x9FA5)}
+#: Surrogates that there are of kinds of one length; all other kinds grow when draws clash.
+SPACE = {"ssn": 665 * 99 * 9999, "ip4": 222 * 256 * 256 * 254}
+
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
 _IP4 = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
 _IP6 = re.compile(r"(?:(?<=IPv6:)|(?<![\w:]))(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w|:[0-9A-Fa-f:])")
@@ -72,7 +76,11 @@ _SECRET = re.compile(r"(?i)(?<!\w)(token|password|passwd|secret|api[_-]?key)\s{0
 _SECRET_WORDS = ("token", "passw", "secret", "api")
 _TOKEN = re.compile(rf"(?<![\w-])(?:(?:{'|'.join(map(re.escape, _TOKEN_HEADS))})[\w-]{{16,}}|eyJ[\w-]{{8,}}\.[\w-]{{8,}}(?:\.[\w-]*)?)(?![\w-])")
 _ADDRESS = re.compile(rf"(?<!\w)(?:({'|'.join(_FEMALE + _MALE + _EITHER)})\.? |({'|'.join(map(re.escape, _SIGNED))})\s+)(?=[^\W\d_])")
-_HONOUR = re.compile(rf"([\u4e00-\u9fff々]{{1,5}}|[\u30a1-\u30fa\u30fc]{{2,10}})(?={'|'.join(_AFTER)})")
+_HONOUR = re.compile(rf"([\u4e00-\u9fff々]+|[\u30a1-\u30fa\u30fc]{{2,}})(?={'|'.join(_AFTER)})")
+# Characters at the end of a place, a firm or an office that may stand before a name.
+_PLACE_ENDS = "都道府県市区町村郡州国社部課係局店校院駅"
+#: Characters of a family and a given name that are written without a space.
+_NAME_CHARS = 4
 _STREET = re.compile(rf"(?<![\w-])[0-9]{{1,5}} (?:[A-Z][\w'-]+ ){{1,3}}(?:{'|'.join(_STREETS)})(?!\w)")
 _STREET_NO = re.compile(rf"(?<![\w-])[A-ZÄÖÜ][a-zäöüß-]+(?:{'|'.join(_STREET_ENDS)}) [0-9]{{1,4}}[a-z]?(?!\w)")
 # What may stand before or between the parts of a name, and endings that are not of the name.
@@ -106,13 +114,28 @@ def _entropy(s: str) -> float:
 
 
 def _secret(name: str, value: str) -> bool:
-    """Whether what follows the name of a secret is one: any password, and other values that are no words."""
+    """Whether what follows the name of a secret is one: any password, and other values that are no words. Signs alone are a form to fill in."""
+    if not any(map(str.isalnum, value)):
+        return False
     return bool(_DIGIT.search(value)) or name[:5].lower() == "passw" or len(value) >= 16 and _entropy(value) >= RANDOM
 
 
 def script_of(name: str) -> str | None:
-    kind = unicodedata.name(name[0], "").split(" ")[0].split("-")[0].lower()
-    return kind if kind in _SYLLABLES else None
+    """The script of the first character that has one that names can be drawn in."""
+    for c in name:
+        kind = unicodedata.name(c, "").split(" ")[0].split("-")[0].lower()
+        if kind in _SYLLABLES:
+            return kind
+    return None
+
+
+def _honoured(run: str) -> str | None:
+    """The name at the end of the characters before an honorific: what follows the end of a place or an office, where that leaves two characters at least; of a longer run the last characters."""
+    if len(run) > 3 and script_of(run) == "cjk":
+        at = max((k + 1 for k in range(len(run) - 2) if run[k] in _PLACE_ENDS), default=0)
+        run = run[max(at, len(run) - _NAME_CHARS) :]
+    run = run.lstrip("々")
+    return run or None
 
 
 def _address(s: str) -> str | None:
@@ -204,8 +227,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((*span, *names[name]))
     if any(a in text for a in _AFTER):
         for m in _HONOUR.finditer(text):
-            names[m[1]] = (f"name:{script_of(m[1])}:family", m[1])
-            found.append((*m.span(1), *names[m[1]]))
+            if name := _honoured(m[1]):
+                names[name] = (f"name:{script_of(name)}:family", name)
+                found.append((m.end(1) - len(name), m.end(1), *names[name]))
     if names:  # the same names without a form of address, and in capital letters
         for name in list(names):
             names.setdefault(name.upper(), names[name])
@@ -244,25 +268,64 @@ class _Draw:
         return out
 
     def like(self, s: str, digits: str = "0123456789", lower: str = "abcdefghijklmnopqrstuvwxyz") -> str:
-        """As many characters: a digit for a digit, a letter for an ASCII letter in its case, others as they are."""
+        """As many characters: a digit for a digit, a letter of its script and case for a letter, others as they are."""
         out = []
         for c in s:
             if c in "0123456789":
                 out.append(digits[self.below(len(digits))])
-            elif c.isascii() and c.isalpha():
+            elif c.isdecimal():
+                out.append(chr(ord(c) - unicodedata.decimal(c) + self.below(10)))
+            elif c.isalpha() and not c.isascii() and (block := _block(c)):
+                d = chr(block[0] + self.below(block[1] - block[0] + 1))
+                out.append(d.upper() if c.isupper() else d)
+            elif c.isalnum():
                 d = lower[self.below(len(lower))]
                 out.append(d.upper() if c.isupper() else d)
             else:
                 out.append(c)
         return "".join(out)
 
+    def letters(self, n: int) -> str:
+        return "".join("abcdefghijklmnopqrstuvwxyz"[self.below(26)] for _ in range(n))
+
+
+def _block(c: str) -> tuple[int, int] | None:
+    """The letters to draw from for a letter of a script that is not Latin."""
+    script = unicodedata.name(c, "").split(" ")[0].split("-")[0].lower()
+    return _BLOCKS.get(script)
+
+
+def _shares(a: str, b: str, n: int = 4) -> bool:
+    """Whether n letters in a row of a are in b."""
+    a, b = a.casefold(), b.casefold()
+    return any(a[k : k + n].isalpha() and a[k : k + n] in b for k in range(len(a) - n + 1))
+
 
 def surrogate(key: bytes, kind: str, canon: str, draw: int = 0) -> str:
-    """The canonical value of the surrogate."""
+    """The canonical value of the surrogate. It is drawn again while it has four letters in a row of the entity's."""
     own = _Draw(key, kind, canon, draw)
+    for _ in range(8):
+        out = _drawn(own, kind, canon, draw)
+        if not _shares(*(x.partition(".example")[0] if kind == "email" else x for x in (_own_part(kind, out), _own_part(kind, canon)))):
+            break
+    return out
+
+
+def _own_part(kind: str, value: str) -> str:
+    """A value without what all of its kind have."""
+    if kind == "secret":
+        return value[len(_head(value)) :]
+    return " ".join(w for w in value.split(" ") if w.capitalize() not in _STREETS) if kind == "street" else value
+
+
+def _head(secret: str) -> str:
+    return next((h for h in ("AKIA", "eyJ", *_TOKEN_HEADS) if secret.startswith(h)), "")
+
+
+def _drawn(own: _Draw, kind: str, canon: str, draw: int) -> str:
     if kind == "email":
         local, _, domain = canon.partition("@")
-        return own.like(local) + "@" + own.like(domain.rpartition(".")[0]) + ".example"
+        return own.like(local) + own.letters(draw // 4) + "@" + own.like(domain.rpartition(".")[0]) + ".example"
     if kind == "ip4":
         octets = [1 + (own.below(222) + 127) % 223, own.below(256), own.below(256), 1 + own.below(254)]
         return ".".join(map(str, octets))
@@ -281,8 +344,9 @@ def surrogate(key: bytes, kind: str, canon: str, draw: int = 0) -> str:
         return canon[:head] + str(2 + own.below(8)) + own.like(canon[head + 1 :])
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in canon)
-        head = next((h for h in ("AKIA", "eyJ", *_TOKEN_HEADS) if canon.startswith(h)), "")
-        return head + own.like(canon[len(head) :], *(("0123456789abcdef",) * 2 if hexadecimal else ()))
+        head = _head(canon)
+        # letters are put in after some draws: secrets of few letters and digits must not run out
+        return head + own.like(canon[len(head) :], *(("0123456789abcdef",) * 2 if hexadecimal else ())) + own.letters(draw // 4)
     if kind == "street":
         words = []
         for w in canon.split(" "):
@@ -344,11 +408,16 @@ def occurring(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(frugal(run), "kind string, canon string").distinct()
 
 
-def assigned(found: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> DataFrame:
+def assigned(found: DataFrame, key: bytes) -> DataFrame:
     """kind, canon, draw, value: a surrogate for each entity, different from all others and from all entities.
 
-    Of entities that draw the same, the first by canonical value keeps it. found must be a table.
+    Of entities that draw the same, the first by canonical value keeps it; the others draw until all are free.
+    Only where a kind of SPACE has more than half as many entities as there are surrogates is that an error.
+    found must be a table.
     """
+    counts = {r["kind"]: r["count"] for r in found.where(F.col("kind").isin(*SPACE)).groupBy("kind").count().collect()}  # a row for each kind of SPACE
+    if full := [kind for kind, n in counts.items() if 2 * n > SPACE[kind]]:
+        raise ValueError(f"too many entities of a kind: {full}")
 
     def draw(rows: DataFrame, n: int) -> DataFrame:
         def run(batches):
@@ -359,7 +428,7 @@ def assigned(found: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> Data
         return stored(rows.select("kind", "canon").mapInArrow(frugal(run), "kind string, canon string, draw int, value string"), "drawn")
 
     done, rows = None, draw(found, 0)
-    for n in range(1, most_draws):
+    for n in count(1):
         taken = found.select("kind", F.col("canon").alias("value"))
         if done is not None:
             taken = taken.unionByName(done.select("kind", "value"))
@@ -372,13 +441,12 @@ def assigned(found: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> Data
         if rest.isEmpty():
             return done
         rows = draw(rest, n)
-    raise ValueError(f"no free surrogate for some entities after {most_draws} draws")
 
 
-def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", count: str = "n_entities") -> DataFrame:
-    """docs with surrogates in place of entities, and a column ``count``: how many were replaced.
+def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", n_found: str = "n_entities") -> DataFrame:
+    """docs with surrogates in place of entities, and a column ``n_found``: how many were replaced.
 
-    ``n_chars``, where there is such a column, follows the text; a column named ``count`` is replaced, all
+    ``n_chars``, where there is such a column, follows the text; a column named ``n_found`` is replaced, all
     others are kept. Long texts are read as a whole. Null and empty texts stay as they are and have no entities; rows that repeat each
     other get the same surrogates; an empty table gives no rows. Numbers with wrong check digits, and
     addresses out of range, are no entities.
@@ -398,12 +466,12 @@ def surrogates(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
         bits[at : at + 4096] = row["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
-    kept = [c for c in docs.columns if c != count]
-    out = docs.select(*kept).withColumn(count, F.lit(0).cast("long")).withColumn("__pii_check", F.lit(None).cast("array<struct<kind:string,canon:string>>"))
+    kept = [c for c in docs.columns if c != n_found]
+    out = docs.select(*kept).withColumn(n_found, F.lit(0).cast("long")).withColumn("__pii_check", F.lit(None).cast("array<struct<kind:string,canon:string>>"))
     schema = out.schema
 
     def changed(batch: pa.RecordBatch, texts: list, counts: list, checks: list) -> pa.RecordBatch:
-        put = {text: pa.array(texts, batch.schema.field(text).type), count: pa.array(counts, pa.int64()), "__pii_check": pa.array(checks, batch.schema.field("__pii_check").type)}
+        put = {text: pa.array(texts, batch.schema.field(text).type), n_found: pa.array(counts, pa.int64()), "__pii_check": pa.array(checks, batch.schema.field("__pii_check").type)}
         if n_chars in kept:
             put[n_chars] = pa.array([n if t is None or not k else len(t) for n, t, k in zip(batch.column(n_chars).to_pylist(), texts, counts, strict=True)], batch.schema.field(n_chars).type)
         return pa.RecordBatch.from_arrays([put.get(name, column) for name, column in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)

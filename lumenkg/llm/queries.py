@@ -10,8 +10,8 @@ from . import clustering, decontaminate, fingerprint, langid, linededup, mixing,
 from .common import table
 from .oracles import ORACLES
 
-#: The key that op10 draws surrogates with; a deployment passes a secret one to the operator.
-KEY = b"lumenkg"
+#: The setting that names the secret key of op10's surrogates; where it is not set, as in tests, the key is this name.
+KEY = "spark.lumenkg.pii.key"
 #: The vocabulary that op2 and the pipeline tokenise with.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -60,7 +60,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_chars", "n_entities")
+    return pii.surrogates(table(spark, sf_dir, "documents"), spark.conf.get(KEY, KEY).encode()).select("doc_id", "text", "n_chars", "n_entities")
 
 
 def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
