@@ -7,12 +7,13 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import stored, tidy
 
 #: Rounds after which what they have found is written as one table.
 MERGE = 16
 
 
+@tidy
 def closure(edges: DataFrame, seeds: DataFrame | None = None, include_start: bool = False, most_rounds: int | None = None) -> DataFrame:
     """Pairs (src, dst) where dst is reached from src over one or more edges (src, dst); with include_start also over none.
 
@@ -41,6 +42,28 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, include_start: boo
     return known
 
 
+@tidy
+def doubled(edges: DataFrame) -> DataFrame:
+    """Pairs (src, dst) where dst is reached from src over one or more edges: as closure() from all sources, in log2 of the longest shortest path rounds.
+
+    Each round puts the pairs that are exactly 2 ** n edges apart behind all pairs that are known, which makes
+    no pair twice where paths are single, as in trees. Made for hierarchies; cycles end, as the pairs are a set.
+    """
+    near = stored(edges.select("src", "dst").dropna().distinct(), "near")
+    apart, size = near, near.count()
+    while size:
+        far = apart.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        both = stored(near.unionByName(near.join(far, "dst").select("src", F.col("far").alias("dst"))).distinct(), "near")
+        grown = both.count()
+        near = both
+        if grown == size:
+            break
+        size = grown
+        apart = stored(apart.join(far, "dst").select("src", F.col("far").alias("dst")).distinct(), "apart")
+    return near
+
+
+@tidy
 def levels(tasks: DataFrame, deps: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """tasks (id) with level: 0 for those without open dependencies, else one more than the highest of their dependencies; null on or behind a cycle.
 
@@ -66,6 +89,7 @@ def levels(tasks: DataFrame, deps: DataFrame, most_rounds: int | None = None) ->
     return rest if done is None else done.unionByName(rest)
 
 
+@tidy
 def rooted_paths(nodes: DataFrame, most_depth: int = 1 << 20) -> DataFrame:
     """nodes (doc, node, parent, part) with path: the parts from the root of the tree down.
 

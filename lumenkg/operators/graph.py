@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
-from .closure import closure
+from ..storage import shared_dir, stored
+from .closure import closure, doubled
 
 
 def triples(quads: DataFrame) -> DataFrame:
@@ -163,21 +163,25 @@ def first_notation(quads: DataFrame) -> DataFrame:
     return pattern(triples(quads), "?element", "notation-for", "?symbol").groupBy("symbol").agg(F.min("element").alias("element"))
 
 
-def rolled_up(quads: DataFrame, predicates: list[str], up: list[str]) -> DataFrame:
-    """Pairs (term, holder): a triple with one of the predicates has the term as its object, and the holder as its subject or as what holds it over one or more of the predicates of up.
+def lifted(found: DataFrame, quads: DataFrame, up: list[str]) -> DataFrame:
+    """doc, term, each once: found (node, term) at the document, or at what it holds over one or more of the predicates of up.
 
-    What is carried up is terms, each once for each holder, not pairs of a holder and all within it.
+    Nodes are lifted to the nearest documents first, over holders that are none; documents to all those above
+    them by doubling; then what is found goes up in one join. Holders that no document is above lead nowhere
+    and are not followed, as terms are not carried from node to node.
     """
-    found = quads.where(F.col("p").isin(predicates)).select(F.col("o").alias("src"), F.col("s").alias("dst"))
-    return _carried(found, quads, up).withColumnsRenamed({"src": "term", "dst": "holder"})
-
-
-def _carried(found: DataFrame, quads: DataFrame, up: list[str]) -> DataFrame:
-    """Pairs (src, dst) with all dst above theirs. Terms are marked, so that a term that is a holder, too, is not gone on from."""
-    mark = F.lit("\x00")
-    start = found.select(F.concat(mark, "src").alias("src"), "dst")
-    above = quads.where(F.col("p").isin(up)).select(F.col("o").alias("src"), F.col("s").alias("dst"))
-    return closure(start.unionByName(above), start.select("src")).select(F.substring("src", 2, 1 << 30).alias("src"), "dst")
+    docs = documents(quads)
+    edges = quads.where(F.col("p").isin(up)).select(F.col("o").alias("src"), F.col("s").alias("dst")).distinct()
+    of = docs.select(F.col("doc").alias("src"))
+    inner, outer = edges.join(of, "src", "left_anti"), stored(edges.join(of, "src", "left_semi"), "outer")
+    found = stored(found.select("node", "term").distinct(), "found")
+    starts = found.select(F.col("node").alias("src")).unionByName(outer.select(F.col("dst").alias("src"))).join(of, "src", "left_anti")
+    near = closure(inner, starts).join(docs.select(F.col("doc").alias("dst")), "dst", "left_semi").unionByName(of.select("src", F.col("src").alias("dst")))
+    near = stored(near.select(F.col("src").alias("node"), F.col("dst").alias("doc")), "lifted")
+    above = doubled(outer.join(near.select(F.col("node").alias("dst"), "doc"), "dst").select("src", F.col("doc").alias("dst")))
+    own = stored(found.join(near, "node").select("doc", "term").distinct(), "own")
+    more = own.join(above.select(F.col("src").alias("doc"), "dst"), "doc").select(F.col("dst").alias("doc"), "term")
+    return own.unionByName(more).distinct()
 
 
 def documents(quads: DataFrame) -> DataFrame:
@@ -192,7 +196,8 @@ def archive_edges(quads: DataFrame, metas: DataFrame | None = None, prefix: str
     t = triples(quads)
     docs = documents(quads)
     held = t.where((F.col("p") == "contains") & F.col("s").startswith(prefix)).select(F.col("s").alias("archive"), F.col("o").alias("doc")).join(docs, "doc", "left_semi")
-    used = rolled_up(t, ["requires", "imports", "hasPart"], ["contains"]).select(F.col("holder").alias("doc"), "term")
+    uses = t.where("p in ('requires', 'imports', 'hasPart')").select(F.col("s").alias("node"), F.col("o").alias("term"))
+    used = lifted(uses, t, ["contains"])
     used = held.join(used, "doc").select("archive", "term").distinct()
     holders = docs.select("doc", F.col("doc").alias("term")).unionByName(t.where("p = 'contains'").select(F.col("s").alias("doc"), F.col("o").alias("term")).join(docs, "doc", "left_semi")).distinct()
     owners = holders.join(held, "doc").select("term", F.col("archive").alias("dst")).distinct()
@@ -212,8 +217,8 @@ def unused_files(quads: DataFrame, prefix: str = "arch/") -> DataFrame:
 
 def symbols_of(quads: DataFrame, predicate: str) -> DataFrame:
     """doc, symbol: the document, or what it contains or has as a part at any depth, has a triple of the predicate with the symbol."""
-    found = rolled_up(triples(quads), [predicate], ["contains", "hasPart"])
-    return found.select(F.col("holder").alias("doc"), F.col("term").alias("symbol")).join(documents(quads), "doc", "left_semi").distinct()
+    found = quads.where(F.col("p") == predicate).select(F.col("s").alias("node"), F.col("o").alias("term"))
+    return lifted(found, quads, ["contains", "hasPart"]).withColumnRenamed("term", "symbol")
 
 
 def prerequisites(quads: DataFrame, intent: bool = False) -> DataFrame:

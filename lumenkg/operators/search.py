@@ -26,11 +26,12 @@ def def_like(kind: Column, styles: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, field, uri, tf, positions.  lengths: uri, field, length.  records: all columns of the records."""
+    """postings: term, field, uri, tf, positions.  lengths: uri, field, length.  records: all columns of the records.  averages: field, n, average (length), where these are known."""
 
     postings: DataFrame
     lengths: DataFrame
     records: DataFrame
+    averages: DataFrame | None = None
 
 
 def index(records: DataFrame, keep: bool = True, positions: bool = False) -> Index:
@@ -53,7 +54,7 @@ def scored(found: Index, terms: list[str], allowed: DataFrame | None = None, eve
     terms = list(dict.fromkeys(terms))
     hits = found.postings.where(F.col("term").isin(terms))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    average = found.lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    average = found.averages if found.averages is not None else found.lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     weights = F.broadcast(df.join(average, "field"))  # a row for each term of the query and field
     if allowed is not None:
         hits = hits.join(allowed.select("uri"), "uri", "left_semi")
@@ -89,10 +90,19 @@ def phrase(found: Index, words: list[str], field: str = "body") -> DataFrame:
     return out.select("uri").distinct()
 
 
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank by an order, from 1: ranges of the order are numbered by themselves, and begin after all before them; no task orders all rows."""
+    parts = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("__part").count()  # a row for each range
+    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__within", within).join(F.broadcast(before), "__part").withColumn("rank", (F.col("__before") + F.col("__within")).cast("int")).drop("__part", "__within", "__before")
+
+
 def search_symbols(found: Index, query: str, k: int = 0, **options) -> DataFrame:
     """symbol, rank, uris: hits (2k of them) by the symbols they are for, in the order of their first hits, the first k (0: all)."""
     top = search(found, query, k=2 * k, **options)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "uri"))) if k else top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "uri")))
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "uri"))) if k else placed(top, F.desc("score"), F.col("uri"))
     hits = ranked.join(found.records.select("uri", "fors"), "uri").select("rank", "uri", F.posexplode("fors").alias("nth", "symbol"))
     out = hits.groupBy("symbol").agg(F.min(F.struct("rank", "nth")).alias("first"), F.array_sort(F.collect_list(F.struct("rank", "uri"))).alias("hits"))
     out = out.select("symbol", F.col("first.rank").alias("rank"), F.col("first.nth").alias("nth"), F.concat_ws(",", F.transform("hits", lambda h: h["uri"])).alias("uris")).orderBy("rank", "nth")

@@ -54,6 +54,12 @@ UNION ALL SELECT 'inputs', concat('doc/', CAST(CAST(floor((c.o_orderkey - 1) / 2
 SELECT 'parts' AS g, concat('sym/', CAST(p_partkey AS STRING)) AS s, 'title' AS p, p_name AS o, CASE p_size % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'en-gb' END AS o_lang, CAST(NULL AS STRING) AS o_dtype FROM {part}
 UNION ALL SELECT 'parts', concat('sym/', CAST(p_partkey AS STRING)), 'size', CAST(p_size AS STRING), NULL, 'http://www.w3.org/2001/XMLSchema#integer' FROM {part}
 UNION ALL SELECT concat('doc/', CAST(o_orderkey AS STRING)), concat('doc/', CAST(o_orderkey AS STRING)), 'changed', substring(CAST(o_orderdate AS STRING), 1, 10), NULL, 'http://www.w3.org/2001/XMLSchema#date' FROM {orders}""",
+    "circles": """
+SELECT p_partkey AS src, (p_partkey * p_partkey + 3) % 1009 AS dst FROM {part}
+UNION ALL SELECT p_partkey, p_partkey + 1 FROM {part} WHERE p_partkey % 7 = 0
+UNION ALL SELECT p_partkey, p_partkey FROM {part} WHERE p_partkey % 101 = 5
+UNION ALL SELECT s_suppkey + 1000000, CASE WHEN s_suppkey % 8 = 7 THEN s_suppkey + 999993 ELSE s_suppkey + 1000001 END FROM {supplier}
+UNION ALL SELECT s_suppkey + 1000000, s_suppkey + 1000003 FROM {supplier} WHERE s_suppkey % 8 = 1""",
     "builds": """
 SELECT k, uri, line AS target, max(shipped) AS last_built FROM {elements} GROUP BY k, uri, line""",
     "file_targets": """
