@@ -157,3 +157,18 @@ def semantic_tokens(found: DataFrame) -> DataFrame:
     length = F.when((F.col("line") == F.col("stop_line")) & (F.col("stop_col") >= F.col("col")), F.col("stop_col") - F.col("col")).otherwise(999)
     d_line = F.col("line") - F.col("far.line")
     return own.select("file", "nth", d_line.alias("d_line"), F.when(d_line == 0, F.col("col") - F.col("far.col")).otherwise(F.col("col")).alias("d_col"), length.alias("length"), "type")
+
+
+def nested(ranges: DataFrame) -> DataFrame:
+    """ranges (file, node, at, close; properly nested) with parent: the node of the smallest range that holds each one. The last that opened one level up is the one that is open."""
+    last = F.lit(1 << 30)
+    marks = ranges.select("file", "node", F.col("at").alias("place"), F.lit(1).alias("step"), (last - F.col("close")).alias("tie")).unionByName(ranges.select("file", "node", F.col("close").alias("place"), F.lit(-1).alias("step"), F.col("at").alias("tie")))
+    # at one place a range opens before it closes, and the larger first
+    order = [F.col("place"), F.desc("step"), F.col("tie")]
+    deep = marks.withColumn("deep", F.sum("step").over(Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opens = deep.where("step = 1").select("file", "node", "place", "tie", "deep")
+    both = opens.select("file", "place", "tie", F.col("deep").alias("at_depth"), F.col("node").alias("holder"), F.lit(None).cast(ranges.schema["node"].dataType).alias("node"))
+    both = both.unionByName(opens.select("file", "place", "tie", (F.col("deep") - 1).alias("at_depth"), F.lit(None).cast(ranges.schema["node"].dataType).alias("holder"), "node"))
+    parent = F.last("holder", True).over(Window.partitionBy("file", "at_depth").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("parent", parent).where("node is not null").select("file", "node", "parent")
+    return ranges.join(found, ["file", "node"], "left")
