@@ -81,10 +81,10 @@ def rows(found: DataFrame) -> DataFrame:
     return stored(nested(stored(own, "annotated")), "rows")
 
 
-def nested(own: DataFrame) -> DataFrame:
-    """own with parent: the container whose bytes hold the row's, and no smaller one does."""
+def nested(own: DataFrame, kinds: tuple[str, ...] = CONTAINERS, name: str = "parent") -> DataFrame:
+    """own with parent (or another name): the container of the kinds whose bytes hold the row's, and no smaller one does."""
     # Containers open and close like brackets: one more deep at a start, one less at a stop.
-    holds = own.where(F.col("kind").isin(*CONTAINERS) & F.col("stop").isNotNull()).select("doc", F.col("nth").alias("c"), F.col("start").alias("a"), F.col("stop").alias("b")).distinct()
+    holds = own.where(F.col("kind").isin(*kinds) & F.col("stop").isNotNull()).select("doc", F.col("nth").alias("c"), F.col("start").alias("a"), F.col("stop").alias("b")).distinct()
     nothing = F.lit(None).cast("int")
     marks = holds.select("doc", F.col("a").alias("at"), F.lit(2).alias("order"), F.lit(1).alias("step"), "c", nothing.alias("row"))
     marks = marks.unionByName(holds.select("doc", F.col("b").alias("at"), F.lit(0).alias("order"), F.lit(-1).alias("step"), "c", nothing.alias("row")))
@@ -94,7 +94,7 @@ def nested(own: DataFrame) -> DataFrame:
     # the last container that opened at this depth is the one that is still open
     last = Window.partitionBy("doc", "deep").orderBy("at", "order", "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_ = F.last(F.when(F.col("step") == 1, F.col("c")), True).over(last)
-    parents = deep.withColumn("parent", F.when(F.col("deep") > 0, open_)).where("row is not null").select("doc", F.col("row").alias("nth"), "parent")
+    parents = deep.withColumn("parent", F.when(F.col("deep") > 0, open_)).where("row is not null").select("doc", F.col("row").alias("nth"), F.col("parent").alias(name))
     return own.join(parents, ["doc", "nth"], "left")
 
 
