@@ -92,8 +92,8 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, page_id: st
 
     Of records with equal payloads (UTF-8; null: empty) of at least ``least`` bytes, the one with the
     largest page_id is the response and the others revisit it; smaller payloads are all responses, though
-    stored once like the rest. A null page_id is the smallest; rows that repeat the largest page_id are
-    all responses. A null url leaves its field out. Other columns are left out, long pages are records
+    stored once like the rest. A null page_id is the smallest; of rows that repeat the largest page_id one is
+    the response and the others revisit it. A null url leaves its field out. Other columns are left out, long pages are records
     like others, and an empty table makes an empty archive. date: of the records, that of the call if none.
     """
     stamp = (date or datetime.datetime.now(datetime.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -102,15 +102,15 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, page_id: st
     # Each payload once. Rows with equal payloads are merged before they are shuffled; a digest with several payloads has several rows.
     once = pages.select(F.sha2(payload, 256).alias("key"), payload.alias("payload")).distinct()
     once.write.option("compression", "zstd").parquet(archive.payloads)
-    rows = stored(_digests(pages, page_id, url, html), "digests")
-    responses = rows.groupBy("key").agg(F.max("page_id").alias("response")).withColumnRenamed("key", "k")
-    kinds = rows.join(responses, F.col("key") == F.col("k")).drop("k")
+    rows = stored(_digests(pages, page_id, url, html).withColumn("row", F.monotonically_increasing_id()), "digests")
+    responses = rows.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("page_id", "row")).alias("last"))
+    kinds = rows.join(responses, F.col("key") == F.col("k")).select("page_id", "url", "key", "sha1", "size", F.col("last.page_id").alias("response"), (F.col("row") == F.col("last.row")).alias("first"))
 
     def run(batches):
         for batch in batches:
             heads = []
-            for p, u, sha1, size, r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "size", "response")), strict=True):
-                kind = "response" if size < least or p == r else "revisit"
+            for p, u, sha1, size, r, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "size", "response", "first")), strict=True):
+                kind = "response" if size < least or first else "revisit"
                 heads.append(header(p, u, kind, r, sha1, size, stamp))
             yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), batch.column("key")], names=["header", "key"])
 
@@ -130,38 +130,42 @@ def spark_headers(spark: SparkSession, archive: Archive) -> DataFrame:
 
 
 def records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """The original records, put together: record binary. A revisit has no payload of its own."""
-    revisit = F.instr(F.substring("header", 1, 40).cast("string"), "WARC-Type: revisit") > 0
-    met = spark_headers(spark, archive).join(spark_payloads(spark, archive), "key")
-    return met.select(F.concat("header", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")).alias("record"))
+    """The original records, put together: record binary, and the key of its payload. A revisit has no payload of its own, and is not joined."""
+    end = F.lit(b"\r\n\r\n")
+    heads = spark_headers(spark, archive).withColumn("revisit", F.instr(F.substring("header", 1, 40).cast("string"), "WARC-Type: revisit") > 0)
+    whole = heads.where("not revisit").join(spark_payloads(spark, archive), "key").select("key", F.concat("header", "payload", end).alias("record"))
+    return whole.unionByName(heads.where("revisit").select("key", F.concat("header", end).alias("record")))
+
+
+def parsed(record: bytes) -> tuple[dict[str, str], int, bytes | None]:
+    """The fields of a record, the length of the payload by its HTTP header, and the payload; null for a revisit. A record that is cut off or too long is an error."""
+    head, _, block = record[:-4].partition(b"\r\n\r\n")
+    f = fields(head + b"\r\n\r\n")
+    if len(block) != int(f["Content-Length"]) or record[-4:] != b"\r\n\r\n":
+        raise ValueError(f"the record {f['WARC-Record-ID']} is not as long as it says")
+    http, _, payload = block.partition(b"\r\n\r\n")
+    size = int(re.search(rb"^Content-Length: ([0-9]+)", http, re.M)[1])
+    return f, size, None if f["WARC-Type"] == "revisit" else payload
 
 
 def read(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, read back from the archive.
+    """Per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, read from the records as they are put together.
 
-    Size and digest are taken from the stored payload, whose key is checked on the way, and compared with
-    the header; a record whose header tells another digest raises an error.
+    The payload of a response is measured and hashed: its SHA-256 must be its key, its SHA-1 and its length
+    those of the headers, or an error is raised. A revisit tells the digest and length of what it refers to.
     """
 
-    def measure(batches):
-        for batch in batches:
-            payloads = batch.column("payload").to_pylist()
-            if any(hashlib.sha256(p).hexdigest() != k for p, k in zip(payloads, batch.column("key").to_pylist(), strict=True)):
-                raise ValueError("a stored payload does not match its digest")
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([base32_sha1(p) for p in payloads], pa.string())], names=["k", "size", "sha1"])
-
     def parse(batches):
         for batch in batches:
             out = []
-            for head, size, sha1 in zip(*(batch.column(c).to_pylist() for c in ("header", "size", "sha1")), strict=True):
-                f = fields(head)
-                if f["WARC-Payload-Digest"] != f"sha1:{sha1}":
-                    raise ValueError(f"the payload of {f['WARC-Record-ID']} does not match its header")
+            for key, record in zip(*(batch.column(c).to_pylist() for c in ("key", "record")), strict=True):
+                f, size, payload = parsed(record)
+                sha1 = f["WARC-Payload-Digest"].removeprefix("sha1:")
+                if payload is not None and (hashlib.sha256(payload).hexdigest() != key or base32_sha1(payload) != sha1 or len(payload) != size):
+                    raise ValueError(f"the payload of {f['WARC-Record-ID']} does not match its header or its key")
                 url = f.get("WARC-Target-URI")
                 out.append((_page(f["WARC-Record-ID"]), url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), size, sha1, f["WARC-Type"], _page(f.get("WARC-Refers-To"))))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    sizes = spark_payloads(spark, archive).mapInArrow(measure, "k string, size long, sha1 string")
-    met = spark_headers(spark, archive).join(sizes, F.col("key") == F.col("k")).select("header", "size", "sha1")
-    return met.mapInArrow(parse, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return records(spark, archive).mapInArrow(parse, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

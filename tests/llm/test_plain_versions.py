@@ -200,6 +200,6 @@ def test_records(spark):
     pages = spark.createDataFrame([(None, "u", "x", 1), (7, "u", "x", 1), (7, "v", "x", 1), (8, "w", "y" * 200_000, 1)], "page_id long, url string, html string, key long")
     archive = warc.write(pages)
     got = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, archive).collect())
-    assert got == [(0, "revisit", 7, 1), (7, "response", None, 1), (7, "response", None, 1), (8, "response", None, 200_000)]
+    assert got == [(0, "revisit", 7, 1), (7, "response", None, 1), (7, "revisit", 7, 1), (8, "response", None, 200_000)]
     for r in warc.records(spark, archive).collect():
         assert {"WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length"} <= set(warc.fields(bytes(r.record)))
