@@ -75,7 +75,7 @@ def test_sql(spark):
     from compare import rows
 
     sf, duck = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         found = queries()[name](spark, sf)
