@@ -22,12 +22,12 @@ Q.add("build_eta", "events", lambda e: B.eta(e.select((F.col("user_id") % 10).al
 
 
 def _after(e):
-    first = e.where("line <= 4").select(F.col("k").alias("task"), F.col("ord"), F.col("kind").alias("target"))
-    events = e.where("line <= 4 and level < 5 and ord <= 2").select(F.col("k").alias("task"), "ord", (F.col("level") != 1).alias("ok"))
+    first = e.select(F.col("k").alias("task"), F.col("ord"), F.col("kind").alias("target"))
+    events = e.where("level < 5 and ord <= 2").select(F.col("k").alias("task"), "ord", (F.col("level") != 1).alias("ok"))
     return B.after_events(first, events)
 
 
-Q.add("build_apply_events", "elements", _after, "WITH x AS (SELECT k AS task, ord, kind AS target, CASE WHEN level < 5 AND ord <= 2 THEN level <> 1 END AS ok FROM {elements} WHERE line <= 4), y AS (SELECT *, max(CASE WHEN ok = false THEN 1 ELSE 0 END) OVER w AS f, sum(CASE WHEN ok IS NULL THEN 1 ELSE 0 END) OVER w AS n FROM x WINDOW w AS (PARTITION BY task ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT task, ord, target, CASE WHEN f = 1 THEN 'failed' WHEN ok THEN 'done' WHEN n = 1 THEN 'queued' ELSE 'blocked' END AS state FROM y")
+Q.add("build_apply_events", "elements", _after, "WITH x AS (SELECT k AS task, ord, kind AS target, CASE WHEN level < 5 AND ord <= 2 THEN level <> 1 END AS ok FROM {elements}), y AS (SELECT *, max(CASE WHEN ok = false THEN 1 ELSE 0 END) OVER w AS f, sum(CASE WHEN ok IS NULL THEN 1 ELSE 0 END) OVER w AS n FROM x WINDOW w AS (PARTITION BY task ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT task, ord, target, CASE WHEN f = 1 THEN 'failed' WHEN ok THEN 'done' WHEN n = 1 THEN 'queued' ELSE 'blocked' END AS state FROM y")
 _sources = lambda e: e.groupBy(F.col("k").alias("file")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.when(F.col("kind") == "definition", "\\importmodule[").when(F.col("kind") == "example", "% \\usemodule[").otherwise("\\inputref["), F.lit("a"), F.col("level"), F.lit("]{p/m"), F.col("supplier"), F.lit("?x}"))))).alias("text"))
 Q.add("build_source_deps", "elements", lambda e: B.source_deps(_sources(e)), "WITH x AS (SELECT DISTINCT k AS file, CASE kind WHEN 'definition' THEN 'import' ELSE 'input' END AS kind, concat('a', level) AS archive, concat('p/m', supplier) AS path FROM {elements} WHERE kind <> 'example') SELECT x.*, false AS strict FROM x UNION ALL SELECT x.*, true FROM x WHERE kind = 'import'")
 Q.add("overlay_archives", "docs", lambda d: B.overlaid([d.where("k % 5 = 0").select("uri", F.lit("sandbox").alias("text")), d.where("k % 3 = 0").select("uri", F.lit("temporary").alias("text")), d.select("uri", F.lit("global").alias("text"))], "uri"), "SELECT uri, CASE WHEN k % 5 = 0 THEN 'sandbox' WHEN k % 3 = 0 THEN 'temporary' ELSE 'global' END AS text, CASE WHEN k % 5 = 0 THEN 0 WHEN k % 3 = 0 THEN 1 ELSE 2 END AS layer FROM {docs}")

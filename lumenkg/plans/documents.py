@@ -15,9 +15,10 @@ Q.add("tree_dfs", "elements", lambda e: T.depth_first(T.paths(_nodes(e))).select
 Q.add("tree_bfs", "elements", lambda e: T.breadth_first(T.paths(_nodes(e))).select("uri", "n", "depth"), TREE + " SELECT uri, row_number() OVER (PARTITION BY doc ORDER BY depth, path) AS n, depth FROM r")
 Q.add("doc_element_lookup", "elements", lambda e: e.where(F.col("uri").isin("doc/7/1", "doc/32/2", "doc/1000000/1")).select("uri", "kind", "part"), "SELECT uri, kind, part FROM {elements} WHERE uri IN ('doc/7/1', 'doc/32/2', 'doc/1000000/1')")
 Q.add("decl_lookup", "part supplier", lambda p, s: p.join(s, F.col("p_partkey") % 100 == F.col("s_suppkey") % 100).where(F.col("p_name").startswith("P") | (F.col("p_size") < 5)).select(F.concat(F.lit("mod/"), F.col("s_suppkey")).alias("module"), F.concat(F.lit("sym/"), F.col("p_partkey")).alias("symbol")), "SELECT concat('mod/', s_suppkey) AS module, concat('sym/', p_partkey) AS symbol FROM {part} JOIN {supplier} ON p_partkey % 100 = s_suppkey % 100 WHERE p_name LIKE 'P%' OR p_size < 5")
-_ranges = lambda p: p.select(F.col("page_id").alias("doc"), (F.col("page_id") % 50).alias("start"), (F.col("page_id") % 50 + 120).alias("stop"))
-_html = lambda p: p.select(F.col("page_id").alias("doc"), F.regexp_replace("html", "[^\\x00-\\x7F]", "?").alias("html"))
-Q.add("content_fragment", "pages", lambda p: T.fragments(_ranges(p), _html(p)).select("doc", "fragment"), "SELECT page_id AS doc, substring(regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g'), page_id % 50 + 1, 120) AS fragment FROM {pages}")
+_upto = lambda n: F.octet_length(F.substr("html", F.lit(1), n)).cast("long")
+_ranges = lambda p: p.select(F.col("page_id").alias("doc"), _upto((F.col("page_id") % 50).cast("int")).alias("start"), _upto((F.col("page_id") % 50 + 120).cast("int")).alias("stop"))
+_html = lambda p: p.select(F.col("page_id").alias("doc"), "html")
+Q.add("content_fragment", "pages", lambda p: T.fragments(_ranges(p), _html(p)).select("doc", "fragment"), "SELECT page_id AS doc, substring(html, page_id % 50 + 1, 120) AS fragment FROM {pages}")
 Q.add("content_title", "pages", lambda p: p.select(F.col("page_id").alias("doc"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")), "SELECT page_id AS doc, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {pages}")
 Q.add("content_slides", "elements", lambda e: e.where("kind in ('paragraph', 'example') and level < 5").groupBy("doc").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind"))), lambda x: x["kind"])).alias("slides")), "SELECT doc, string_agg(kind, ',' ORDER BY ord) AS slides FROM {elements} WHERE kind IN ('paragraph', 'example') AND level < 5 GROUP BY doc")
 RESET = ", ".join(f"sum(CASE WHEN level < {k} AND NOT (level = 0 AND {k} = 1) THEN 1 ELSE 0 END) OVER w AS r{k}" for k in range(7))

@@ -41,3 +41,33 @@ def _lines(q):
 
 
 Q.add("triples_round_trip", "quads", lambda q: N.parsed(_lines(q)).select("g", "s", "p", "o"), "SELECT g, s, p, o FROM {quads} WHERE s NOT LIKE '\\_:%' ESCAPE '\\' AND (o NOT LIKE '\\_:%' ESCAPE '\\' OR p = 'type')")
+
+
+def relation_pages(e):
+    """A page for each document, without ids: a module with an import, a use, an extension or a morphism for each element, and declarations; an input and a lost import behind it."""
+    supplier, part, ord = (F.col(c).cast("string") for c in ("supplier", "part", "ord"))
+    one = (
+        F.when(F.col("kind") == "definition", F.concat(F.lit('<i data-kg-import="m'), supplier, F.lit('"></i><b data-kg-symdecl="sym/'), part, F.lit('"></b>')))
+        .when(F.col("kind") == "example", F.concat(F.lit('<i data-kg-usemodule="m'), supplier, F.lit('"></i><b data-kg-vardef="var/'), part, F.lit('"></b>')))
+        .when(F.col("kind") == "paragraph", F.concat(F.lit('<div data-kg-feature-morphism="mo" data-kg-domain="m'), supplier, F.lit('"><i data-kg-import="n'), ord, F.lit('"></i></div>')))
+        .otherwise(F.concat(F.lit('<div data-kg-feature-structure="x/EXTSTRUCT'), ord, F.lit('"><i data-kg-import="a/EXTSTRUCT9"></i>é<i data-kg-import="m'), supplier, F.lit('"></i><i data-kg-import="late"></i><b data-kg-notation="sym/'), part, F.lit('"></b></div>')))
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("h")))), lambda x: x["h"]), "")
+    return e.groupBy("doc", "k").agg(F.concat(F.lit('<div data-kg-module="m">'), body, F.lit('</div><i data-kg-import="lost"></i><a data-kg-inputref="doc/'), F.col("k") + 1, F.lit('"></a>')).alias("html")).drop("k")
+
+
+def _relations(e):
+    own = H.rows(H.annotated(H.nodes(H.tags(relation_pages(e)))))
+    found = H.triples(own, H.elements(own), F.lit("arch/a"), F.when(F.col("doc").endswith("7"), "de").otherwise("en"))
+    return found.where("p not in ('notation-for') and not (p = 'declares' and o like '%notation%') and not (p = 'type' and o = 'notation')")
+
+
+_R = """WITH x AS (SELECT *, row_number() OVER (PARTITION BY doc, CASE WHEN kind IN ('problem', 'subproblem') THEN 's' ELSE kind END ORDER BY ord) - 1 AS n FROM {elements}),
+y AS (SELECT *, concat(doc, '&e=module') AS m, concat(doc, '&e=module/structure', CASE WHEN n > 0 THEN concat('_', n) ELSE '' END) AS st, concat(doc, '&e=module/morphism', CASE WHEN n > 0 THEN concat('_', n) ELSE '' END) AS mo, kind IN ('problem', 'subproblem') AS is_st FROM x)
+"""
+Q.add("extract_relations", "elements", _relations, _R + """SELECT doc AS g, doc AS s, 'type' AS p, 'document' AS o FROM y UNION SELECT doc, 'arch/a', 'contains', doc FROM y UNION SELECT doc, doc, 'language', CASE WHEN doc LIKE '%7' THEN 'de' ELSE 'en' END FROM y
+UNION SELECT doc, m, 'type', 'theory' FROM y UNION SELECT doc, doc, 'contains', m FROM y UNION SELECT doc, doc, 'hasPart', concat('doc/', k + 1) FROM y
+UNION SELECT doc, m, 'imports', concat('m', supplier) FROM y WHERE kind = 'definition' UNION SELECT doc, m, 'declares', concat('sym/', part) FROM y WHERE kind = 'definition' UNION SELECT doc, concat('sym/', part), 'type', 'declaration' FROM y WHERE kind = 'definition'
+UNION SELECT doc, doc, 'requires', concat('m', supplier) FROM y WHERE kind = 'example' UNION SELECT doc, m, 'declares', concat('var/', part) FROM y WHERE kind = 'example' UNION SELECT doc, concat('var/', part), 'type', 'variable' FROM y WHERE kind = 'example'
+UNION SELECT doc, mo, 'type', 'morphism' FROM y WHERE kind = 'paragraph' UNION SELECT doc, m, 'contains', mo FROM y WHERE kind = 'paragraph' UNION SELECT doc, mo, 'domain', concat('m', supplier) FROM y WHERE kind = 'paragraph' UNION SELECT doc, mo, 'imports', concat('n', ord) FROM y WHERE kind = 'paragraph'
+UNION SELECT doc, st, 'type', 'structure' FROM y WHERE is_st UNION SELECT doc, m, 'contains', st FROM y WHERE is_st UNION SELECT doc, st, 'imports', i FROM y, (SELECT 'a/EXTSTRUCT9' AS i UNION ALL SELECT 'late') v WHERE is_st UNION SELECT doc, st, 'imports', concat('m', supplier) FROM y WHERE is_st UNION SELECT doc, st, 'extends', concat('m', supplier) FROM y WHERE is_st""")

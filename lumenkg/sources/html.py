@@ -26,6 +26,10 @@ KEYS = {
 ARGUMENTS = ("preconditionsymbol", "objectivesymbol", "fillinsol-width", "fillin-case-value", "fillin-case-verdict", "answerclass-pts", "assoctype", "reorderargs", "argnum", "bind", "problempoints", "autogradable", "domain", "total", "argmode", "notationid", "head", "language", "metatheory", "signature", "args", "macroname", "inline", "fors", "id", "notationfragment", "precedence", "role", "styles", "argprecs", "proofhide")
 #: Kinds that hold others and have a place in identifiers.
 CONTAINERS = ("module", "structure", "morphism", "section", "slide", "definition", "paragraph", "assertion", "example", "proof", "subproof", "problem", "subproblem")
+#: Containers of declarations.
+CONTENT = ("module", "structure", "morphism")
+# Fixed value: how the names of structures that extend another begin.
+EXTENSION = "EXTSTRUCT"
 PARAGRAPHS = ("definition", "paragraph", "assertion", "example", "proof", "subproof")
 # Tags that are never closed.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -117,8 +121,13 @@ def elements(own: DataFrame, most_depth: int = 1 << 20) -> DataFrame:
     return out.select("doc", "nth", "parent", "kind", "id", "uri", "depth", "start", "stop", F.array_distinct(words("fors")).alias("fors"), words("styles").alias("styles"), "title", "attrs")
 
 
-def triples(own: DataFrame, found: DataFrame, archive: Column | None = None) -> DataFrame:
-    """g, s, p, o: what documents, containers, declarations and references say. A row belongs to the container around it, or to its document."""
+def triples(own: DataFrame, found: DataFrame, archive: Column | None = None, language: Column | None = None) -> DataFrame:
+    """g, s, p, o: what documents, containers, declarations and references say. A row belongs to the container around it, or to its document.
+
+    Imports belong to the module, structure or morphism around them, and are nothing outside of these; uses
+    and inputs belong to the document. A structure whose name begins with EXTENSION extends the first module
+    that it imports and that is no such structure itself. archive and language: of a document, by its ``doc``.
+    """
     uris = found.select("doc", F.col("nth").alias("parent"), F.col("uri").alias("place"))
     placed = own.join(uris, ["doc", "parent"], "left").withColumn("place", F.coalesce("place", "doc"))
     row = lambda df, s, p, o: df.select(F.col("doc").alias("g"), s.alias("s"), (p if isinstance(p, Column) else F.lit(p)).alias("p"), o.alias("o"))
@@ -130,6 +139,8 @@ def triples(own: DataFrame, found: DataFrame, archive: Column | None = None) ->
     out = row(docs, c("doc"), "type", F.lit("document"))
     if archive is not None:
         out = out.unionByName(row(docs, archive, "contains", c("doc")))
+    if language is not None:
+        out = out.unionByName(row(docs, c("doc"), "language", language))
     out = out.unionByName(row(around, c("uri"), "type", kind)).unionByName(row(around, c("place"), "contains", c("uri")))
     fors = found.where(c("kind").isin(*PARAGRAPHS)).withColumn("for", F.explode("fors"))
     like = c("kind").isin("definition", "assertion") | F.exists("styles", lambda s: s.rlike("^(symdoc|decl)"))
@@ -137,8 +148,15 @@ def triples(own: DataFrame, found: DataFrame, archive: Column | None = None) ->
     goals = placed.where("kind in ('objective', 'precondition')").withColumn("blank", F.concat(F.lit("_:"), F.sha2(F.concat_ws("|", "place", "kind", c("nth").cast("string")), 256)))
     out = out.unionByName(row(goals, c("place"), c("kind"), c("blank"))).unionByName(row(goals, c("blank"), "cognitive-dimension", F.concat(F.lit("cd-"), c("attrs")[F.concat("kind", F.lit("dimension"))])))
     out = out.unionByName(row(goals, c("blank"), "po-symbol", c("attrs")[F.concat("kind", F.lit("symbol"))]))
-    for kind_, p, key in (("import", "imports", "import"), ("use", "requires", "usemodule"), ("inputref", "hasPart", "inputref")):
-        out = out.unionByName(row(placed.where(c("kind") == kind_), c("place") if kind_ != "inputref" else c("doc"), p, c("attrs")[key]))
+    content = nested(placed.where("kind = 'import'").select("doc", "nth", "start", "stop", "kind", "attrs").unionByName(own.where(c("kind").isin(*CONTENT)).select("doc", "nth", "start", "stop", "kind", "attrs")), CONTENT, "content")
+    inner = found.where(c("kind").isin(*CONTENT)).select("doc", c("nth").alias("content"), c("uri").alias("in"), "kind", c("attrs")["feature-structure"].alias("name"))
+    imports = content.where("kind = 'import'").select("doc", "nth", "content", c("attrs")["import"].alias("of")).join(inner, ["doc", "content"])
+    out = out.unionByName(row(imports, c("in"), "imports", c("of")))
+    extends = lambda name: F.startswith(F.element_at(F.split(name, "[/?]"), -1), F.lit(EXTENSION))
+    first = imports.where((c("kind") == "structure") & extends("name") & ~extends("of")).groupBy("doc", "in").agg(F.min_by("of", "nth").alias("of"))
+    out = out.unionByName(row(first, c("in"), "extends", c("of"))).unionByName(row(found.where("kind = 'morphism'"), c("uri"), "domain", c("attrs")["domain"]))
+    for kind_, p, key in (("use", "requires", "usemodule"), ("inputref", "hasPart", "inputref")):
+        out = out.unionByName(row(placed.where(c("kind") == kind_), c("doc"), p, c("attrs")[key]))
     for kind_, key, type_ in (("symbol", "symdecl", "declaration"), ("variable", "vardef", "variable"), ("varseq", "varseq", "variable")):
         mine = placed.where(c("kind") == kind_)
         out = out.unionByName(row(mine, c("place"), "declares", c("attrs")[key])).unionByName(row(mine, c("attrs")[key], "type", F.lit(type_)))
