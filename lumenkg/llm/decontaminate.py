@@ -253,7 +253,7 @@ def match(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", it
     with occurring windows, as strings, sorted, each once). Null and empty texts have no words and no hits; items
     without words never match; a null item id counts as the empty string; rows repeated in docs are
     judged each for itself; an empty items table hits nothing. Existing columns of those three names are
-    replaced.
+    replaced. A very long text streams through the automaton like others, with its spans as its only extra.
     """
     added = {f"{prefix}words": "long", f"{prefix}spans": _SPANS, f"{prefix}items": "array<string>"}
     own = docs.select(*[c for c in docs.columns if c not in added])

@@ -60,7 +60,12 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = MOST_LANGUAGES) -> Model:
-    """Count the trigrams of all rows with a text and a language, by language. More languages than most_languages are an error."""
+    """Count the trigrams of all rows with a text and a language, by language. More languages than most_languages are an error.
+
+    Null texts or languages teach nothing; an empty text is a row without trigrams; rows that repeat each
+    other count each time; very long texts count as a whole; an empty table makes a model without languages;
+    other columns are not read.
+    """
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -226,6 +231,11 @@ def predictions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 
 def accepted(docs: DataFrame, most_noise: float = 0.5, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents in some known language: not ``und``, and at most the share most_noise of noise. Learnt from all labelled rows of docs."""
+    """The documents in some known language: not ``und``, and at most the share most_noise of noise. Learnt from all labelled rows of docs.
+
+    Null texts, and those without a letter, are ``und`` and go; rows that repeat each other stay or go
+    together; a tie goes to the language that comes first by name; very long texts are read as a whole; an empty
+    table stays empty, and with no labelled row none is accepted. All columns stay; none may begin with __langid_.
+    """
     found = identify(docs, train(docs, text, lang), text, prefix="__langid_")
     return found.where((F.col("__langid_pred") != "und") & (F.col("__langid_noise") <= most_noise)).select(*docs.columns)

@@ -143,7 +143,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     fewer than LEAST_WORDS words and both have LEAST_CHARS characters, within one character of it. Earlier is by doc_id (null
     first), hash of the text, and place in the text; an earlier line counts whether or not it goes itself.
     Case and white space make no difference; lines without words never go. Null and empty texts have no lines. Rows that are
-    equal in doc_id and text are one document.
+    equal in doc_id and text are one document. A very long line is a line like others, its variants are hashes;
+    an empty table gives no rows; other columns are left out.
     """
     every = stored(hashed(docs, doc_id, text), "lines")
     place = F.struct("doc_id", "row", "at")
@@ -166,7 +167,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     A document all of whose lines with words go, goes as a whole. Other documents stay, those with null
     or empty text as they are. All columns are kept; ``n_chars``, where there is such a column, follows
     the text. With ``count``, no document goes and a column of that name has the number of lines that
-    went (0 for the others).
+    went (0 for the others). Rows that repeat each other lose the same lines; very long texts are taken as
+    a whole; an empty table stays empty; columns beginning with __line_ are this function's own.
     """
     mark = len(made())
     gone = stored(repeated(docs, doc_id, text).withColumnsRenamed({"doc_id": "__line_id", "row": "__line_row", "gone": "__line_gone"}), "gone")
@@ -189,7 +191,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
 
 
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_lines (with words), n_removed, n_kept_bytes, kept_sha256 (of the UTF-8 of the text left; null: of nothing)."""
+    """Per document: doc_id, n_lines (with words), n_removed, n_kept_bytes, kept_sha256 (of the UTF-8 of the text left; null: of nothing).
+
+    Rows that repeat each other have equal results; an empty table gives no rows; other columns are left out; the
+    rest is as in repeated().
+    """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("n_lines", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(HAS_WORD))).cast("long"))
     left = F.coalesce("text", F.lit(""))
     return deduplicated(own, "doc_id", "text", count="n_removed").select("doc_id", "n_lines", "n_removed", F.octet_length(left).cast("long").alias("n_kept_bytes"), F.sha2(left, 256).alias("kept_sha256"))

@@ -89,6 +89,11 @@ def fitted(lengths: list[int], counts: list[int], budget: int, most_words: int =
         last = lengths[small[-1]]
         for i, k in zip(small, knapsack([lengths[i] for i in small], [counts[i] - out[i] for i in small], rest, min(rest + last, most_words)), strict=True):
             out[i] += k
+    # documents that are longer than a knapsack, or than what is left: one more where that comes nearer
+    rest = budget - sum(n * k for n, k in zip(lengths, out, strict=True))
+    while rest > 0 and (free := [i for i in order if counts[i] > out[i] and abs(rest - lengths[i]) < rest]):
+        best = min(free, key=lambda i: abs(rest - lengths[i]))
+        out[best], rest = out[best] + 1, rest - lengths[best]
     return out
 
 

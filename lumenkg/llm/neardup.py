@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str
     Documents are linked where 100 * |A and B| >= percent * |A or B| for their sets of k-word shingles.
     Without words (null, empty, white space) a document is linked with nothing. Rows that repeat a
     document are linked with it and, having its doc_id, are kept with it; a null doc_id is larger than
-    all others, and kept where nothing else is in its component.
+    all others, and kept where nothing else is in its component. Very long texts are compared as whole
+    sets; an empty table gives no rows; other columns are left out, whatever their names.
     """
     rows, found = classes(docs, k, percent, doc_id, text)
     out = rows.join(found.withColumnRenamed("digest", "class"), (F.col("digest") == F.col("class")) & (F.col("n") > 0), "left")
@@ -289,7 +290,8 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "
     """docs with one document of each component: the one with the smallest doc_id.
 
     Documents without words stay. Rows that are equal in doc_id and text are one document and stay or go
-    together; all columns are kept.
+    together; all columns are kept, but none may begin with __near_. Very long texts are compared as whole
+    sets; an empty table stays empty.
     """
     rows, found = classes(docs, k, percent, doc_id, text)
     out = rows.where("n > 0").join(found, "digest")

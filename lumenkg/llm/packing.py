@@ -239,6 +239,6 @@ def pack(items: DataFrame, capacity: int = 2048, nearly: int = 8, group_pieces:
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Edge cases as in pieces()."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Edge cases as in pieces(); very long texts become many pieces, other columns are left out."""
     found = pack(stored(pieces(docs, tokenizer, capacity, end_id, doc_id, text), "pieces"), capacity)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -186,6 +186,12 @@ def test_fitting(seed):
     assert abs(sum(n * k for n, k in zip(lengths, taken, strict=True)) - budget) <= max(lengths)
 
 
+def test_fitting_of_long_documents():
+    assert mixing.fitted([1, 300_000], [1, 1], 299_997) == [0, 1] or mixing.fitted([1, 300_000], [1, 1], 299_997) == [1, 1]
+    assert mixing.fitted([500_000, 900_000], [10, 10], 2_000_000) in ([4, 0], [2, 1])
+    assert mixing.fitted([700_000], [3], 300_000) == [0] and mixing.fitted([700_000], [3], 400_000) == [1]
+
+
 def test_fitting_of_many_words():
     rng = random.Random(1)
     lengths = list(range(1, 4000))
@@ -194,3 +200,17 @@ def test_fitting_of_many_words():
     taken = mixing.fitted(lengths, counts, every // 3)
     assert sum(n * k for n, k in zip(lengths, taken, strict=True)) == every // 3
     assert all(abs(k - c / 3) <= 6 for k, c in list(zip(taken, counts, strict=True))[100:])  # the shape of the source stays
+
+
+def test_other_columns_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    vectors = spark.createDataFrame(rows_of(60, 8), VECTORS)
+    for c in ("slot", "n", "total", "ids", "points", "code", "error", "of", "id", "vec"):
+        vectors = vectors.withColumn(c, F.lit("own"))
+    assert clustering.clustered(vectors, k=3, rounds=1, dims=8).count() == vectorcodes.codes(vectors, entries=4, rounds=1).count() == 102
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a", "s", "n"), (2, "w", "a", "s", "n"), (3, "w w", None, "s", "n")], DOCS)
+    for c in ("hash", "part", "total", "target", "times", "more", "cut", "source_", "bucket"):
+        docs = docs.withColumn(c, F.lit("own"))
+    got = {r.doc_id: (r["size"], r.taken) for r in mixing.mixed(docs).collect()}
+    assert got[1] == (300_000, 300_000) and got[2][1] <= 1 and got[3] == (2, 6)
