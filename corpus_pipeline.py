@@ -3,6 +3,10 @@
 Each stage works on all rows that the stage before it kept, written as Parquet and read again. A stage
 deletes the tables that the stage before it, or an earlier run, has left in the shared folder: use the
 result of one run before the next begins.
+
+In all stages: texts of any length are worked on as a whole; a null doc_id is a doc_id; rows that repeat each
+other stay or go together; an empty table gives no rows; columns that documents has besides its own are kept,
+up to packing, whatever their names, but for those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -46,31 +50,31 @@ def _staged(stage: Stage) -> Stage:
 
 @_staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some known language; those without a letter, and those that are mostly noise, go."""
+    """Documents in some known language; those without a letter, and those that are mostly noise, go. A null or empty text has no letter; without any labelled row all go."""
     return langid.accepted(docs)
 
 
 @_staged
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that come within one word of an earlier line; a document of such lines only goes."""
+    """Documents without lines that come within one word of an earlier line; a document of such lines only goes. A null or empty text has no lines and stays; of equal lines the one with the smallest doc_id, then place, stays."""
     return linededup.deduplicated(docs)
 
 
 @_staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more: the one with the smallest doc_id. A text without words is near nothing and stays."""
     return neardup.deduplicated(docs, k=5, percent=80)
 
 
 @_staged
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of benchmark items; one that is mostly such passages goes."""
+    """Documents without the passages of benchmark items; one that is mostly such passages goes. A null or empty text has none and stays; an empty benchmark takes nothing out."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), n=10)
 
 
 @_staged
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents in sequences of 2048 tokens."""
+    """Pieces of the tokenised documents in sequences of 2048 tokens. A null or empty text is the end token alone."""
     return packing.packed(docs, vocabulary(), capacity=2048, end_id=0)
 
 
