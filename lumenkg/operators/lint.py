@@ -65,7 +65,3 @@ def best_states(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     both = old.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rank"), F.desc("fresh")))
     return both.withColumn("nth", nth).where("nth = 1").drop("nth", "fresh")
-
-
-def weight(css: Column) -> Column:
-    return F.when(css.startswith("sty"), 0).when(css.startswith("cls"), 1).otherwise(2)

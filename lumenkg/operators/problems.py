@@ -106,3 +106,21 @@ def texts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, nth, text of problems, without the contents of solutions and notes and without feedback."""
     own = rows.where("kind in ('problem', 'subproblem') and stop is not null").select("doc", "nth", "start", "stop").distinct()
     return stripped(own, stored(holes(rows), "holes"), pages).select("doc", "nth", "text")
+
+
+def default_feedback(found: DataFrame) -> DataFrame:
+    """doc, problem, correct, score, solutions, data: what is answered before anything is chosen or written; found: parts().
+
+    solutions are the texts of the problem's solutions; data has, in their order, its choice blocks (single or
+    multiple, with nothing chosen) and fill-ins (no case met), each with its options: whether right, verdict
+    and feedback, and of cases their kind and value. Nothing is correct, and the score is 0.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    option = F.struct("nth", F.coalesce("flag", F.lit(False)).alias("is_correct"), text("verdict").alias("verdict"), text("feedback").alias("feedback"), F.when(F.col("part") == "case", F.col("name")).alias("kind"), F.when(F.col("part") == "case", F.col("value")).alias("value"))
+    options = found.where("part in ('choice', 'case') and inside is not null").groupBy("doc", "problem", F.col("inside").alias("nth")).agg(F.array_sort(F.collect_list(option)).alias("options"))
+    kind = F.when(F.col("part") == "fillin", "fillin").when(F.col("flag"), "multiple").otherwise("single")
+    asked = found.where("part in ('block', 'fillin')").select("doc", "problem", "nth", kind.alias("kind")).join(options, ["doc", "problem", "nth"], "left")
+    data = asked.groupBy("doc", "problem").agg(F.array_sort(F.collect_list(F.struct("nth", "kind", "options"))).alias("data"))
+    solved = found.where("part = 'solution'").groupBy("doc", "problem").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "html"))), lambda s: s["html"]).alias("solutions"))
+    every = found.select("doc", "problem").distinct()
+    return every.join(solved, ["doc", "problem"], "left").join(data, ["doc", "problem"], "left").select("doc", "problem", F.lit(False).alias("correct"), F.lit(0.0).alias("score"), "solutions", "data")

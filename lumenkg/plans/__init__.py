@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Queries, Query
 
-MODULES = ("graph", "states", "search", "build", "grading", "documents", "editing", "extraction", "streams", "store", "walks", "sources", "forests", "counting", "problems", "formulas")
+MODULES = ("graph", "states", "search", "build", "grading", "documents", "editing", "extraction", "streams", "store", "walks", "sources", "forests", "counting", "problems", "formulas", "styles")
 
 
 def _every() -> list[Queries]:

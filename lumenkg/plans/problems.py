@@ -57,3 +57,15 @@ UNION ALL SELECT doc, id, 'block', NULL, NULL, true, NULL, NULL, NULL, 1 FROM x
 UNION ALL SELECT doc, id, 'choice', NULL, NULL, level % 2 = c, NULL, concat('<em data-kg-problem-choice-feedback="">f', part, '</em>'), concat('<em data-kg-problem-choice-verdict="">v', c, '</em>'), 1 FROM x, (SELECT 0 AS c UNION ALL SELECT 1) y WHERE ord % 3 = 2""")
 Q.add("extract_problem_texts", "elements", _texts, f"""WITH {_X} SELECT doc, id, concat('<div data-kg-problem="" data-kg-id="', id, '">é', ord, '<p data-kg-problemhint="">hint ', part, '</p><div data-kg-solution="" data-kg-answerclass="c', level, '"></div>',
 CASE ord % 3 WHEN 0 THEN '<div data-kg-problemgnote=""></div>' WHEN 1 THEN '<b data-kg-fillinsol="" data-kg-fillinsol-width="3">_</b>' ELSE concat('<ul data-kg-multiple-choice-block=""><li data-kg-problem-choice="', CASE WHEN level % 2 = 0 THEN 'true' ELSE 'false' END, '">c0</li><li data-kg-problem-choice="', CASE WHEN level % 2 = 1 THEN 'true' ELSE 'false' END, '">c1</li></ul>') END, '</div>') AS text FROM x""")
+
+
+def _feedback(e):
+    rows = _rows(e)
+    ids = rows.where("kind = 'problem'").select("doc", F.col("nth").alias("problem"), F.col("attrs")["id"].alias("id"))
+    option = lambda o: F.concat_ws("|", o["is_correct"].cast("string"), o["verdict"], o["feedback"], F.coalesce(o["kind"], F.lit("-")), F.coalesce(o["value"], F.lit("-")))
+    data = F.array_join(F.transform("data", lambda d: F.concat(d["kind"], F.lit(":"), F.array_join(F.transform(d["options"], option), ";"))), "\n")
+    return P.default_feedback(P.parts(rows, pages_of(e))).join(ids, ["doc", "problem"]).select("doc", "id", "correct", "score", F.array_join("solutions", "\n").alias("solutions"), F.coalesce(data, F.lit("")).alias("data"))
+
+
+Q.add("grade_default_feedback", "elements", _feedback, f"""WITH {_X} SELECT doc, id, false AS correct, CAST(0 AS DOUBLE) AS score, concat('Lösung ', part, '<div data-kg-problemgnote=""></div>!') AS solutions, CASE ord % 3 WHEN 1 THEN concat('fillin:', CASE WHEN level > 2 THEN 'true' ELSE 'false' END, '|||exact|', part)
+WHEN 2 THEN concat('multiple:', CASE WHEN level % 2 = 0 THEN 'true' ELSE 'false' END, '|<em data-kg-problem-choice-verdict="">v0</em>|<em data-kg-problem-choice-feedback="">f', part, '</em>|-|-;', CASE WHEN level % 2 = 1 THEN 'true' ELSE 'false' END, '|<em data-kg-problem-choice-verdict="">v1</em>|<em data-kg-problem-choice-feedback="">f', part, '</em>|-|-') ELSE '' END AS data FROM x""")
