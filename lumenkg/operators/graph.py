@@ -94,7 +94,7 @@ def bound_minus(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def optional(a: DataFrame, b: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Left join on the shared variables; the condition belongs to the join."""
+    """Left join on the shared variables; the condition belongs to the join. Without shared variables that is a nested loop over all of b: for a b of few rows only."""
     shared = [c for c in a.columns if c in b.columns]
     right = b.select(*[F.col(c).alias(f"_{c}" if c in shared else c) for c in b.columns])
     on = [F.col(c) == F.col(f"_{c}") for c in shared] + ([condition] if condition is not None else [])
