@@ -9,9 +9,14 @@ from .registry import Queries
 
 Q = Queries()
 NAMES = (*S.BEGINNINGS, *S.NAMES, "other", "zeta", "problem-x", "section-x")
-_name = F.concat(F.lit("kg-"), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_size") % len(NAMES) + 1).cast("int")))
-_kind = F.when(F.col("p_partkey") % 5 == 0, "link").when(F.col("p_partkey") % 5 == 1, "inline").otherwise("class")
-_sheets = lambda p: p.select(F.col("p_brand").alias("module"), _kind.alias("kind"), F.when(_kind == "class", _name).alias("name"), F.concat(F.lit("css"), F.col("p_size") % 11).alias("css"))
+
+
+def _sheets(p):
+    name = F.concat(F.lit("kg-"), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_size") % len(NAMES) + 1).cast("int")))
+    kind = F.when(F.col("p_partkey") % 5 == 0, "link").when(F.col("p_partkey") % 5 == 1, "inline").otherwise("class")
+    return p.select(F.col("p_brand").alias("module"), kind.alias("kind"), F.when(kind == "class", name).alias("name"), F.concat(F.lit("css"), F.col("p_size") % 11).alias("css"))
+
+
 _CASE = " ".join(f"WHEN {n} THEN 'kg-{name}'" for n, name in enumerate(NAMES))
 _RANK = " ".join(f"WHEN name LIKE 'kg-{b}%' THEN {n + 1}" for n, b in enumerate(S.BEGINNINGS)) + " " + " ".join(f"WHEN name = 'kg-{b}' THEN {n + 6}" for n, b in enumerate(S.NAMES))
 Q.add("css_merged", "part", lambda p: S.merged(_sheets(p), "module").select("module", F.array_join(F.transform("sheets", lambda s: F.concat_ws(" ", s["kind"], s["name"], s["css"])), ";").alias("sheets")), f"""WITH a AS (SELECT p_brand AS module, CASE p_partkey % 5 WHEN 0 THEN 'link' WHEN 1 THEN 'inline' ELSE 'class' END AS kind, CASE p_size % {len(NAMES)} {_CASE} END AS name, concat('css', p_size % 11) AS css FROM {{part}}),
