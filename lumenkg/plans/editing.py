@@ -28,13 +28,22 @@ Q.add("ema_delta", "events", lambda e: G.moving_averages(e, "user_id", "event_id
 
 
 def _commits(o):
-    parents = o.where("o_orderkey > 0").select((F.col("o_orderkey") % 7).alias("repo"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") - 7 * (1 + F.col("o_orderkey") % 3)).alias("parent")).where("parent >= 0")
-    tips = o.where("o_orderkey between 700 and 760").select((F.col("o_orderkey") % 7).alias("repo"), F.concat(F.lit("b"), F.col("o_orderkey")).alias("name"), F.col("o_orderkey").alias("tip"), F.lit(False).alias("is_head"))
-    heads = o.where("o_orderkey between 630 and 636").select((F.col("o_orderkey") % 7).alias("repo"), F.lit("main").alias("name"), F.col("o_orderkey").alias("tip"), F.lit(True).alias("is_head"))
-    return H.new_commits(tips.unionByName(heads), parents).select("repo", "name", "tip")
-
-
-Q.add("git_new_commits", "orders", _commits, "WITH RECURSIVE r AS (SELECT o_orderkey AS tip, o_orderkey AS pos FROM {orders} WHERE o_orderkey BETWEEN 700 AND 760 UNION SELECT r.tip, r.pos - 7 * (1 + r.pos % 3) FROM r WHERE r.pos - 7 * (1 + r.pos % 3) >= 0) SELECT DISTINCT tip % 7 AS repo, concat('b', tip) AS name, tip FROM r WHERE pos BETWEEN 630 AND 636 AND tip <> pos")
+    """Every order is a commit and the tip of a branch; some have a second parent."""
+    own = o.where("o_orderkey >= 0").select((F.col("o_orderkey") % 7).alias("repo"), F.col("o_orderkey").alias("id"))
+    first = own.select("repo", "id", (F.col("id") - 7 * (1 + F.col("id") % 3)).alias("parent"), F.lit(1).alias("nth"))
+    second = own.where("id % 97 = 0").select("repo", "id", (F.col("id") - 35).alias("parent"), F.lit(2).alias("nth"))
+    parents = first.unionByName(second).withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent")))
+    tips = own.select("repo", F.concat(F.lit("b"), "id").alias("name"), F.col("id").alias("tip"), F.lit(False).alias("is_head"))
+    heads = own.where("id between 630 and 636").select("repo", F.lit("main").alias("name"), F.col("id").alias("tip"), F.lit(True).alias("is_head"))
+    return H.new_commits(tips.unionByName(heads), parents)
+
+
+WALK = """WITH RECURSIVE o AS (SELECT CAST(o_orderkey AS BIGINT) AS id FROM {orders} WHERE o_orderkey >= 0),
+c AS (SELECT id, list_concat(CASE WHEN id >= 7 * (1 + id % 3) THEN [id - 7 * (1 + id % 3)] ELSE [] END, CASE WHEN id % 97 = 0 AND id >= 35 THEN [id - 35] ELSE [] END) AS up FROM o),
+r AS (SELECT id AS tip, [id] AS todo, 0 AS n, false AS found FROM c UNION ALL
+SELECT r.tip, list_concat(r.todo[:-2], c.up), r.n + 1, list_contains(c.up, 630 + r.tip % 7) FROM r JOIN c ON c.id = r.todo[-1] WHERE NOT r.found AND r.n < 500)
+SELECT tip % 7 AS repo, concat('b', tip) AS name, tip FROM r WHERE found AND tip NOT BETWEEN 630 AND 636"""
+Q.add("git_new_commits", "orders", _commits, WALK)
 Q.add("git_archive_states", "archives docs", lambda a, d: H.archive_states(a.select("id").unionByName(a.select(F.concat("id", F.lit("/x")).alias("id"))), a.where("nation % 2 = 0").select("id"), d.where("k % 400 = 0").select(F.col("archive").alias("id"))), "WITH p AS (SELECT id FROM {archives} UNION ALL SELECT concat(id, '/x') FROM {archives}) SELECT id, CASE WHEN id IN (SELECT archive FROM {docs} WHERE k % 400 = 0) THEN 'queued' WHEN id IN (SELECT id FROM {archives} WHERE nation % 2 = 0) THEN 'live' ELSE 'none' END AS state FROM p")
 _users = lambda c, name: c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1000).alias("gitlab_id"), F.concat(F.lit(name), F.col("c_nationkey")).alias("name"), (F.col("c_nationkey") == 3).alias("is_admin"))
 Q.add("users_upsert", "customer", lambda c: H.with_admin(H.upserted(_users(c.where("c_custkey % 3 != 0"), "old"), _users(c.where("c_custkey % 2 = 0"), "new").withColumn("is_admin", F.lit(False))), 10, True), "SELECT c_custkey AS id, c_custkey + 1000 AS gitlab_id, concat(CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END, c_nationkey) AS name, c_custkey = 10 OR (c_custkey % 3 <> 0 AND c_nationkey = 3) AS is_admin FROM {customer} WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
