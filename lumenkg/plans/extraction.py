@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import html as H
 from ..sources import triples as N
+from ..sources import turtle
+from ..storage import shared_dir
 from .registry import Queries
 
 Q = Queries()
@@ -35,12 +39,24 @@ Q.add("extract_fragments", "elements", lambda e: H.elements(_rows(e)).where("tit
 Q.add("extract_errors", "elements", lambda e: H.errors(H.nodes(H.tags(pages_of(e).withColumn("html", F.concat("html", F.lit("<p data-kg-zzz>")))))).groupBy("message").agg(F.count("*").alias("n")), "SELECT message, count(DISTINCT doc) AS n FROM {elements}, (SELECT 'unbalanced' AS message UNION ALL SELECT 'unknown key: zzz') m GROUP BY message")
 
 
-def _lines(q):
+def _kinds(q):
     own = q.select("g", "s", F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), "p", "o", F.when(F.col("p") == "type", "literal").when(F.col("o").startswith("_:"), "bnode").otherwise("iri").alias("o_kind"), F.when(F.col("p") == "type", "en").alias("o_lang"), F.lit(None).cast("string").alias("o_dtype"))
-    return own.where("s_kind = 'iri' and o_kind != 'bnode'").select("g", N.line(own).alias("value"))
+    return own.where("s_kind = 'iri' and o_kind != 'bnode'")
+
+
+def _lines(q):
+    return _kinds(q).select("g", N.line(_kinds(q)).alias("value"))
+
+
+def _turtle(q):
+    """Graphs by the last character of their names, written with prefixes and read again."""
+    path = f"{shared_dir(q.sparkSession)}/turtle-{uuid.uuid4().hex}"
+    turtle.write(_kinds(q.withColumn("g", F.right("g", F.lit(1)))), path, {"doc": "doc/", "sym": "sym/"}, namespace=None)
+    return turtle.read(q.sparkSession, path).select("g", "s", "p", "o", "o_kind")
 
 
 Q.add("triples_round_trip", "quads", lambda q: N.parsed(_lines(q)).select("g", "s", "p", "o"), "SELECT g, s, p, o FROM {quads} WHERE s NOT LIKE '\\_:%' ESCAPE '\\' AND (o NOT LIKE '\\_:%' ESCAPE '\\' OR p = 'type')")
+Q.add("triples_turtle", "quads", _turtle, "SELECT DISTINCT right(g, 1) AS g, s, p, o, CASE WHEN p = 'type' THEN 'literal' ELSE 'iri' END AS o_kind FROM {quads} WHERE s NOT LIKE '\\_:%' ESCAPE '\\' AND (o NOT LIKE '\\_:%' ESCAPE '\\' OR p = 'type')")
 
 
 def relation_pages(e):

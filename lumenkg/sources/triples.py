@@ -44,13 +44,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_name").alias("g")))
 
 
-def line(quads: DataFrame) -> Column:
+def parts(quads: DataFrame) -> tuple[Column, Column, Column]:
+    """Subject, predicate and object as N-Triples has them."""
     iri = lambda c, k: F.when(F.col(k) == "bnode", F.col(c)).otherwise(F.concat(F.lit("<"), escaped(F.col(c)), F.lit(">")))
     text = F.col("o")
     for code in ("\\", '"', "n", "r"):  # the backslash first
         text = F.replace(text, F.lit(_ESCAPES[code]), F.lit(f"\\{code}"))
     literal = F.concat(F.lit('"'), text, F.lit('"'), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dtype").isNotNull(), F.concat(F.lit("^^<"), "o_dtype", F.lit(">"))).otherwise(""))
-    return F.concat(iri("s", "s_kind"), F.lit(" <"), escaped(F.col("p")), F.lit("> "), F.when(F.col("o_kind") == "literal", literal).otherwise(iri("o", "o_kind")), F.lit(" ."))
+    return iri("s", "s_kind"), F.concat(F.lit("<"), escaped(F.col("p")), F.lit(">")), F.when(F.col("o_kind") == "literal", literal).otherwise(iri("o", "o_kind"))
+
+
+def line(quads: DataFrame) -> Column:
+    s, p, o = parts(quads)
+    return F.concat(s, F.lit(" "), p, F.lit(" "), o, F.lit(" ."))
 
 
 def write(quads: DataFrame, path: str) -> None:
