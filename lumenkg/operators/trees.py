@@ -71,6 +71,27 @@ def fragments(ranges: DataFrame, html: DataFrame, start: str = "start", stop: st
     return own.withColumn("fragment", F.decode(F.substring("__raw", F.col(start) + 1, F.col(stop) - F.col(start)), "UTF-8")).drop("__raw")
 
 
+#: Kinds of elements that can have a title.
+TITLED = ("section", "definition", "paragraph", "assertion", "example", "proof", "subproof", "problem", "subproblem")
+
+
+def titles(elements: DataFrame, heads: DataFrame, html: DataFrame, kinds: tuple[str, ...] = TITLED) -> DataFrame:
+    """uri, title (a fragment of the page, empty where there is none) of documents, by their names, and of elements of the kinds; others have no row.
+
+    elements: doc, kind, uri, title (start, stop).  heads: doc, start, stop of titles of documents; the first counts.
+    html: doc, html, one row a document; a null page has empty titles. Ranges that lie outside of the page are cut at
+    its ends. A page is read once, for all of its titles.
+    """
+    own = elements.where(F.col("kind").isin(*kinds)).select("doc", "uri", F.col("title.start").cast("long").alias("start"), F.col("title.stop").cast("long").alias("stop"))
+    first = heads.where("start is not null and stop is not null").groupBy("doc").agg(F.min(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("head"))
+    docs = html.select("doc").join(first, "doc", "left").select("doc", F.col("doc").alias("uri"), "head.start", "head.stop")
+    ranges = own.unionByName(docs).groupBy("doc").agg(F.collect_list(F.struct("uri", "start", "stop")).alias("ranges"))
+    pages = html.select("doc", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("raw"))
+    cut = lambda x: F.decode(F.substring("raw", x["start"] + 1, F.greatest(x["stop"] - x["start"], F.lit(0))), "UTF-8")
+    each = ranges.join(pages, "doc").select(F.explode(F.transform("ranges", lambda x: F.struct(x["uri"].alias("uri"), F.coalesce(cut(x), F.lit("")).alias("title")))).alias("t"))
+    return each.select("t.uri", "t.title")
+
+
 def contents(tree: DataFrame, parts: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Tables of contents of roots (root): root, path (of nodes), doc, node, kind, title.
 
