@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import uri as U
+from ..operators import legacy
 from ..operators import states as S
 from .registry import Queries
 
@@ -45,3 +46,17 @@ _wanted = lambda d: d.select("archive", F.regexp_extract("rel_path", "^(.*)/[^/]
 _files = lambda d: d.select("archive", F.when(F.col("k") % 4 == 0, F.regexp_replace("rel_path", r"\.tex$", ".de.tex")).otherwise(F.col("rel_path")).alias("rel_path")).where("k % 7 != 0")
 Q.add("uri_source_file", "docs", lambda d: S.source_file(_wanted(d), _files(d)).select("archive", "name", "rel_path"), "SELECT archive, concat('o', CAST(k AS STRING)) AS name, CASE WHEN k % 4 = 0 THEN replace(rel_path, '.tex', '.de.tex') ELSE rel_path END AS rel_path FROM {docs} WHERE k % 7 <> 0")
 Q.add("uri_document_of", "docs", lambda d: S.source_file(_wanted(d), _files(d)).select("archive", "name", U.document_of(F.lit(BASE), F.col("archive"), F.col("rel_path")).alias("uri")), "SELECT archive, concat('o', CAST(k AS STRING)) AS name, concat('http://corpus.org?a=', archive, '&p=', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2), '&d=o', CAST(k AS STRING), CASE WHEN k % 4 = 0 THEN '&l=de' ELSE '&l=en' END) AS uri FROM {docs} WHERE k % 7 <> 0")
+
+
+def _legacy(d, a):
+    """Documents by their old names: as symbols, symbols of structures, modules and files, some of archives that nobody knows."""
+    k, place = F.col("k").cast("string"), F.concat(F.lit("http://old.org/"), F.when(F.col("k") % 11 == 0, "gone/").otherwise(""), F.col("archive"), F.lit("/"), F.regexp_extract("rel_path", "^(.*)/", 1))
+    forms = [F.concat(place, F.lit("?o"), k, F.lit("-module?s")), F.concat(place, F.lit("?o"), k, F.lit("?["), place, F.lit("/x?t-module]/s")), F.concat(place, F.lit("/?o"), k), F.concat(place, F.lit("/o"), k, F.lit(".de.tex"))]
+    uri = F.coalesce(*[F.when(F.col("k") % 4 == n, form) for n, form in enumerate(forms)])
+    return legacy.converted(d.select(uri.alias("uri")), a.select(F.lit(BASE).alias("base"), "id"), ("http://old.org",))
+
+
+PLACE = "concat('http://old.org/', CASE WHEN k % 11 = 0 THEN 'gone/' ELSE '' END, archive, '/', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2))"
+Q.add("uri_legacy", "docs archives", _legacy, f"""SELECT CASE k % 4 WHEN 0 THEN concat({PLACE}, '?o', k, '-module?s') WHEN 1 THEN concat({PLACE}, '?o', k, '?[', {PLACE}, '/x?t-module]/s') WHEN 2 THEN concat({PLACE}, '/?o', k) ELSE concat({PLACE}, '/o', k, '.de.tex') END AS uri,
+CASE WHEN k % 11 <> 0 THEN concat('http://corpus.org?a=', archive, '&p=', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2), CASE k % 4 WHEN 0 THEN concat('&m=o', k, '&s=s') WHEN 2 THEN concat('&m=o', k) WHEN 3 THEN concat('&d=o', k, '&l=de') END) END AS id FROM {{docs}} WHERE k % 4 <> 1
+UNION ALL SELECT concat({PLACE}, '?o', k, '?[', {PLACE}, '/x?t-module]/s'), CASE WHEN k % 11 <> 0 THEN concat('http://corpus.org?a=', archive, '&p=', split_part(rel_path, '/', 1), '/', split_part(rel_path, '/', 2), '&m=o', k, '&s=t/s') END FROM {{docs}} WHERE k % 4 = 1""")
