@@ -41,8 +41,8 @@ def _folded(edges: DataFrame, most: int) -> DataFrame:
 def new_commits(branches: DataFrame, parents: DataFrame, most: int = 500) -> DataFrame:
     """repo, name, tip of branches other than the head whose tip is not the head's and whose walk meets the head.
 
-    A walk takes the last parent first, goes back to others where a way ends, knows no commit again, and gives up
-    after ``most`` commits visited; parents of a visited commit are seen.
+    A walk takes the last parent first, goes back to others where a way ends, visits a commit again where it meets
+    it again, and gives up after ``most`` visits; parents of a visited commit are seen.
     branches: repo, name, tip, is_head (one head a repository; repositories without one have no new commits).
     parents: repo, id, parent and, where their order is known, nth (else they are in order of their names); a first
     commit has a null parent. Parents without a row of their own are missing: seen, but not visited. Repeated rows
