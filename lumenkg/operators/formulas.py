@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.html import nested
+from ..sources.ranges import around
 from ..storage import stored
 from .forests import folded, with_depth
 
@@ -27,7 +27,7 @@ def terms(rows: DataFrame) -> DataFrame:
     term that is written out (headterm) is a child with the number 0. Numbers such as 12 are place 2 in the
     sequence 1.
     """
-    own = stored(nested(nested(rows, ("term",), "in_term"), ("arg", "headterm"), "in_arg"), "terms")
+    own = stored(around(rows, {"in_term": ("term",), "in_arg": ("arg", "headterm")}), "terms")
     a = F.col("attrs")
     args = own.where("kind in ('arg', 'headterm')").select("doc", "nth", F.when(F.col("kind") == "headterm", "0").otherwise(a["arg"]).alias("number"), F.coalesce(a["argmode"], F.lit("i")).alias("mode"), F.col("in_term").alias("of")).distinct()
     found = own.where("kind = 'term'").select("doc", F.col("nth").alias("node"), a["term"].alias("tag"), a["head"].alias("head"), a["notationid"].alias("notation"), "in_arg", "in_term").distinct()
@@ -101,7 +101,7 @@ def _joined(texts: Column, between: Column) -> Column:
 
 def components(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, notation (nth of its tag), nth, parent, kind (comp, maincomp, arg, argsep, argmap, text), number, mode, text: the tree of what notations are made of; of a leaf its own text."""
-    own = stored(nested(nested(rows, ("notationcomp", "notationopcomp"), "notation"), ("arg", "argsep", "argmap", "comp", "maincomp"), "up"), "components")
+    own = stored(around(rows, {"notation": ("notationcomp", "notationopcomp"), "up": ("arg", "argsep", "argmap", "comp", "maincomp")}), "components")
     kinds = ("comp", "maincomp", "arg", "argsep", "argmap")
     mine = own.where(F.col("kind").isin(*kinds) & F.col("notation").isNotNull() & F.col("stop").isNotNull())
     holds = mine.where("up is not null and up != nth").select("doc", F.col("up").alias("nth")).distinct().withColumn("holds", F.lit(True))

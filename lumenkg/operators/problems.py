@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.html import nested
+from ..sources.ranges import around
 from ..storage import stored
 
 # Kinds whose content is cut out, and those that are cut out with their tags.
@@ -80,8 +80,7 @@ def parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     block or fill-in that a class, choice or case is in. html is the part's text without what is cut out of
     it; of classes, choices and cases it is the feedback within them, of a choice verdict its verdict.
     """
-    own = stored(nested(nested(rows, ("problem", "subproblem"), "problem"), ("gradingnote", "multiple", "single", "fillin"), "inside"), "parts")
-    own = stored(nested(own, ("answerclass", "choice", "fillincase"), "of"), "of")
+    own = stored(around(rows, {"problem": ("problem", "subproblem"), "inside": ("gradingnote", "multiple", "single", "fillin"), "of": ("answerclass", "choice", "fillincase")}), "parts")
     kinds = {"solution": "solution", "hint": "hint", "gradingnote": "note", "answerclass": "class", "multiple": "block", "single": "block", "choice": "choice", "fillin": "fillin", "fillincase": "case"}
     a = F.col("attrs")
     found = own.where(F.col("kind").isin(*kinds) & F.col("problem").isNotNull() & F.col("stop").isNotNull()).where("not (key = 'answerclass' and element_at(attrs, 'solution') is not null)")
