@@ -13,33 +13,33 @@ from pyspark.sql import functions as F
 
 from ..sources.ranges import around
 from ..storage import stored
-from .forests import folded, with_depth
+from .forests import folded
 
 #: What a place allows that says nothing: any term stays without brackets.
 ANY = 1 << 30
 
 
 def terms(rows: DataFrame) -> DataFrame:
-    """doc, node, parent (term around it, null for outermost ones), tag (OMID, OMV, OMA, OMBIND, ...), head, notation, number (of the argument that it is), mode (i, a, b or B), ord.
+    """doc, node, parent (term around it, null for outermost ones), tag (OMID, OMV, OMA, OMBIND, ...), head, notation, number (of the argument that it is), mode (i, a, b or B), ord, trail (the terms around it, outermost first).
 
     rows: those of annotated pages. A term within an argument tag is that argument of the term around both; of
     an argument tag without a term, its variable or nothing is kept as a leaf of the tag ARG. The head of a
     term that is written out (headterm) is a child with the number 0. Numbers such as 12 are place 2 in the
     sequence 1.
     """
-    own = stored(around(rows, {"in_term": ("term",), "in_arg": ("arg", "headterm")}), "terms")
+    own = stored(around(rows, {"in_term": ("term",), "in_arg": ("arg", "headterm")}, "in_term"), "terms")
     a = F.col("attrs")
-    args = own.where("kind in ('arg', 'headterm')").select("doc", "nth", F.when(F.col("kind") == "headterm", "0").otherwise(a["arg"]).alias("number"), F.coalesce(a["argmode"], F.lit("i")).alias("mode"), F.col("in_term").alias("of")).distinct()
-    found = own.where("kind = 'term'").select("doc", F.col("nth").alias("node"), a["term"].alias("tag"), a["head"].alias("head"), a["notationid"].alias("notation"), "in_arg", "in_term").distinct()
+    args = own.where("kind in ('arg', 'headterm')").select("doc", "nth", F.when(F.col("kind") == "headterm", "0").otherwise(a["arg"]).alias("number"), F.coalesce(a["argmode"], F.lit("i")).alias("mode"), F.col("in_term").alias("of"), "trail").distinct()
+    found = own.where("kind = 'term'").select("doc", F.col("nth").alias("node"), a["term"].alias("tag"), a["head"].alias("head"), a["notationid"].alias("notation"), "in_arg", "in_term", "trail").distinct()
     # both at one tag: a term that is an argument itself
     at = args.select("doc", F.col("nth").alias("node"), F.struct("number", "mode", "of").alias("same"))
     near = args.select("doc", F.col("nth").alias("in_arg"), F.struct("number", "mode", "of").alias("around"))
     met = found.join(at, ["doc", "node"], "left").join(near, ["doc", "in_arg"], "left")
     holder = F.when(F.col("in_term") == F.col("node"), F.lit(None)).otherwise(F.col("in_term"))
     arg = F.coalesce(F.col("same"), F.when(F.col("around.of").eqNullSafe(holder), F.col("around")))
-    out = met.select("doc", "node", holder.alias("parent"), "tag", "head", "notation", arg["number"].alias("number"), arg["mode"].alias("mode"))
+    out = met.select("doc", "node", holder.alias("parent"), "tag", "head", "notation", arg["number"].alias("number"), arg["mode"].alias("mode"), "trail")
     full = out.where("number is not null").select("doc", F.col("parent").alias("of"), "number").distinct()
-    bare = args.where("of is not null").join(full, ["doc", "of", "number"], "left_anti").select("doc", F.col("nth").alias("node"), F.col("of").alias("parent"), F.lit("ARG").alias("tag"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("notation"), "number", "mode")
+    bare = args.where("of is not null").join(full, ["doc", "of", "number"], "left_anti").select("doc", F.col("nth").alias("node"), F.col("of").alias("parent"), F.lit("ARG").alias("tag"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("notation"), "number", "mode", "trail")
     every = out.unionByName(bare)
     place, rest = (F.substring("number", *at).try_cast("long") for at in ((1, 1), (2, 9)))
     return every.withColumn("ord", F.coalesce(place * 1_000_000_000 + F.coalesce(rest, F.lit(0)), F.lit(1 << 40))).withColumn("bound", F.coalesce(F.col("mode").isin("b", "B"), F.lit(False)) & (F.col("tag") == "OMV"))
@@ -47,15 +47,13 @@ def terms(rows: DataFrame) -> DataFrame:
 
 def symbols(found: DataFrame) -> DataFrame:
     """doc, symbol, n, depth: the heads of all terms of a document that are symbols, how often, and the least depth at which one is."""
-    deep = with_depth(found.withColumn("ord", F.col("node")))
+    deep = found.withColumn("depth", F.size("trail"))
     return deep.where("tag in ('OMID', 'OMA', 'OMBIND') and head is not null").groupBy("doc", F.col("head").alias("symbol")).agg(F.count("*").alias("n"), F.min("depth").alias("depth"))
 
 
 def free_variables(found: DataFrame) -> DataFrame:
     """doc, node, name: uses of variables that no binding term around them binds. Each term is met with those around it along its path, not with all of its document."""
-    from .trees import paths
-
-    deep = stored(paths(found.withColumn("ord", F.col("node"))), "paths")
+    deep = stored(found.select("doc", "node", "parent", "tag", "head", "bound", F.concat("trail", F.array("node")).alias("path")), "paths")
     binds = deep.where("bound").select("doc", F.col("parent").alias("at"), F.col("head").alias("name")).distinct()
     uses = deep.where("tag = 'OMV' and not bound").select("doc", "node", F.col("head").alias("name"), "path")
     around = uses.select("doc", "node", "name", F.explode("path").alias("at"))
@@ -72,7 +70,7 @@ def written(found: DataFrame, notations: DataFrame) -> DataFrame:
     term is its name, and its arguments in brackets; leaves are their names.
     """
     name = F.coalesce(F.element_at(F.split("head", r"[?/]"), -1), F.lit("?"))
-    own = with_depth(found).join(notations.dropDuplicates(["name"]).withColumnRenamed("name", "head"), "head", "left")
+    own = found.withColumn("depth", F.size("trail")).join(notations.dropDuplicates(["name"]).withColumnRenamed("name", "head"), "head", "left")
     own = own.select("doc", "node", "parent", "ord", "depth", "number", "tag", name.alias("__name"), "template", "precedence", F.coalesce("argprecs", F.array().cast("array<bigint>")).alias("argprecs"))
 
     def make(kids: Column) -> Column:

@@ -3,12 +3,16 @@
 The texts of solutions and notes are cut out of what is around them. That is a subtraction of intervals by a
 sweep: holes of one nesting level never overlap, so the bytes that are left of a document are its pieces
 between them, and a range lies in what is left at its ends less all holes before them. Each level is one
-pass over a document's holes; no range meets each hole.
+pass over a document's holes; no range meets each hole. Spark brings a page, its ranges and its holes together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ranges import around
@@ -20,51 +24,52 @@ WHOLE = ("answerfeedback", "verdict", "feedback", "fillincase")
 
 
 def holes(rows: DataFrame) -> DataFrame:
-    """doc, nth, start, stop (bytes), level (1 for those in no other): what is cut out."""
+    """doc, nth, start, stop (bytes): what is cut out."""
     own = rows.where(F.col("kind").isin(*INNER, *WHOLE) & F.col("stop").isNotNull())
     inner = F.col("kind").isin(*INNER)
-    own = own.select("doc", "nth", F.when(inner, F.col("inner_start")).otherwise(F.col("start")).alias("start"), F.when(inner, F.col("inner_stop")).otherwise(F.col("stop")).alias("stop")).distinct().where("stop > start")
-    return _levelled(own, own)
-
-
-def _levelled(ranges: DataFrame, around: DataFrame) -> DataFrame:
-    """ranges (doc, nth, start, stop) with level: how many of around hold them, themselves included where they are the same."""
-    marks = around.select("doc", F.col("start").alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("step"), F.lit(None).cast("int").alias("nth"), F.lit(None).cast("long").alias("b"))
-    marks = marks.unionByName(around.select("doc", F.col("stop").alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("step"), F.lit(None).cast("int").alias("nth"), F.lit(None).cast("long").alias("b")))
-    marks = marks.unionByName(ranges.select("doc", F.col("start").alias("at"), F.lit(2).alias("turn"), F.lit(0).alias("step"), "nth", F.col("stop").alias("b")))
-    deep = F.sum("step").over(Window.partitionBy("doc").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marks.withColumn("level", deep).where("turn = 2").select("doc", "nth", F.col("at").alias("start"), F.col("b").alias("stop"), F.col("level").cast("int").alias("level"))
+    return own.select("doc", "nth", F.when(inner, F.col("inner_start")).otherwise(F.col("start")).alias("start"), F.when(inner, F.col("inner_stop")).otherwise(F.col("stop")).alias("stop")).distinct().where("stop > start")
+
+
+def _left(raw: bytes, ranges: list[tuple[int, int, int]], holes: list[tuple[int, int]]) -> list[str]:
+    """The texts of ranges (nth, start, stop) of one page without the holes within them: of each level the page is cut once, and a range lies in what is left at its ends less all holes before them."""
+    starts, stops = sorted(h[0] for h in holes), sorted(h[1] for h in holes)
+    level = lambda at: bisect_right(starts, at) - bisect_right(stops, at)
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    for a, b in sorted(holes):
+        gaps.setdefault(level(a) - 1, []).append((a, b))
+    cut: dict[int, tuple[bytes, list[int], list[int]]] = {}
+    for n, of in gaps.items():
+        ends, before = [b for _, b in of], [0]
+        for a, b in of:
+            before.append(before[-1] + b - a)
+        cut[n] = b"".join(raw[a:b] for a, b in zip([0, *ends], [*(a for a, _ in of), len(raw)])), ends, before
+    out = []
+    for _, a, b in ranges:
+        left, ends, before = cut.get(level(a), (raw, [], [0]))
+        out.append(left[a - before[bisect_right(ends, a)] : b - before[bisect_right(ends, b)]].decode("utf-8", "replace"))
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            ranges = [(r["nth"], r["start"], r["stop"]) for r in row["ranges"]]
+            texts_ = [None] * len(ranges) if row["html"] is None else _left(row["html"].encode(), ranges, [(h["start"], h["stop"]) for h in row["holes"] or []])
+            nths, starts, stops = zip(*ranges)
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc"]] * len(ranges), batch.schema.field("doc").type), pa.array(nths, pa.int32()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(texts_, pa.string())], names=["doc", "nth", "start", "stop", "text"])
 
 
 def stripped(ranges: DataFrame, cut: DataFrame, pages: DataFrame) -> DataFrame:
-    """ranges (doc, nth, start, stop) with text: their bytes of pages (doc, html) without the holes (cut: doc, start, stop, level) within them.
+    """ranges (doc, nth, start, stop) with text: their bytes of pages (doc, html) without the holes (cut: doc, start, stop) within them.
 
-    A range that is itself a hole, or in one, keeps what is its own; holes that hold it do not count.
+    A range that is itself a hole, or in one, keeps what is its own; holes that hold it do not count. A page
+    meets its ranges and holes once.
     """
-    own = stored(_levelled(ranges, cut), "ranges")
-    raw = pages.select("doc", F.encode("html", "UTF-8").alias("raw"))
-    out = None
-    for level in [r["level"] for r in own.select("level").distinct().orderBy("level").collect()]:  # as many as holes are nested deep
-        gaps = cut.where(F.col("level") == level + 1)
-        wanted = own.where(F.col("level") == level)
-        spans = gaps.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gaps"))
-        text = raw.join(wanted.select("doc").distinct(), "doc", "left_semi").join(spans, "doc", "left")
-        none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-        every = F.coalesce("gaps", none)
-        ends = F.concat(F.transform(every, lambda g: g["start"]), F.array(F.octet_length("raw").cast("long")))
-        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(every, lambda g: g["stop"]))
-        left = text.select("doc", F.array_join(F.zip_with(starts, ends, lambda a, b: F.hex(F.substring("raw", a + 1, b - a))), "").alias("hex"))
-        left = left.select("doc", F.unhex("hex").alias("left"))
-        # bytes of holes before a place
-        marks = gaps.select("doc", F.col("stop").alias("at"), (F.col("stop") - F.col("start")).alias("long"), F.lit(None).cast("int").alias("nth"), F.lit(0).alias("which"))
-        for which, c in ((1, "start"), (2, "stop")):
-            marks = marks.unionByName(wanted.select("doc", F.col(c).alias("at"), F.lit(0).cast("long").alias("long"), "nth", F.lit(which).alias("which")))
-        before = F.sum("long").over(Window.partitionBy("doc").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        moved = marks.withColumn("to", F.col("at") - before).where("which > 0").groupBy("doc", "nth").pivot("which", [1, 2]).agg(F.first("to"))
-        done = moved.join(left, "doc").select("doc", "nth", F.decode(F.substring("left", F.col("1") + 1, F.col("2") - F.col("1")), "UTF-8").alias("text"))
-        out = done if out is None else out.unionByName(done)
-    found = ranges.withColumn("text", F.lit(None).cast("string")).limit(0).select("doc", "nth", "text") if out is None else out
-    return ranges.join(found, ["doc", "nth"], "left")
+    own = ranges.groupBy("doc").agg(F.collect_list(F.struct(F.col("nth").cast("int").alias("nth"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("ranges"))
+    gone = cut.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("holes"))
+    met = own.join(gone, "doc", "left").join(pages.select("doc", "html"), "doc", "left").select("doc", "html", "ranges", "holes")
+    kind = ranges.schema["doc"].dataType.simpleString()
+    return met.mapInArrow(_texts, f"doc {kind}, nth int, start long, stop long, text string")
 
 
 def _flag(c: Column) -> Column:
@@ -90,11 +95,11 @@ def parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "choice", F.coalesce(_flag(a["problem-choice"]), F.lit(False))).when(F.col("kind") == "fillincase", _flag(a["fillin-case-verdict"])).when(F.col("kind").isin("multiple", "single"), F.col("kind") == "multiple").alias("flag"),
     )
     part = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in kinds.items()], none)
-    cut = stored(holes(own), "holes")
+    cut = holes(own)
     texts = own.where("kind in ('solution', 'hint', 'gradingnote', 'answerfeedback', 'feedback', 'verdict') and stop is not null").where("not (kind = 'answerclass')")
     inner = F.col("kind").isin("solution", "hint", "gradingnote")
     ranges = texts.select("doc", "nth", F.when(inner, F.col("inner_start")).otherwise(F.col("start")).alias("start"), F.when(inner, F.col("inner_stop")).otherwise(F.col("stop")).alias("stop")).distinct()
-    html = stripped(ranges, cut, pages).select("doc", "nth", "text")
+    html = stored(stripped(ranges, cut, pages).select("doc", "nth", "text"), "texts")
     direct = found.select("doc", "problem", "nth", part.alias("part"), F.when(F.col("inside") != F.col("nth"), F.col("inside")).alias("inside"), value.alias("value")).distinct()
     side = texts.where("of is not null and kind in ('answerfeedback', 'feedback', 'verdict')").select("doc", F.col("of"), "kind", "nth").join(html, ["doc", "nth"])
     side = side.groupBy("doc", F.col("of").alias("nth")).agg(F.max_by("text", F.when(F.col("kind") != "verdict", F.col("nth"))).alias("feedback"), F.max_by("text", F.when(F.col("kind") == "verdict", F.col("nth"))).alias("verdict"))
@@ -104,7 +109,7 @@ def parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
 def texts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, nth, text of problems, without the contents of solutions and notes and without feedback."""
     own = rows.where("kind in ('problem', 'subproblem') and stop is not null").select("doc", "nth", "start", "stop").distinct()
-    return stripped(own, stored(holes(rows), "holes"), pages).select("doc", "nth", "text")
+    return stripped(own, holes(rows), pages).select("doc", "nth", "text")
 
 
 def default_feedback(found: DataFrame) -> DataFrame:
