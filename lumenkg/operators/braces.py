@@ -48,16 +48,18 @@ def commands(sources: DataFrame, text: str = "text") -> DataFrame:
     Up to ARGUMENTS groups in braces may follow, and an option in brackets before or after the first, with space
     and line ends between; they may nest and span lines. args holds the texts within the braces, without the outer ones.
     """
-    found = stored(tokens(sources, text), "tokens")
-    pairs = stored(groups(found).where("close is not null"), "groups")
     blank = F.trim(F.col("token")) == ""
     solid = F.first(F.when(~blank & (F.col("token") != "\n"), F.col("at")), True).over(Window.partitionBy("file").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
-    follows = stored(found.withColumn("then", solid).select("file", "at", "then", "pos", "line", "col", "token"), "follows")
+    # tokens are written once, with the next one that is not blank; of them only commands and brackets are ever joined
+    shape = F.when(F.startswith("token", F.lit("\\")) | F.col("token").isin("{", "}", "[", "]"), F.col("token"))
+    found = stored(tokens(sources, text).withColumn("then", solid).withColumns({"long": F.length("token"), "token": shape}).where("token is not null"), "tokens")
+    pairs = stored(groups(found).where("close is not null"), "groups")
+    follows = found
     names = {**MACROS, "begin": "begin", "end": "end"}
     kinds = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     own = follows.where(F.startswith("token", F.lit("\\"))).withColumn("name", F.expr("substring(token, 2)")).withColumn("kind", F.try_element_at(kinds, F.col("name"))).where("kind is not null")
     own = own.select("file", "at", "name", "kind", "line", "col", F.col("then"), F.col("at").alias("last"), F.lit(None).cast("struct<a:int,b:int>").alias("option"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    after = follows.select(F.col("file").alias("file_"), F.col("at").alias("close_"), F.col("then").alias("then_"))
+    after = follows.where(F.col("token").isin("}", "]")).select(F.col("file").alias("file_"), F.col("at").alias("close_"), F.col("then").alias("then_"))
     opens = pairs.join(found.select("file", "at", "token"), ["file", "at"]).select(F.col("file").alias("in_"), F.col("at").alias("open_"), "close", F.col("token").alias("mark"))
     for n, mark in enumerate(("[", "{", "[", *["{"] * (ARGUMENTS - 1))):
         met = own.join(opens.where(F.col("mark") == mark), (F.col("file") == F.col("in_")) & (F.col("then") == F.col("open_")) & (F.col("option").isNull() | F.lit(mark == "{")), "left")
@@ -69,11 +71,11 @@ def commands(sources: DataFrame, text: str = "text") -> DataFrame:
         spans = F.when(there, F.array_append("spans", span)).otherwise(F.col("spans")) if mark == "{" else F.col("spans")
         own = met.select("file", "at", "name", "kind", "line", "col", then.alias("then"), F.coalesce("close", "last").alias("last"), option.alias("option"), spans.alias("spans"))
     own = stored(own, "commands")
-    places = found.select(F.col("file").alias("file_"), F.col("at").alias("tok"), "pos", F.col("line").alias("line_"), F.col("col").alias("col_"), F.length("token").alias("long"))
+    places = found.select(F.col("file").alias("file_"), F.col("at").alias("tok"), "pos", F.col("line").alias("line_"), F.col("col").alias("col_"), "long", "token")
     ends = own.join(places, (F.col("file") == F.col("file_")) & (F.col("last") == F.col("tok")))
     ends = ends.select("file", "at", "name", "kind", "line", "col", F.col("line_").alias("stop_line"), (F.col("col_") + F.col("long")).alias("stop_col"), "option", "spans")
     wanted = own.select("file", "at", F.posexplode(F.concat(F.array("option"), "spans")).alias("nth", "span")).where("span is not null").select("file", "at", "nth", F.col("span.a").alias("a"), F.col("span.b").alias("b"))
-    edge = lambda name: places.select(F.col("file_").alias(f"{name}_file"), F.col("tok").alias(f"{name}_tok"), F.col("pos").alias(name))
+    edge = lambda name: places.where(F.col("token").isin("{", "}", "[", "]")).select(F.col("file_").alias(f"{name}_file"), F.col("tok").alias(f"{name}_tok"), F.col("pos").alias(name))
     cut = wanted.join(edge("from"), (F.col("file") == F.col("from_file")) & (F.col("a") == F.col("from_tok"))).join(edge("upto"), (F.col("file") == F.col("upto_file")) & (F.col("b") == F.col("upto_tok")))
     cut = cut.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("nth", "from", "upto"))).alias("cuts"))
     whole = ends.join(cut, ["file", "at"], "left").join(sources.select("file", F.col(text).alias("__text")), "file")
