@@ -80,7 +80,7 @@ def _constant(q, lits):
 
 T_ = "t AS (SELECT DISTINCT s, p, o FROM {quads})"
 L = "l AS (SELECT DISTINCT s, p, o, o_lang, o_dtype FROM {literals})"
-Q.add("kg_store_join", "quads", _join, f"WITH {T_} SELECT a.s AS a, a.o AS d, e.o AS e, y.o AS y FROM t a JOIN t e ON e.s = a.o AND e.p = 'contains' JOIN t y ON y.s = e.o AND y.p = 'defines' JOIN t n ON n.s = e.o AND n.p = 'notation-for' AND n.o = y.o WHERE a.p = 'contains'")
+Q.add("kg_store_join", "quads:contains,defines,notation-for", _join, f"WITH {T_} SELECT a.s AS a, a.o AS d, e.o AS e, y.o AS y FROM t a JOIN t e ON e.s = a.o AND e.p = 'contains' JOIN t y ON y.s = e.o AND y.p = 'defines' JOIN t n ON n.s = e.o AND n.p = 'notation-for' AND n.o = y.o WHERE a.p = 'contains'")
 Q.add("kg_store_languages", "literals", _languages, f"WITH {L} SELECT coalesce(o_lang, '') AS lang, coalesce(o_dtype, CASE WHEN o_lang IS NULL THEN 'http://www.w3.org/2001/XMLSchema#string' ELSE 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' END) AS dtype, count(*) AS n, count(*) FILTER (WHERE o_lang LIKE 'en%') AS english, count(*) FILTER (WHERE o_dtype LIKE '%integer') AS numbers FROM l GROUP BY 1, 2")
 Q.add("kg_store_groups", "quads literals", _groups, f"WITH {T_}, {L} SELECT t.o AS y, sum(CAST(a.o AS DOUBLE)) AS sum, avg(CAST(a.o AS DOUBLE)) AS avg, min(CAST(a.o AS DOUBLE)) AS min, max(CAST(a.o AS DOUBLE)) AS max, min(b.o) AS sample, string_agg(DISTINCT t.s, ' ' ORDER BY t.s) AS \"all\" FROM t JOIN l a ON a.s = t.o AND a.p = 'size' JOIN l b ON b.s = t.o AND b.p = 'title' WHERE t.p = 'defines' GROUP BY t.o")
 Q.add("kg_store_functions", "literals", _functions, f"WITH {L} SELECT t.s AS x, length(t.o) AS strlen, substr(t.o, 2, 3) AS substr, upper(t.o) AS ucase, lower(t.o) AS lcase, starts_with(t.o, 'P') AS strstarts, ends_with(t.o, '1') AS strends, contains(t.o, 'a') AS contains, split_part(t.s, '/', 1) AS strbefore, split_part(t.s, '/', 2) AS strafter, concat(t.o, '!') AS concat, regexp_replace(t.o, '[aeiou]', '-', 'g') AS replace, regexp_matches(t.o, '[0-9][0-9]') AS regex, abs(CAST(n.o AS DOUBLE) - 25) AS abs, CAST(floor(CAST(n.o AS DOUBLE) / 4 + 0.5) AS BIGINT) AS round, CAST(ceil(CAST(n.o AS DOUBLE) / 4) AS BIGINT) AS ceil, CAST(floor(CAST(n.o AS DOUBLE) / 4) AS BIGINT) AS floor, sha1(t.o) AS sha1, sha256(t.o) AS sha256, true AS isiri, true AS isliteral, coalesce(t.o_lang, '') IN ('en', 'en-gb') AS english, coalesce(t.o_lang, 'none') AS coalesce FROM l t JOIN l n ON n.s = t.s AND n.p = 'size' WHERE t.p = 'title'")
