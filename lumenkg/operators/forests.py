@@ -7,14 +7,17 @@ is one level. A value holds all that is below its node: the root's is the docume
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import stored, tidy
-from .trees import PLACE_DIGITS, paths
+from .trees import PLACE_DIGITS
 
 
 def folded(nodes: DataFrame, make: Callable[[Column], Column], keys: tuple[str, ...] = ("doc",)) -> DataFrame:
@@ -44,54 +47,128 @@ def _folded(nodes: DataFrame, make: Callable[[Column], Column], keys: tuple[str,
     return nodes.withColumn("value", make(nothing)) if out is None else out
 
 
-def with_depth(nodes: DataFrame) -> DataFrame:
-    """nodes (doc, node, parent, ord) with the depth of each."""
-    return paths(nodes).drop("path")
-
-
-@tidy
 def opened(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes of roots (root) with those of the documents that they take in: root, node (key), parent, ord, depth and the other columns of tree.
 
     tree: doc, path (array of places), kind, target (the document that an inputref takes in, else null) and
     others. A document within itself is not opened again; ``missing`` is true where a target has no nodes.
+    Which documents a root opens, and where, is found from inputrefs alone; nodes are joined to that once.
     """
-    key = F.transform("path", lambda p: F.lpad(p.cast("string"), PLACE_DIGITS, "0"))
-    entries = stored(tree.withColumn("key", key).drop("path"), "entries")
-    known = entries.select(F.col("doc").alias("target")).distinct().withColumn("__known", F.lit(True))
+    tree = tree.withColumn("key", F.transform("path", lambda p: F.lpad(p.cast("string"), PLACE_DIGITS, "0"))).drop("path")
+    docs = tree.select(F.col("doc").alias("target")).distinct().withColumn("__known", F.lit(True))
+    # a target that is null is not dealt by: most nodes have none
+    entries = tree.where("target is null").withColumn("missing", F.lit(False)).unionByName(tree.where("target is not null").join(docs, "target", "left").withColumn("missing", F.col("__known").isNull()).drop("__known"))
+    found = _visits(tree, roots).join(entries, "doc").withColumn("key", F.concat("above", "key"))
+    text = lambda k: F.array_join(k, ".")
+    up = F.slice("key", F.lit(1), F.size("key") - 1)
+    return found.select("root", text(F.col("key")).alias("node"), F.when(F.size("key") > 1, text(up)).alias("parent"), F.element_at("key", -1).alias("ord"), (F.size("key") - 1).alias("depth"), "missing", *[c for c in tree.columns if c != "key"])
+
+
+@tidy
+def _visits(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, doc, above (key of the inputref, none for the root itself): each document that a root opens, as often as it does."""
+    docs = tree.select("doc").distinct()
+    inputs = tree.where("kind = 'inputref'").select("doc", "key", "target")
+    inputs = stored(inputs.join(docs.select(F.col("doc").alias("target")), "target", "left_semi").select("doc", "key", "target"), "inputs")
     level = roots.select("root", F.col("root").alias("doc"), F.array().cast("array<string>").alias("above"), F.array("root").alias("trail"))
-    found = None
+    visits = None
     for _ in count():
-        own = level.join(entries, "doc").withColumn("key", F.concat("above", "key")).drop("above")
-        own = stored(own.join(known, "target", "left"), "opened")
-        found = own if found is None else found.unionByName(own)
-        level = own.where("kind = 'inputref' and __known and not array_contains(trail, target)").select("root", F.col("target").alias("doc"), F.col("key").alias("above"), F.concat("trail", F.array("target")).alias("trail"))
+        level = stored(level, "visits")
         if level.isEmpty():
             break
-    text = lambda k: F.array_join(k, ".")
-    up = F.slice("key", F.lit(1), F.size("key") - 1)
-    missing = F.col("target").isNotNull() & F.col("__known").isNull()
-    return found.select("root", text(F.col("key")).alias("node"), F.when(F.size("key") > 1, text(up)).alias("parent"), F.element_at("key", -1).alias("ord"), (F.size("key") - 1).alias("depth"), missing.alias("missing"), *[c for c in found.columns if c not in ("root", "key", "trail", "__known")])
+        visits = level if visits is None else visits.unionByName(level)
+        level = level.join(inputs, "doc").where("not array_contains(trail, target)").select("root", F.col("target").alias("doc"), F.concat("above", "key").alias("above"), F.concat("trail", F.array("target")).alias("trail"))
+    return (level if visits is None else visits).drop("trail")
 
 
 # -- quizzes
 
-_LIST = "struct<text:string,n:int,chain:array<struct<text:string,n:int>>>"
+Pieces = tuple[str, int, list[tuple[str, int]]]
 
 
-def _pieces(kids: Column) -> Column:
+def _pieces(kids: list[Pieces]) -> Pieces:
     """One list of several: its text, how many elements it has, and while it is a single section, what that holds."""
-    full = F.filter(kids, lambda k: k["n"] > 0)
-    n = F.aggregate(full, F.lit(0), lambda a, k: a + k["n"])
-    none = F.array().cast("array<struct<text:string,n:int>>")
-    return F.struct(F.array_join(F.transform(full, lambda k: k["text"]), ",").alias("text"), n.alias("n"), F.when(n == 1, F.get(full, F.lit(0))["chain"]).otherwise(none).alias("chain"))
+    full = [k for k in kids if k[1]]
+    n = sum(k[1] for k in full)
+    return ",".join(k[0] for k in full), n, full[0][2] if n == 1 else []
 
 
-def _bare(own: Column) -> Column:
+def _bare(own: Pieces) -> Pieces:
     """A list that is one section alone is what that holds."""
-    first = F.get(own["chain"], F.lit(0))
-    inner = F.struct(first["text"].alias("text"), first["n"].alias("n"), F.slice(own["chain"], F.lit(2), F.greatest(F.size(own["chain"]) - 1, F.lit(0))).alias("chain"))
-    return F.when((own["n"] == 1) & (F.size(own["chain"]) > 0), inner).otherwise(own)
+    return (*own[2][0], own[2][1:]) if own[1] == 1 and own[2] else own
+
+
+def _quizzed(kind: str | None, title: str | None, html: str, uri: str, in_problem: bool, kids: list[Pieces]) -> Pieces:
+    """What a node gives to what is around it; title, html and uri are quoted."""
+    if kind == "paragraph":
+        return f'{{"Paragraph":{{"html":{html}}}}}', 1, []
+    if kind == "problem":
+        return ("", 0, []) if in_problem else _pieces([(f'{{"Problem":{{"uri":{uri},"html":{html}}}}}', 1, []), *kids])
+    inner = _pieces(kids)
+    if kind == "section" and title is not None:
+        return f'{{"Section":{{"title":{title},"elements":[{inner[0]}]}}}}', 1, [inner[:2], *inner[2]]
+    return _bare(inner) if kind == "inputref" else inner
+
+
+def _folded_quizzes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The quiz of each root, of rows sorted by root and node: only what is open at a row is kept, and what is done of the root at hand."""
+    columns = ("root", "node", "parent", "kind", "title", "html", "uri", "name", "solution", "solved", "target", "missing")
+    root, seen, stack, top, solutions, errors = None, False, [], [], {}, ([], [])
+
+    def close() -> None:
+        # an open node: its name, what gives its value, its children's values, and whether it is not shown, in a problem, or stands for a node of the tree
+        node, own, kids, hidden, in_problem, whole = stack.pop()
+        if hidden:
+            return
+        value = _quizzed(*own, in_problem, kids)
+        if whole and stack:
+            stack[-1][2].append(value)
+        elif whole:
+            top.append(value)
+
+    def done() -> tuple | None:
+        while stack:
+            close()
+        if not top_seen:
+            return None
+        error = min(errors[0], default=None)
+        error = min(errors[1], default=None) if error is None else error
+        quiz = None
+        if error is None:
+            found = ",".join(x for _, x in sorted(solutions.items(), key=lambda x: (*x[0][:2], json.loads(x[0][2]))))
+            quiz = f'{{"elements":[{_bare(_pieces(top))[0]}],"solutions":{{{found}}}}}'
+        return root, quiz, error
+
+    top_seen = False
+    for batch in batches:
+        out = []
+        for r, node, parent, kind, title, html, uri, name, solution, solved, target, missing in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if not seen or r != root:
+                if seen and (row := done()):
+                    out.append(row)
+                root, seen, top_seen, top, solutions, errors = r, True, False, [], {}, ([], [])
+            while stack and not node.startswith(stack[-1][0] + "."):
+                close()
+            in_problem = hidden = False
+            if stack:
+                _, (above, *_), _, hidden, within, _ = stack[-1]
+                hidden = hidden or above == "paragraph" or (above == "problem" and within)
+                in_problem = above == "problem" or (within and above != "inputref")
+            whole = parent is None or (bool(stack) and stack[-1][0] == parent)
+            stack.append((node, (kind, title, html, uri), [], hidden, in_problem, whole))
+            top_seen = top_seen or parent is None
+            if hidden:
+                continue
+            if kind == "problem" and solved:
+                solutions[(name is not None, name or "", solution)] = f"{uri}:{solution}"
+            elif kind == "problem" and name is not None:
+                errors[1].append(f"no solution: {name}")
+            if missing:
+                errors[0].append(f"missing document: {target}")
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["root", "quiz", "error"])
+    if seen and (row := done()):
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in row], names=["root", "quiz", "error"])
 
 
 def quizzes(forest: DataFrame) -> DataFrame:
@@ -102,57 +179,85 @@ def quizzes(forest: DataFrame) -> DataFrame:
     what is below it, or below a paragraph, is not looked at. A document that is one section is what that
     holds. error: a document that is missing, or else a problem without a solution.
     """
-    above = _context(forest)
-    own = stored(forest.join(above, ["root", "node"]).where("not hidden"), "quiz")
     text = lambda c: F.to_json(F.array(F.coalesce(c, F.lit(""))))
     quoted = lambda c: F.substr(text(c), F.lit(2), F.length(text(c)) - 2)
-    none = F.array().cast("array<struct<text:string,n:int>>")
-    one = lambda t, chain: F.struct(t.alias("text"), F.lit(1).alias("n"), chain.alias("chain"))
-
-    def make(kids: Column) -> Column:
-        kids = kids.cast(f"array<{_LIST}>")
-        inner = _pieces(kids)
-        section = one(F.concat(F.lit('{"Section":{"title":'), quoted(F.col("title")), F.lit(',"elements":['), inner["text"], F.lit("]}}")), F.concat(F.array(F.struct(inner["text"].alias("text"), inner["n"].alias("n"))), inner["chain"]))
-        paragraph = one(F.concat(F.lit('{"Paragraph":{"html":'), quoted(F.col("html")), F.lit("}}")), none)
-        problem = one(F.concat(F.lit('{"Problem":{"uri":'), quoted(F.col("uri")), F.lit(',"html":'), quoted(F.col("html")), F.lit("}}")), none)
-        nothing = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), none.alias("chain"))
-        kind = F.col("kind")
-        return (
-            F.when(kind == "paragraph", paragraph).when((kind == "problem") & F.col("in_problem"), nothing).when(kind == "problem", _pieces(F.concat(F.array(problem), kids)))
-            .when((kind == "section") & F.col("title").isNotNull(), section).when(kind == "inputref", _bare(inner)).otherwise(inner)
-        )
-
-    done = folded(own.select("root", "node", "parent", "ord", "depth", "kind", "title", "html", "uri", "in_problem"), make, ("root",))
-    lists = done.where("parent is null").groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node", "value"))), lambda x: x["value"]).alias("kids"))
-    solved = own.where("kind = 'problem'").groupBy("root").agg(F.array_sort(F.collect_set(F.when(F.col("solution").isNotNull(), F.struct("uri", "solution")))).alias("solutions"), F.min(F.when(F.col("solution").isNull(), F.concat(F.lit("no solution: "), "uri"))).alias("bare"))
-    lost = own.where("missing").groupBy("root").agg(F.min(F.concat(F.lit("missing document: "), "target")).alias("lost"))
-    out = lists.join(solved, "root", "left").join(lost, "root", "left")
-    found = F.array_join(F.transform("solutions", lambda s: F.concat(quoted(s["uri"]), F.lit(":"), quoted(s["solution"]))), ",")
-    error = F.coalesce("lost", "bare")
-    return out.select("root", F.when(error.isNull(), F.concat(F.lit('{"elements":['), _bare(_pieces(F.col("kids")))["text"], F.lit('],"solutions":{'), F.coalesce(found, F.lit("")), F.lit("}}"))).alias("quiz"), error.alias("error"))
-
-
-def _context(forest: DataFrame) -> DataFrame:
-    """root, node, in_problem (a problem of the same document is around it), hidden (it is below a paragraph, or below a problem that is within one): joins of nodes with those above them."""
-    up = F.transform(F.sequence(F.lit(1), F.size(F.split("node", r"\.")) - 1), lambda n: F.array_join(F.slice(F.split("node", r"\."), F.lit(1), n), "."))
-    pairs = forest.where("depth > 0").select("root", "node", "doc", "depth", F.explode(up).alias("at"))
-    marks = stored(forest.where("kind in ('paragraph', 'problem', 'inputref')").select("root", F.col("node").alias("at"), F.col("kind").alias("mark"), F.col("depth").alias("high")), "marks")
-    met = stored(pairs.join(marks, ["root", "at"]), "above")
-    entry = F.max(F.when(F.col("mark") == "inputref", F.col("high")))
-    problem = F.max(F.when(F.col("mark") == "problem", F.col("high")))
-    flags = met.groupBy("root", "node").agg((F.coalesce(problem, F.lit(-1)) > F.coalesce(entry, F.lit(-1))).alias("in_problem"), F.max(F.when(F.col("mark") == "paragraph", 1)).isNotNull().alias("under"))
-    own = stored(forest.select("root", "node", "kind").join(flags, ["root", "node"], "left").select("root", "node", "kind", F.coalesce("in_problem", F.lit(False)).alias("in_problem"), F.coalesce("under", F.lit(False)).alias("under")), "context")
-    inner = own.where("kind = 'problem' and in_problem").select("root", F.col("node").alias("at"))
-    covered = met.join(inner, ["root", "at"], "left_semi").select("root", "node").distinct().withColumn("covered", F.lit(True))
-    return own.join(covered, ["root", "node"], "left").select("root", "node", "in_problem", (F.col("under") | F.coalesce("covered", F.lit(False))).alias("hidden"))
-
-
-def structures(nodes: DataFrame, *columns: str) -> DataFrame:
-    """nodes (doc, node, parent, ord) with value: JSON of the columns (nulls left out) and of all below, as ``children``."""
-    own = F.to_json(F.struct(*columns))
-
-    def make(kids: Column) -> Column:
-        kids = kids.cast("array<string>")
-        return F.concat(F.expr("substring(" + "__own, 1, length(__own) - 1)"), F.when(F.length("__own") > 2, F.lit(",")).otherwise(""), F.lit('"children":['), F.array_join(kids, ","), F.lit("]}"))
-
-    return folded(with_depth(nodes).withColumn("__own", own), make).drop("__own")
+    shown = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), c)
+    own = forest.select(
+        "root", "node", "parent", "kind", shown(F.when(F.col("title").isNotNull(), quoted(F.col("title"))), "section").alias("title"), shown(quoted(F.col("html")), "paragraph", "problem").alias("html"), shown(quoted(F.col("uri")), "problem").alias("uri"),
+        shown(F.col("uri"), "problem").alias("name"), shown(quoted(F.col("solution")), "problem").alias("solution"), F.col("solution").isNotNull().alias("solved"), F.when(F.col("missing"), F.col("target")).alias("target"), "missing",
+    )
+    return own.where("root is not null").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_folded_quizzes, "root string, quiz string, error string")
+
+
+def structures(nodes: DataFrame, *columns: str, tops: bool = False) -> DataFrame:
+    """nodes (doc, node, parent, ord) with depth and value: JSON of the columns (nulls left out) and of all below, as ``children``. tops: only nodes without a parent.
+
+    A document's nodes are folded where they meet, as the value of its root holds them all. Nodes under a
+    parent that does not exist are left out; cycles are an error.
+    """
+    own = nodes.withColumn("__own", F.to_json(F.struct(*columns)))
+    schema = StructType([*own.drop("__own").schema.fields, *StructType.fromDDL("depth int, value string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the document that the next batch may go on with
+        for batch in batches:
+            docs = batch.column("doc")
+            if held and docs[0].as_py() == held[-1].column("doc")[0].as_py() and docs[len(docs) - 1].as_py() == docs[0].as_py():
+                held.append(batch)
+                continue
+            known = docs.to_pylist()
+            last = known.index(known[-1])
+            if last:
+                yield from _valued([*held, batch.slice(0, last)], tops)
+                held = []
+            elif held:
+                yield from _valued(held, tops)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from _valued(held, tops)
+
+    return own.where("doc is not null and node is not null").repartition("doc").sortWithinPartitions("doc").mapInArrow(run, schema)
+
+
+def _valued(held: list[pa.RecordBatch], tops: bool) -> list[pa.RecordBatch]:
+    """The rows of whole documents with depth and value."""
+    rows = pa.Table.from_batches(held)
+    docs, node, parent, ord, text = (rows.column(c).to_pylist() for c in ("doc", "node", "parent", "ord", "__own"))
+    cuts = [0, *(k for k in range(1, len(docs)) if docs[k] != docs[k - 1]), len(docs)]
+    places, depths, values = [], [], []
+    for a, b in zip(cuts, cuts[1:]):
+        below: dict = {}
+        for k in sorted(range(a, b), key=lambda k: (ord[k] is not None, ord[k], node[k])):
+            below.setdefault(parent[k], []).append(k)
+        order = [(k, 0) for k in below.pop(None, [])]
+        for k, depth in order:  # grows: from the roots down
+            order += [(c, depth + 1) for c in below.pop(node[k], [])]
+        if below:
+            _ends({node[k]: p for p, ks in below.items() for k in ks})
+        kids: dict = {}
+        for k, depth in reversed(order):
+            inner = ",".join(reversed(kids.pop(node[k], [])))
+            head = text[k][:-1]
+            value = f'{head}{"," if len(head) > 1 else ""}"children":[{inner}]}}'
+            kids.setdefault(parent[k], []).append(value)
+            if not tops or not depth:
+                places.append(k)
+                depths.append(depth)
+                values.append(value)
+    if not places:
+        return []
+    return rows.drop_columns(["__own"]).take(pa.array(places)).append_column("depth", pa.array(depths, pa.int32())).append_column("value", pa.array(values, pa.string())).combine_chunks().to_batches()
+
+
+def _ends(above: dict) -> None:
+    """Nodes under no root (by name, their parents) must end at a parent that does not exist."""
+    done: set = set()
+    for name in above:
+        trail: set = set()
+        while name in above and name not in done:
+            if name in trail:
+                raise ValueError("a tree that is none: a cycle")
+            trail.add(name)
+            name = above[name]
+        done |= trail

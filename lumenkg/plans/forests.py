@@ -26,7 +26,7 @@ def quiz_tree(e):
 Q.add("content_quizzes", "elements", lambda e: O.quizzes(O.opened(quiz_tree(e), e.select(F.col("doc").alias("root")).distinct())))
 _OWN = """concat('"uri":"', uri, '","kind":"', kind, '","children":[')"""
 _LEVELS = "".join(f", l{d} AS (SELECT n.doc, n.ord, concat(chr(123), {_OWN}, coalesce(string_agg(c.j, ',' ORDER BY c.ord), ''), ']', chr(125)) AS j FROM n LEFT JOIN l{d + 1} c ON c.doc = n.doc AND c.ord // 2 = n.ord WHERE n.ord >= {1 << d} AND n.ord < {2 << d} GROUP BY n.doc, n.ord, uri, kind)" for d in range(4, -1, -1))
-Q.add("content_structure", "elements", lambda e: O.structures(_nodes(e), "uri", "kind").where("parent is null").select("doc", F.col("value").alias("structure")), f"WITH n AS (SELECT doc, ord, uri, kind FROM {{elements}}), l5 AS (SELECT doc, ord, concat(chr(123), {_OWN}, ']', chr(125)) AS j FROM n WHERE ord >= 32 AND ord < 64){_LEVELS} SELECT doc, j AS structure FROM l0")
+Q.add("content_structure", "elements", lambda e: O.structures(_nodes(e), "uri", "kind", tops=True).select("doc", F.col("value").alias("structure")), f"WITH n AS (SELECT doc, ord, uri, kind FROM {{elements}}), l5 AS (SELECT doc, ord, concat(chr(123), {_OWN}, ']', chr(125)) AS j FROM n WHERE ord >= 32 AND ord < 64){_LEVELS} SELECT doc, j AS structure FROM l0")
 
 
 def _symbols(e):
@@ -35,7 +35,7 @@ def _symbols(e):
     envs = B.environments(found).where("close is not null")
     own = envs.select("file", F.col("at").alias("node"), "at", "close", F.col("arg").alias("name"), F.lit("module").alias("kind"), "line")
     own = own.unionByName(found.where("kind = 'symbol'").select("file", F.col("at").alias("node"), "at", F.col("at").alias("close"), F.get("args", F.lit(0)).alias("name"), F.lit("symbol").alias("kind"), "line"))
-    return O.structures(B.nested(own).select(F.col("file").alias("doc"), "node", "parent", F.col("at").alias("ord"), "name", "kind", "line"), "name", "kind", "line").where("parent is null").select(F.col("doc").alias("file"), F.col("value").alias("outline"))
+    return O.structures(B.nested(own).select(F.col("file").alias("doc"), "node", "parent", F.col("at").alias("ord"), "name", "kind", "line"), "name", "kind", "line", tops=True).select(F.col("doc").alias("file"), F.col("value").alias("outline"))
 
 
 _DEEP = "(kind = 'definition' AND level = 0)"

@@ -126,3 +126,26 @@ def test_ranges_within_ranges(spark, seed):
     grow(None, 0)
     df = spark.createDataFrame([("f", n, a, b) for n, (a, b, _) in ranges.items()], "file string, node int, at int, close int")
     assert {r.node: r.parent for r in B.nested(df).collect()} == {n: p for n, (_, _, p) in ranges.items()}
+
+
+def test_forests_are_not_stored(spark):
+    """Which documents are opened is stored, and no nodes; a fold stores nothing."""
+    from pathlib import Path
+
+    from lumenkg.storage import shared_dir
+
+    place = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(place.iterdir())
+    rows = [(d, list(p), *(n[c] for c in ("kind", "title", "html", "uri", "solution", "target"))) for d, nodes in SINGLE.items() for p, n in nodes.items()]
+    tree = spark.createDataFrame(rows, SCHEMA)
+    assert O.quizzes(O.opened(tree, tree.select(F.col("doc").alias("root")).distinct())).count() == 3
+    O.structures(spark.createDataFrame([("d", 0, None, 0)], "doc string, node int, parent int, ord int"), "node").collect()
+    assert [spark.read.parquet(str(p)).columns for p in set(place.iterdir()) - before] == [["root", "doc", "above"]]
+
+
+def test_trees_that_are_none(spark):
+    df = lambda *rows: spark.createDataFrame(rows, "doc string, node int, parent int, ord int")
+    assert [r.node for r in O.structures(df(("d", 0, None, 0), ("d", 1, 7, 0), ("d", 2, 1, 0)), "node").collect()] == [0]
+    assert [r.value for r in O.structures(df(("d", 0, None, 0), ("d", 1, 0, 0), ("e", 0, None, 0)), "node", tops=True).orderBy("doc").collect()] == ['{"node":0,"children":[{"node":1,"children":[]}]}', '{"node":0,"children":[]}']
+    with pytest.raises(Exception, match="cycle"):
+        O.structures(df(("d", 0, None, 0), ("d", 1, 2, 0), ("d", 2, 1, 0)), "node").collect()
