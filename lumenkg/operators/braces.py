@@ -1,12 +1,16 @@
 """Commands of sources with their whole arguments: braces are matched over lines, by a running depth over the file.
 
 A file becomes tokens (commands, escapes, comments, braces, brackets, line ends and the text between), each
-with its place; what is nested is found by running sums and by the next token of the same depth, never by a
-parser. Windows are over one file. Places are line and col from 0, in characters.
+with its place. Commands are found where a source lies, in one reading of its tokens, and only they are written
+and shuffled; environments and ranges are windows over one file. Places are line and col from 0, in characters.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from .lint import ENVIRONMENTS, MACROS
 _TOKEN = r"\\[A-Za-z]+\*?|\\[\s\S]|%[^\n]*|[{}\[\]\n]|[^\\%{}\[\]\n]+|\\"
 #: Groups in braces after a command that are read as its arguments.
 ARGUMENTS = 3
+#: What commands() says of each but its file.
+ARROW = [*(pa.field(c, pa.int32() if c in ("at", "line", "col", "stop_line", "stop_col") else pa.string()) for c in ("at", "name", "kind", "line", "col", "stop_line", "stop_col", "option")), pa.field("args", pa.list_(pa.string()))]
 
 
 def tokens(sources: DataFrame, text: str = "text") -> DataFrame:
@@ -48,41 +54,67 @@ def commands(sources: DataFrame, text: str = "text") -> DataFrame:
     Up to ARGUMENTS groups in braces may follow, and an option in brackets before or after the first, with space
     and line ends between; they may nest and span lines. args holds the texts within the braces, without the outer ones.
     """
-    blank = F.trim(F.col("token")) == ""
-    solid = F.first(F.when(~blank & (F.col("token") != "\n"), F.col("at")), True).over(Window.partitionBy("file").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
-    # tokens are written once, with the next one that is not blank; of them only commands and brackets are ever joined
-    shape = F.when(F.startswith("token", F.lit("\\")) | F.col("token").isin("{", "}", "[", "]"), F.col("token"))
-    found = stored(tokens(sources, text).withColumn("then", solid).withColumns({"long": F.length("token"), "token": shape}).where("token is not null"), "tokens")
-    pairs = stored(groups(found).where("close is not null"), "groups")
-    follows = found
     names = {**MACROS, "begin": "begin", "end": "end"}
-    kinds = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    own = follows.where(F.startswith("token", F.lit("\\"))).withColumn("name", F.expr("substring(token, 2)")).withColumn("kind", F.try_element_at(kinds, F.col("name"))).where("kind is not null")
-    own = own.select("file", "at", "name", "kind", "line", "col", F.col("then"), F.col("at").alias("last"), F.lit(None).cast("struct<a:int,b:int>").alias("option"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    after = follows.where(F.col("token").isin("}", "]")).select(F.col("file").alias("file_"), F.col("at").alias("close_"), F.col("then").alias("then_"))
-    opens = pairs.join(found.select("file", "at", "token"), ["file", "at"]).select(F.col("file").alias("in_"), F.col("at").alias("open_"), "close", F.col("token").alias("mark"))
-    for n, mark in enumerate(("[", "{", "[", *["{"] * (ARGUMENTS - 1))):
-        met = own.join(opens.where(F.col("mark") == mark), (F.col("file") == F.col("in_")) & (F.col("then") == F.col("open_")) & (F.col("option").isNull() | F.lit(mark == "{")), "left")
-        met = met.join(after, (F.col("file") == F.col("file_")) & (F.col("close") == F.col("close_")), "left")
-        there = F.col("close").isNotNull()
-        span = F.struct(F.col("open_").alias("a"), F.col("close").alias("b"))
-        then = F.when(there, F.col("then_")).otherwise(F.col("then") if mark == "[" else F.lit(None))
-        option = F.when(there, span).otherwise(F.col("option")) if mark == "[" else F.col("option")
-        spans = F.when(there, F.array_append("spans", span)).otherwise(F.col("spans")) if mark == "{" else F.col("spans")
-        own = met.select("file", "at", "name", "kind", "line", "col", then.alias("then"), F.coalesce("close", "last").alias("last"), option.alias("option"), spans.alias("spans"))
-    own = stored(own, "commands")
-    places = found.select(F.col("file").alias("file_"), F.col("at").alias("tok"), "pos", F.col("line").alias("line_"), F.col("col").alias("col_"), "long", "token")
-    ends = own.join(places, (F.col("file") == F.col("file_")) & (F.col("last") == F.col("tok")))
-    ends = ends.select("file", "at", "name", "kind", "line", "col", F.col("line_").alias("stop_line"), (F.col("col_") + F.col("long")).alias("stop_col"), "option", "spans")
-    wanted = own.select("file", "at", F.posexplode(F.concat(F.array("option"), "spans")).alias("nth", "span")).where("span is not null").select("file", "at", "nth", F.col("span.a").alias("a"), F.col("span.b").alias("b"))
-    edge = lambda name: places.where(F.col("token").isin("{", "}", "[", "]")).select(F.col("file_").alias(f"{name}_file"), F.col("tok").alias(f"{name}_tok"), F.col("pos").alias(name))
-    cut = wanted.join(edge("from"), (F.col("file") == F.col("from_file")) & (F.col("a") == F.col("from_tok"))).join(edge("upto"), (F.col("file") == F.col("upto_file")) & (F.col("b") == F.col("upto_tok")))
-    cut = cut.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("nth", "from", "upto"))).alias("cuts"))
-    whole = ends.join(cut, ["file", "at"], "left").join(sources.select("file", F.col(text).alias("__text")), "file")
-    piece = lambda c: F.substr("__text", c["from"] + 2, c["upto"] - c["from"] - 1)
-    option = F.get(F.transform(F.filter("cuts", lambda c: c["nth"] == 0), piece), 0)
-    args = F.coalesce(F.transform(F.filter("cuts", lambda c: c["nth"] > 0), piece), F.array().cast("array<string>"))
-    return whole.select("file", "at", "name", "kind", "line", "col", "stop_line", "stop_col", option.alias("option"), args.alias("args"))
+    schema = f"file {sources.schema['file'].dataType.simpleString()}, at int, name string, kind string, line int, col int, stop_line int, stop_col int, option string, args array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, out = [], []
+            for k, own in enumerate(batch.column(1).to_pylist()):
+                found = list(_commands(own or "", names))
+                which += [k] * len(found)
+                out += found
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *(pa.array(c, f.type) for c, f in zip(zip(*out), ARROW))], names=["file", *(f.name for f in ARROW)])
+
+    return stored(sources.where("file is not null").select("file", text).mapInArrow(run, schema), "commands")
+
+
+def _commands(text: str, names: dict[str, str]) -> Iterator[tuple]:
+    """The commands of one text: its tokens are read once, and braces and brackets are matched by what is open."""
+    live, found = [], []  # tokens that count: their number, text, pos, line, and where the line begins
+    opened, closes = [[None, []]], {}  # of each depth the brace that opened it, and the brackets in it; what closes what, as places in live
+    pos = line = begin = 0
+    for at, token in enumerate(re.findall(_TOKEN, text)):
+        first, here = token[0], len(live)
+        if first == "{":
+            opened.append([here, []])
+        elif first == "}":
+            brace, _ = opened.pop()
+            if brace is not None:
+                closes[brace] = here
+            if not opened:
+                opened.append([None, []])
+        elif first == "[":
+            opened[-1][1].append(here)
+        elif first == "]":
+            for bracket in opened[-1][1]:
+                closes[bracket] = here
+            opened[-1][1].clear()
+        elif first == "\\" and token[1:] in names:
+            found.append(here)
+        # what is blank is no token that may follow, and comments count for nothing
+        if first != "%" and first != "\n" and (first != " " or token.strip(" ")):
+            live.append((at, token, pos, line, begin))
+        pos += len(token)
+        if token[-1] == "\n":
+            line, begin = line + 1, pos
+    for k in found:
+        at, token, start, row, edge = live[k]
+        last, option, args = k, None, []
+        for mark in "[" + "{" + "[" + "{" * (ARGUMENTS - 1):
+            then = last + 1
+            if then < len(live) and live[then][1] == mark and (mark == "{" or option is None) and then in closes:
+                last = closes[then]
+                inner = text[live[then][2] + 1 : live[last][2]]
+                if mark == "[":
+                    option = inner
+                else:
+                    args.append(inner)
+            elif mark == "{":
+                break
+        _, end, stop, stop_row, stop_edge = live[last]
+        yield at, token[1:], names[token[1:]], row, start - edge, stop_row, stop - stop_edge + len(end), option, args
 
 
 def environments(found: DataFrame) -> DataFrame:

@@ -104,3 +104,13 @@ def test_tokens_are_skipped(spark, seed):
                 at = (line, col)
     got = B.semantic_tokens(spark.createDataFrame(rows, "file int, nth int, line int, col int, stop_line int, stop_col int, type string").repartition(3))
     assert sorted((r.file, r.nth, r.d_line, r.d_col, r.length) for r in got.collect()) == want
+
+
+def test_tokens_are_not_shuffled(spark, monkeypatch):
+    """Commands are found where a source lies: one table is written, of commands."""
+    from lumenkg.operators import braces
+
+    names = []
+    monkeypatch.setattr(braces, "stored", lambda df, name: names.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange"))) or df)
+    assert B.commands(spark.createDataFrame([(1, "\\sr{a}")], "file long, text string")).count() == 1
+    assert names == [("commands", 0)]
