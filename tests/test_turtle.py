@@ -51,3 +51,16 @@ def test_lines_of_others_and_nothing(spark, tmp_path):
     assert got == [("http://a/b", "http://a/b", "http://a/c#d", ""), ("http://a/b", "http://a/b", "x", "de"), ("http://a/b", f"{RDF}type", "c", ""), ("http://other/b", "http://other/b", "http://other/c", "")]
     T.write(spark.createDataFrame([], COLUMNS), f"file://{tmp_path}/none")
     assert T.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_what_is_written_is_derived_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    given = spark.createDataFrame(ROWS, COLUMNS)
+    T.write(given.mapInArrow(seen, given.schema), f"file://{tmp_path}/t")
+    assert read.value == len(ROWS)
