@@ -21,11 +21,11 @@ def pages_of(e):
     section = F.when(F.col("level") < 3, F.concat(F.lit('<section data-kg-section="'), "level", F.lit('" data-kg-id="s'), "ord", F.lit('"></section>'))).otherwise("")
     style = F.when(F.col("part") % 3 == 0, F.lit(' data-kg-styles="none,deep"')).otherwise("")
     one = F.concat(section, F.lit("<div data-kg-"), "kind", style, F.lit(' data-kg-id="e'), "ord", F.lit('">é</div>'))
-    return e.groupBy("doc").agg(F.concat(F.lit(HEAD), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("h")))), lambda x: x["h"]), "")).alias("html"))
+    return e.groupBy("k", "doc").agg(F.concat(F.lit(HEAD), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("h")))), lambda x: x["h"]), "")).alias("html")).drop("k")
 
 
 def _numbers(e):
-    rows = H.rows(H.annotated(H.nodes(H.tags(pages_of(e)))))
+    rows = H.rows(H.marked(pages_of(e)), dealt=True)
     split = F.filter(F.transform(F.split(F.coalesce(F.col("attrs")["styles"], F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
     own = rows.where(F.col("kind").isin(*H.CONTAINERS)).select("doc", F.col("nth").alias("node"), "kind", F.col("attrs")["section"].try_cast("int").alias("level"), split.alias("styles"), F.col("attrs")["id"].alias("id"))
     out = C.numbers(own, C.styles(rows), C.parents(rows))

@@ -34,7 +34,7 @@ def pages_of(e):
 
 
 def _terms(e):
-    return T.terms(H.rows(H.annotated(H.nodes(H.tags(pages_of(e))))))
+    return T.terms(H.rows(H.marked(pages_of(e)), dealt=True))
 
 
 def _written(e):

@@ -28,7 +28,7 @@ def pages_of(e):
 
 
 def _rows(e):
-    return H.rows(H.annotated(H.nodes(H.tags(pages_of(e)))))
+    return H.rows(H.marked(pages_of(e)), dealt=True)
 
 
 def _parts(e):
