@@ -2,12 +2,15 @@
 
 A path is built of objects, so there is nothing to parse: (step("p") / inv("q")).star | step("r").opt. It
 becomes an automaton without empty moves (Glushkov, 1961): a state for each step that is written, and moves
-between steps that may follow each other. The search is semi-naive over (start, node, state).
+between steps that may follow each other. Steps are walked in their order, a join each; those that may be
+repeated are searched semi-naively, as (node of entry, node, state).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -83,45 +86,78 @@ def no(*predicates: str, inverse: bool = False) -> Path:
     return _one(Atom(predicates, inverse, True))
 
 
-@tidy
-def pairs(triples: DataFrame, path: Path, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
-    """src, dst, each pair once, between which the path runs in triples (s, p, o).
+def _stages(path: Path) -> list[tuple[list[int], bool]]:
+    """The steps, those that may follow each other in turn together, each after those that lead to it; with whether they may be walked again."""
+    ahead = {n: {b for a, b in path.follow if a == n} for n in range(len(path.atoms))}
+    for via in ahead:
+        for n in ahead:
+            if via in ahead[n]:
+                ahead[n] |= ahead[via]
+    together = {tuple(sorted({n} | {m for m in ahead[n] if n in ahead[m]})) for n in ahead}
+    return [(list(ns), ns[0] in ahead[ns[0]]) for ns in sorted(together, key=lambda ns: (sum(ns[0] in ahead[m] for m in ahead if m not in ns), ns))]
 
-    starts (src) or ends (dst) are where it begins or ends; with ends alone it is searched from there. Without
-    either it may begin at any subject or object. The empty path joins each of these to itself; a start that
-    is in no triple, too. There are as many rounds as the longest shortest walk has edges.
-    """
-    if starts is None and ends is not None:
-        return pairs(triples, path.inverse, ends.select(F.col("dst").alias("src"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    edges = None
-    for n, atom in enumerate(path.atoms):
-        own = triples.where(F.col("p").isin(*atom.predicates) != F.lit(atom.negate)) if atom.predicates else triples.where(F.lit(atom.negate))
-        a, b = ("o", "s") if atom.inverse else ("s", "o")
-        own = own.select(F.lit(n).alias("state"), F.col(a).alias("node"), F.col(b).alias("next")).dropna().distinct()
-        edges = own if edges is None else edges.unionByName(own)
-    edges = stored(edges, "edges")
-    nodes = triples.select(F.explode(F.array("s", "o")).alias("src")) if starts is None else starts.select("src")
-    nodes = nodes.dropna().distinct()
-    spark = triples.sparkSession
-    moves = F.broadcast(spark.createDataFrame([(-1, n) for n in sorted(path.first)] + sorted(path.follow), "state int, to int"))  # the steps of the path, squared at most
-    last = sorted(path.last)
+
+def _inside(doors: DataFrame, edges: Callable[[int], DataFrame], moves: list[tuple[int, int]]) -> DataFrame:
+    """door, entered, node, state: reached from doors (node, state) over one or more of the moves between steps. As many rounds as the longest shortest walk has edges."""
+    own = stored(reduce(DataFrame.unionByName, [edges(n).withColumn("state", F.lit(n)) for n in sorted({b for _, b in moves})]).distinct(), "edges")
+    to = F.broadcast(doors.sparkSession.createDataFrame(moves, "state int, to int"))  # the steps of the path, squared at most
 
     def moved(found: DataFrame) -> DataFrame:
-        ready = found.join(moves, "state").select("src", "node", F.col("to").alias("state"))
-        return ready.join(edges, ["state", "node"]).select("src", F.col("next").alias("node"), "state").distinct()
+        ready = found.join(to, "state").select("door", "entered", "node", F.col("to").alias("state"))
+        return ready.join(own, ["state", "node"]).select("door", "entered", F.col("next").alias("node"), "state").distinct()
 
-    new = stored(moved(nodes.select("src", F.col("src").alias("node"), F.lit(-1).alias("state"))), "walked")
+    new = stored(moved(doors.select(F.col("node").alias("door"), F.col("state").alias("entered"), "node", "state")), "walked")
     known = new
     for n in count(1):
         if new.isEmpty():
             break
-        new = stored(moved(new).join(known, ["src", "node", "state"], "left_anti"), "walked")
+        new = stored(moved(new).join(known, ["door", "entered", "node", "state"], "left_anti"), "walked")
         known = known.unionByName(new)
         if n % MERGE == 0:
             known = stored(known, "walked")
-    out = known.where(F.col("state").isin(last)).select("src", F.col("node").alias("dst"))
+    return known
+
+
+@tidy
+def pairs(triples: DataFrame, path: Path, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """src, dst, each pair once, between which the path runs in triples (s, p, o), which are read for each step.
+
+    starts (src) or ends (dst) are where it begins or ends; with ends alone it is searched from there. Without
+    either it may begin at any subject or object. The empty path joins each of these to itself; a start that
+    is in no triple, too. Steps that are walked once are a join each. What is repeated is searched in rounds
+    from the nodes where it is entered, each of them once, whatever the number of starts that come to it.
+    """
+    if starts is None and ends is not None:
+        return pairs(triples, path.inverse, ends.select(F.col("dst").alias("src"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if starts is not None:
+        starts = stored(starts.select("src").dropna().distinct(), "starts")
+
+    def edges(n: int) -> DataFrame:
+        atom = path.atoms[n]
+        own = triples.where(F.col("p").isin(*atom.predicates) != F.lit(atom.negate)) if atom.predicates else triples.where(F.lit(atom.negate))
+        a, b = ("o", "s") if atom.inverse else ("s", "o")
+        return own.select(F.col(a).alias("node"), F.col(b).alias("next")).dropna()
+
+    walked: dict[int, DataFrame] = {}
+    for steps, again in _stages(path):
+        came = []
+        for n in steps:
+            if n in path.first:
+                own = edges(n).withColumnsRenamed({"node": "src", "next": "node"})
+                came.append((own if starts is None else own.join(starts, "src", "left_semi")).withColumn("state", F.lit(n)))
+            for m in sorted(m for m, to in path.follow if to == n and m not in steps):
+                came.append(walked[m].join(edges(n), "node").select("src", F.col("next").alias("node"), F.lit(n).alias("state")))
+        found = stored(reduce(DataFrame.unionByName, came).distinct(), "walked")
+        if again:
+            inside = _inside(found.select("node", "state").distinct(), edges, sorted((a, b) for a, b in path.follow if a in steps and b in steps))
+            on = found.withColumnsRenamed({"node": "door", "state": "entered"}).join(inside, ["door", "entered"]).select("src", "node", "state")
+            found = stored(found.unionByName(on).distinct(), "walked")
+        walked |= {n: found.where(F.col("state") == n).select("src", "node") for n in steps}
+    ended = [walked[n].withColumnRenamed("node", "dst") for n in sorted(path.last)]
     if path.empty:
-        out = out.unionByName(nodes.select("src", F.col("src").alias("dst")))
+        nodes = triples.select(F.explode(F.array("s", "o")).alias("src")).dropna().distinct() if starts is None else starts
+        ended.append(nodes.select("src", F.col("src").alias("dst")))
+    out = reduce(DataFrame.unionByName, ended)
     if ends is not None:
         out = out.join(ends.select("dst").distinct(), "dst", "left_semi").select("src", "dst")
     return out.distinct()

@@ -14,7 +14,7 @@ T = "t AS (SELECT DISTINCT s, p, o FROM {quads})"
 
 
 def _of(q, *predicates):
-    return G.kept_triples(q, *predicates)
+    return G.kept_triples(q, *predicates, once=False)
 
 
 Q.add("kg_path_regular", "quads:hasPart,part-of,requires", lambda q: pairs(_of(q, "hasPart", "part-of", "requires"), (step("hasPart") / inv("part-of")).star | step("requires").opt), f"""WITH RECURSIVE {T}, n AS (SELECT s AS x FROM t WHERE p IN ('hasPart', 'part-of', 'requires') UNION SELECT o FROM t WHERE p IN ('hasPart', 'part-of', 'requires')),

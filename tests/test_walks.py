@@ -60,6 +60,26 @@ def test_no_triples(spark):
     assert pairs(spark.createDataFrame([], "s string, p string, o string"), step("p").star).count() == 0
 
 
+def test_repetition_is_searched_once_for_all_starts(spark, monkeypatch):
+    """Many starts that enter a chain at one node: what is stored in rounds is the chain, not the chain for each start."""
+    from lumenkg.operators import paths
+
+    rows, real = [], paths.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "stored", counted)
+    n = 60
+    triples = [(f"a{k}", "p", "c0") for k in range(n)] + [(f"c{k}", "q", f"c{k + 1}") for k in range(12)]
+    found = pairs(spark.createDataFrame(triples, "s string, p string, o string"), step("p") / step("q").star)
+    assert found.count() == n * 13
+    # first arrivals, the chain and where it was entered, and the result: not each round for each start
+    assert len([r for r in rows if r >= n]) == 3
+
+
 def test_doubling_is_the_closure(spark):
     edges = spark.createDataFrame([(f"{seed}{a}", f"{seed}{b}") for seed in range(4) for a, _, b in edges_of(seed, 30, 32)] + [("x0", "x1"), (None, "x1")] + [(f"x{k}", f"x{k + 1}") for k in range(20)], "src string, dst string")
     assert sorted(doubled(edges).collect()) == sorted(closure(edges).collect())
