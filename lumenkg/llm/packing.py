@@ -15,11 +15,13 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ CACHE_WORDS = 100_000
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
-#: Letters with ASCII signs before and after them. An apostrophe before letters is left out: it may belong to them.
-_WORD = re.compile(r"""([(\[{"*#$%&_-]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)""")
+#: Letters below U+0180 that have one small letter each, with ASCII signs before and after them. An apostrophe before letters is left out: it may belong to them.
+_WORD = r"""^(?P<head>[(\[{"*#$%&_-]*)(?P<word>[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"""
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -46,23 +48,30 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of runs of ids, by where they start and their sizes, those with the codes, one after the other."""
+    lengths = sizes[codes]
+    ends = np.cumsum(lengths)
+    return ids[np.repeat(starts[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Tokens:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     Where the tokenizer is known never to join characters across a space or a line feed, the ids of a
-    text are those of its parts between them; parts that were seen before are not tokenised again. Any
-    other tokenizer gets whole texts.
+    text are those of its parts between them; words that were seen before, with whatever signs around them
+    and in whatever case, are not tokenised again. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parted = self._parts_alone(json.loads(Path(path).read_text(encoding="utf-8")))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.signs: dict[str, bytes] = {"": b""}
         self.forget()
 
     @staticmethod
@@ -74,43 +83,60 @@ class Tokens:
     def _whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _signs(self, run: str) -> bytes:
-        ids = self.signs.get(run)
+    def _word(self, word: str) -> bytes:
+        # normalisation leaves such a word as it is, and it is split off from signs
+        raw = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
+        return _bytes([t.id for t in self.model.tokenize(raw)])
+
+    def _kept(self, text: str, own: Callable[[str], bytes]) -> bytes:
+        """Ids of a word, signs or a whole part, as own finds them, remembered."""
+        ids = self.new.get(text)
         if ids is None:
-            ids = self._whole(run)
-            if len(self.signs) < 10_000:
-                self.signs[run] = ids
+            ids = self.old.get(text)
+            if ids is None:
+                ids = own(text)
+            if len(text) < 64:
+                if len(self.new) >= CACHE_WORDS:  # words that are in use come back from the old ones
+                    self.new, self.old = {}, self.new
+                self.new[text] = ids
         return ids
 
-    def _part(self, part: str) -> bytes:
-        if (m := _WORD.fullmatch(part)) and max(m[2]) < "ƀ" and (word := m[2].lower()).isalpha():
-            # normalisation leaves such a word as it is, and it is split off from signs
-            raw = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
-            return self._signs(m[1]) + _bytes([t.id for t in self.tokenizer.model.tokenize(raw)]) + self._signs(m[3])
-        return self._whole(part)
-
     def forget(self) -> None:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after the other, and how many each has."""
+        seen = pc.extract_regex(parts, _WORD)
+        head, word, tail = (pc.fill_null(pc.struct_field(seen, name), "") for name in ("head", "word", "tail"))
+        odd = pc.if_else(pc.is_valid(seen), "", parts)
+        found: list[bytes] = []
+        own = []
+        for column, ids_of in ((head, self._whole), (pc.utf8_lower(word), self._word), (tail, self._whole), (odd, self._whole)):
+            coded = column.dictionary_encode()
+            own.append(coded.indices.to_numpy() + len(found))
+            found += [self._kept(t, ids_of) for t in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter((len(ids) // 4 for ids in found), dtype=np.int64, count=len(found))
+        codes = np.stack(own, axis=1)
+        ids = _taken(np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes, sizes, codes.ravel())
+        return ids, sizes[codes].sum(axis=1)
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: none). Each different part of the texts is taken apart once."""
+        texts = pc.fill_null(texts, "")
         if not self.parted:
-            return self._whole(text)
-        new, out = self.new, []
-        for part in text.replace("\n", " ").split(" "):
-            if not part:
-                continue
-            ids = new.get(part)
-            if ids is None:
-                ids = self.old.get(part)
-                if ids is None:
-                    ids = self._part(part)
-                if len(part) < 64:
-                    new[part] = ids
-            out.append(ids)
-        if len(new) > CACHE_WORDS:  # words that are in use come back from the old ones
-            self.new, self.old = {}, new
-        return b"".join(out)
+            yield from map(self._whole, texts.to_pylist())
+            return
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids, sizes = self._parts(coded.dictionary)
+        starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ends = parts.offsets.to_numpy()
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield _taken(ids, starts, sizes, codes[a:b]).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.of(pa.array([text], pa.string())))
 
 
 @lru_cache(maxsize=1)
@@ -136,8 +162,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         last, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                ids = tokens(t or "") + last
+            for k, ids in enumerate(tokens.of(batch.column(1))):
+                ids += last
                 for n, at in enumerate(range(0, len(ids), width)):
                     cut = ids[at : at + width]
                     rows.append((k, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
