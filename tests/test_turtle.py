@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from lumenkg.sources import triples as N
 from lumenkg.sources import turtle as T
 
 COLUMNS = "g string, s string, s_kind string, p string, o string, o_kind string, o_lang string, o_dtype string"
@@ -64,3 +65,17 @@ def test_what_is_written_is_derived_once(spark, tmp_path):
     given = spark.createDataFrame(ROWS, COLUMNS)
     T.write(given.mapInArrow(seen, given.schema), f"file://{tmp_path}/t")
     assert read.value == len(ROWS)
+
+
+def test_a_line_is_matched_once(spark, tmp_path):
+    """What is made of a line's parts, or asked of them, does not match the line again."""
+    path = f"file://{tmp_path}/t"
+    T.write(spark.createDataFrame(ROWS, COLUMNS), path)
+    plan = T.read(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T._STATEMENT) == 1 and plan.count(N._LINE) == 1
+
+
+def test_quotes_in_literals_and_marks(spark):
+    lines = [(r'<a> <p> "x\"^^<y"^^<t> .',), ('<a> <p> "m\x01n\x01o" .',), ("\x01\x01<a>\x01<p>\x01<o>",), ("\x01<a>\x01<p>\x01<o>",), ("<a>\x01<p>\x01<o>",)]
+    got = sorted((r.s, r.p, r.o, r.o_dtype or "") for r in N.parsed(spark.createDataFrame(lines, "value string")).collect())
+    assert got == [("a", "p", "m\x01n\x01o", ""), ("a", "p", 'x"^^<y', "t")]
