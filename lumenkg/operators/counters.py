@@ -8,11 +8,20 @@ block numbers go on from there. No task has to hold more than a block, or the ma
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import html as H
+
 #: Rows of a block.
 BLOCK = 4096
+# Fixed value: what a cast to a number leaves out at the ends.
+_BLANK = "".join(map(chr, range(33))) + "\x7f"
 
 
 def running(rows: DataFrame, keys: tuple[str, ...], ord: str, adds: Column, resets: Column, name: str = "number", block: int = BLOCK) -> DataFrame:
@@ -89,3 +98,66 @@ def numbers(elements: DataFrame, declared: DataFrame, counters: DataFrame, block
     out = own.join(above, ["doc", "node", "counter"], "left")
     name = F.when(F.col("counter").startswith("\x00"), F.concat(F.lit("section "), F.expr("substring(counter, 2)"))).otherwise(F.col("counter"))
     return out.select("doc", "node", name.alias("counter"), "number", F.concat_ws(".", "above", F.col("number").cast("string")).alias("label"))
+
+
+def page_numbers(pages: DataFrame) -> DataFrame:
+    """numbers() of the elements of annotated pages (doc, html), as one reading of each page finds them, with the id of each: doc, node, id, counter, number, label.
+
+    A task holds what is counted of one page, which is one row; nothing is shuffled.
+    """
+    looked, wanted = H.patterns(), frozenset((*H.CONTAINERS, "style", "counter"))
+    asked, holds = H.asked(wanted), frozenset(H.CONTAINERS)
+
+    def each(doc, page: bytes) -> list[tuple]:
+        rows = []
+        for row in H.rows_in(doc, page, *looked, kinds=wanted, asked=asked):
+            nth, of, key, kind = row[0], dict(row[7]), row[8], row[9]
+            if kind in holds:
+                rows.append((nth, kind, key, _whole(of.get("section")) if kind == "section" else None, of.get("styles"), None, of.get("id")))
+            elif key in ("style", "counter-parent"):
+                rows.append((nth, kind, key, _whole(of.get("counter-parent")), of.get("style"), of.get("counter") or None, None))
+        return _numbered(rows)
+
+    return H.read_pages(pages, "doc", "html", each, "node int, id string, counter string, number int, label string", (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()))
+
+
+def _whole(text: str | None) -> int | None:
+    """The text as Spark casts it to an int; None where it cannot."""
+    text = (text or "").strip(_BLANK)
+    number = int(text) if re.fullmatch("[+-]?[0-9]+", text) else None
+    return number if number is not None and -(2**31) <= number < 2**31 else None
+
+
+def _numbered(rows: Iterable[tuple]) -> list[tuple]:
+    """node, id, counter, number, label of one page's rows (nth, kind, key, level or parent, style or styles, counter, id), see numbers()."""
+    declared, above, elements = {}, {}, []
+    for nth, kind, key, level, styles_, counter, ident in rows:
+        if key == "style":
+            declared[styles_] = counter
+        elif key == "counter-parent":
+            if counter is not None:
+                above[counter] = level
+        else:
+            elements.append((nth, kind, level, styles_, ident))
+    out, levels, counts = [], {}, {}
+    for nth, group in groupby(elements, key=lambda e: e[0]):
+        before, turns = levels, []
+        for n, (_, kind, level, styles_, ident) in enumerate(group):
+            if kind != "section":
+                names = (f"{kind}-{x.strip(' ')}" for x in (styles_ or "").split(",") if x.strip(" "))
+                turns += [(turn, n, declared[name], ident) for turn, name in enumerate((*names, kind)) if name in declared][:1]
+            elif level is not None:
+                number = levels.get(level, 0) + 1
+                label = _label(levels, level - 1, number)
+                levels = {at: c for at, c in levels.items() if at < level} | {level: number}
+                counts = {c: k for c, k in counts.items() if above.get(c) is None or level > above[c]}
+                out.append((nth, ident, f"section {level}", number, label))
+        if turns and (counter := min(turns, key=lambda t: t[:2])[2]) is not None:
+            counts[counter] = number = counts.get(counter, 0) + 1
+            parent = above.get(counter)
+            out.append((nth, turns[0][3], counter, number, _label(before, -1 if parent is None else parent, number)))
+    return out
+
+
+def _label(levels: dict[int, int], down_to: int, number: int) -> str:
+    return ".".join(str(x) for x in (*(levels[at] for at in sorted(levels) if at <= down_to), number))

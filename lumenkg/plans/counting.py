@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import counters as C
-from ..sources import html as H
 from .registry import Queries
 
 Q = Queries()
@@ -24,18 +23,10 @@ def pages_of(e):
     return e.groupBy("k", "doc").agg(F.concat(F.lit(HEAD), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("h")))), lambda x: x["h"]), "")).alias("html")).drop("k")
 
 
-def _numbers(e):
-    rows = H.rows(H.marked(pages_of(e)), dealt=True)
-    split = F.filter(F.transform(F.split(F.coalesce(F.col("attrs")["styles"], F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
-    own = rows.where(F.col("kind").isin(*H.CONTAINERS)).select("doc", F.col("nth").alias("node"), "kind", F.col("attrs")["section"].try_cast("int").alias("level"), split.alias("styles"), F.col("attrs")["id"].alias("id"))
-    out = C.numbers(own, C.styles(rows), C.parents(rows))
-    return out.join(own.select("doc", "node", "id"), ["doc", "node"]).select("doc", "id", "counter", "number", "label")
-
-
 SQL = """WITH x AS (SELECT doc, ord, kind, level, CASE WHEN level < 3 THEN level END AS sec, CASE WHEN kind = 'definition' AND part % 3 = 0 THEN 'deep' WHEN kind IN ('definition', 'example') THEN 'thm' WHEN kind = 'problem' THEN 'ex' END AS c FROM {elements}),
 a AS (SELECT *, count(*) FILTER (WHERE sec = 0) OVER w AS s0, count(*) FILTER (WHERE sec <= 1) OVER w AS upto1 FROM x WINDOW w AS (PARTITION BY doc ORDER BY ord)),
 b AS (SELECT *, count(*) FILTER (WHERE sec = 1) OVER (PARTITION BY doc, s0 ORDER BY ord) AS s1, count(*) FILTER (WHERE sec = 2) OVER (PARTITION BY doc, upto1 ORDER BY ord) AS s2,
 count(*) FILTER (WHERE c = 'thm') OVER (PARTITION BY doc, upto1 ORDER BY ord) AS thm, count(*) FILTER (WHERE c = 'ex') OVER (PARTITION BY doc, s0 ORDER BY ord) AS ex, count(*) FILTER (WHERE c = 'deep') OVER (PARTITION BY doc ORDER BY ord) AS deep FROM a)
 SELECT doc, concat('s', ord) AS id, concat('section ', sec) AS counter, CASE sec WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS number, concat_ws('.', CASE WHEN s0 > 0 THEN CAST(s0 AS STRING) END, CASE WHEN sec >= 1 AND s1 > 0 THEN CAST(s1 AS STRING) END, CASE WHEN sec = 2 THEN CAST(s2 AS STRING) END) AS label FROM b WHERE sec IS NOT NULL
 UNION ALL SELECT doc, concat('e', ord), c, CASE c WHEN 'thm' THEN thm WHEN 'ex' THEN ex ELSE deep END, concat_ws('.', CASE WHEN c <> 'deep' AND s0 > 0 THEN CAST(s0 AS STRING) END, CASE WHEN c = 'thm' AND s1 > 0 THEN CAST(s1 AS STRING) END, CASE c WHEN 'thm' THEN CAST(thm AS STRING) WHEN 'ex' THEN CAST(ex AS STRING) ELSE CAST(deep AS STRING) END) FROM b WHERE c IS NOT NULL"""
-Q.add("doc_declared_counters", "elements", _numbers, SQL)
+Q.add("doc_declared_counters", "elements:dealt", lambda e: C.page_numbers(pages_of(e)).select("doc", "id", "counter", "number", "label"), SQL)
