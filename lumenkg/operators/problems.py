@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ranges import around
+from ..sources import html as H
+from ..sources.ranges import Around, around
 from ..storage import stored
 
 # Kinds whose content is cut out, and those that are cut out with their tags.
@@ -77,6 +78,10 @@ def _flag(c: Column) -> Column:
     return F.when(F.lower(c) == "true", True).when(F.lower(c) == "false", False)
 
 
+_AROUND = {"problem": ("problem", "subproblem"), "inside": ("gradingnote", "multiple", "single", "fillin"), "of": ("answerclass", "choice", "fillincase")}
+_KINDS = {"solution": "solution", "hint": "hint", "gradingnote": "note", "answerclass": "class", "multiple": "block", "single": "block", "choice": "choice", "fillin": "fillin", "fillincase": "case"}
+
+
 def parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, problem (nth), nth, part, html, value: all that problems hold, in their order; value is a struct with what the part's attributes say.
 
@@ -85,8 +90,8 @@ def parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     block or fill-in that a class, choice or case is in. html is the part's text without what is cut out of
     it; of classes, choices and cases it is the feedback within them, of a choice verdict its verdict.
     """
-    own = stored(around(rows, {"problem": ("problem", "subproblem"), "inside": ("gradingnote", "multiple", "single", "fillin"), "of": ("answerclass", "choice", "fillincase")}), "parts")
-    kinds = {"solution": "solution", "hint": "hint", "gradingnote": "note", "answerclass": "class", "multiple": "block", "single": "block", "choice": "choice", "fillin": "fillin", "fillincase": "case"}
+    own = stored(around(rows, _AROUND), "parts")
+    kinds = _KINDS
     a = F.col("attrs")
     found = own.where(F.col("kind").isin(*kinds) & F.col("problem").isNotNull() & F.col("stop").isNotNull()).where("not (key = 'answerclass' and element_at(attrs, 'solution') is not null)")
     none = F.lit(None).cast("string")
@@ -106,6 +111,60 @@ def parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return direct.join(html, ["doc", "nth"], "left").join(side, ["doc", "nth"], "left").select("doc", "problem", "nth", "part", "inside", F.col("text").alias("html"), "feedback", "verdict", "value.*")
 
 
+def page_parts(pages: DataFrame) -> DataFrame:
+    """parts() of annotated pages (doc, html), as one reading of each page finds them, with id, the annotation of the problem, and top, whether it is no subproblem; nothing is shuffled or stored."""
+    looked, asked = H.patterns(), H.asked(_ALL)
+    types = (pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    columns = "problem int, top boolean, id string, nth int, part string, inside int, html string, feedback string, verdict string, name string, value string, flag boolean"
+    return H.read_pages(pages, "doc", "html", lambda doc, page: _parts_in(page, H.rows_in(doc, page, *looked, kinds=_ALL, asked=asked)), columns, types)
+
+
+_OF = [frozenset(k) for k in _AROUND.values()]
+_INNER_TEXTS, _WHOLE_TEXTS = ("solution", "hint", "gradingnote"), ("answerfeedback", "feedback", "verdict")
+_ALL = frozenset([k for kinds in _AROUND.values() for k in kinds] + [*INNER, *WHOLE, *_KINDS, *_INNER_TEXTS, *_WHOLE_TEXTS])
+_TRUTH = {"true": True, "false": False}
+
+
+def _parts_in(page: bytes, rows: list[tuple]) -> list[tuple]:
+    """What page_parts() gives for a page, of its rows."""
+    look, ids, found, holes_, ranges, sides = Around(_OF), {}, {}, {}, {}, []
+    for nth, _, _, start, inner_start, inner_stop, stop, attrs, key, kind, *_ in rows:
+        problem, inside, of = look(None, nth, kind, start, stop)
+        a = dict(attrs)
+        if kind == "problem":
+            ids[nth] = a.get("id")
+        if stop is None:
+            continue
+        span = (inner_start, inner_stop) if kind in _INNER_TEXTS else (start, stop)
+        if (kind in INNER or kind in WHOLE) and span[1] > span[0]:
+            holes_[nth, *span] = None
+        if kind in _INNER_TEXTS or kind in _WHOLE_TEXTS:
+            ranges[nth, *span] = None
+            if of is not None and kind in _WHOLE_TEXTS:
+                sides.append((of, kind, nth))
+        if kind in _KINDS and problem is not None and not (key == "answerclass" and "solution" in a):
+            flag = None
+            if kind == "choice":
+                flag = _TRUTH.get(a.get("problem-choice", "").lower(), False)
+            elif kind == "fillincase":
+                flag = _TRUTH.get(a.get("fillin-case-verdict", "").lower())
+            elif kind in ("multiple", "single"):
+                flag = kind == "multiple"
+            name = next((x for x in (a.get("answerclass") or None, a.get("fillin-case"), a.get("id") or None) if x is not None), None)
+            value = next((a[k] for k in ("answerclass-pts", "fillin-case-value", "fillinsol-width") if k in a), None)
+            found[problem, nth, _KINDS[kind], inside, name, value, flag] = None
+    texts_: dict[int, list[str]] = {}
+    for (nth, *_), text in zip(ranges, _left(page, list(ranges), [h[1:] for h in holes_]) if ranges else ()):
+        texts_.setdefault(nth, []).append(text)
+    feedback: dict[int, tuple[int, str]] = {}
+    verdict: dict[int, tuple[int, str]] = {}
+    for of, kind, nth in sides:
+        into = verdict if kind == "verdict" else feedback
+        into[of] = max(into.get(of, (-1, "")), *((nth, t) for t in texts_[nth]))
+    said = lambda into, nth: into[nth][1] if nth in into else None
+    return [(problem, problem in ids, ids.get(problem), nth, part, inside, text, said(feedback, nth), said(verdict, nth), name, value, flag) for problem, nth, part, inside, name, value, flag in found for text in texts_.get(nth, (None,))]
+
+
 def texts(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, nth, text of problems, without the contents of solutions and notes and without feedback."""
     own = rows.where("kind in ('problem', 'subproblem') and stop is not null").select("doc", "nth", "start", "stop").distinct()

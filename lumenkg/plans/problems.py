@@ -24,7 +24,7 @@ def pages_of(e):
     more = F.when(F.col("ord") % 3 == 0, note).when(F.col("ord") % 3 == 1, case).otherwise(choice)
     one = F.concat(F.lit('<div data-kg-problem="" data-kg-id="p'), ord, F.lit('">é'), ord, F.lit('<p data-kg-problemhint="">hint '), part, F.lit("</p>"), solution, more, F.lit("</div>"))
     own = e.where("kind in ('problem', 'subproblem')")
-    return own.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("h")))), lambda x: x["h"]), "\n").alias("html"))
+    return own.groupBy("k", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("h")))), lambda x: x["h"]), "\n").alias("html")).drop("k")
 
 
 def _rows(e):
@@ -32,9 +32,7 @@ def _rows(e):
 
 
 def _parts(e):
-    rows = _rows(e)
-    ids = rows.where("kind = 'problem'").select("doc", F.col("nth").alias("problem"), F.col("attrs")["id"].alias("id"))
-    return P.parts(rows, pages_of(e)).join(ids, ["doc", "problem"]).groupBy("doc", "id", "part", "name", "value", "flag", "html", "feedback", "verdict").agg(F.count("*").alias("n"))
+    return P.page_parts(pages_of(e)).where("top").groupBy("doc", "id", "part", "name", "value", "flag", "html", "feedback", "verdict").agg(F.count("*").alias("n"))
 
 
 def _texts(e):
@@ -45,7 +43,7 @@ def _texts(e):
 
 _X = "x AS (SELECT doc, ord, concat('p', ord) AS id, part, level FROM {elements} WHERE kind IN ('problem', 'subproblem'))"
 _N = "CAST(NULL AS STRING)"
-Q.add("extract_problem_parts", "elements", _parts, f"""WITH {_X}
+Q.add("extract_problem_parts", "elements:dealt", _parts, f"""WITH {_X}
 SELECT doc, id, 'hint' AS part, {_N} AS name, {_N} AS value, CAST(NULL AS BOOLEAN) AS flag, concat('hint ', part) AS html, {_N} AS feedback, {_N} AS verdict, 1 AS n FROM x
 UNION ALL SELECT doc, id, 'solution', concat('c', level), NULL, NULL, concat('Lösung ', part, '<div data-kg-problemgnote=""></div>!'), NULL, NULL, 1 FROM x
 UNION ALL SELECT doc, id, 'note', NULL, NULL, NULL, concat('inner ', ord), NULL, NULL, 1 FROM x
