@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,17 +47,22 @@ def _folded(nodes: DataFrame, make: Callable[[Column], Column], keys: tuple[str,
     return nodes.withColumn("value", make(nothing)) if out is None else out
 
 
-def opened(tree: DataFrame, roots: DataFrame) -> DataFrame:
+def opened(tree: DataFrame, roots: DataFrame, ends: tuple[str, ...] = ()) -> DataFrame:
     """The nodes of roots (root) with those of the documents that they take in: root, node (key), parent, ord, depth and the other columns of tree.
 
     tree: doc, path (array of places), kind, target (the document that an inputref takes in, else null) and
     others. A document within itself is not opened again; ``missing`` is true where a target has no nodes.
     Which documents a root opens, and where, is found from inputrefs alone; nodes are joined to that once.
+    ends: kinds below which nothing is looked at: what a document has there is left out before it is opened.
     """
     tree = tree.withColumn("key", F.transform("path", lambda p: F.lpad(p.cast("string"), PLACE_DIGITS, "0"))).drop("path")
     docs = tree.select(F.col("doc").alias("target")).distinct().withColumn("__known", F.lit(True))
     # a target that is null is not dealt by: most nodes have none
     entries = tree.where("target is null").withColumn("missing", F.lit(False)).unionByName(tree.where("target is not null").join(docs, "target", "left").withColumn("missing", F.col("__known").isNull()).drop("__known"))
+    if ends:  # in the order of keys a node's subtree is one run, so a node lies in one iff the farthest end before it is behind it
+        end = F.when(F.col("kind").isin(*ends), F.struct(F.concat("key", F.array(F.lit("~"))).alias("end"), "key"))
+        entries = entries.withColumn("__end", F.max(end).over(Window.partitionBy("doc").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)))
+        entries = entries.where("__end is null or __end.end < key or __end.key = key").drop("__end")
     found = _visits(tree, roots).join(entries, "doc").withColumn("key", F.concat("above", "key"))
     text = lambda k: F.array_join(k, ".")
     up = F.slice("key", F.lit(1), F.size("key") - 1)
@@ -171,6 +176,12 @@ def _folded_quizzes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in row], names=["root", "quiz", "error"])
 
 
+def needed(tree: DataFrame) -> DataFrame:
+    """tree or forest without the titles, texts, names and solutions that quizzes() has no use for at a node's kind."""
+    of = {"title": ("section",), "html": ("paragraph", "problem"), "uri": ("problem",), "solution": ("problem",)}
+    return tree.withColumns({c: F.when(F.col("kind").isin(*kinds), F.col(c)) for c, kinds in of.items()})
+
+
 def quizzes(forest: DataFrame) -> DataFrame:
     """root, quiz (JSON of elements and solutions) and error, of opened() nodes with title, html, uri and solution.
 
@@ -182,11 +193,18 @@ def quizzes(forest: DataFrame) -> DataFrame:
     text = lambda c: F.to_json(F.array(F.coalesce(c, F.lit(""))))
     quoted = lambda c: F.substr(text(c), F.lit(2), F.length(text(c)) - 2)
     shown = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), c)
-    own = forest.select(
-        "root", "node", "parent", "kind", shown(F.when(F.col("title").isNotNull(), quoted(F.col("title"))), "section").alias("title"), shown(quoted(F.col("html")), "paragraph", "problem").alias("html"), shown(quoted(F.col("uri")), "problem").alias("uri"),
-        shown(F.col("uri"), "problem").alias("name"), shown(quoted(F.col("solution")), "problem").alias("solution"), F.col("solution").isNotNull().alias("solved"), F.when(F.col("missing"), F.col("target")).alias("target"), "missing",
+    # dealt as it is, without what a kind has no use for; quotes, and what node and uri say once more, come after that
+    last = F.substring_index("node", ".", -1)
+    over = F.when(F.contains("node", F.lit(".")), F.substr("node", F.lit(1), F.length("node") - F.length(last) - 1))
+    odd = F.when(~F.col("parent").eqNullSafe(over), F.coalesce("parent", F.lit("")))
+    own = needed(forest).where("root is not null").select(
+        "root", "node", odd.alias("odd"), "kind", "title", "html", F.col("uri").alias("name"), F.col("solution").alias("answer"), F.when(F.col("missing"), F.col("target")).alias("target"), F.nullif("missing", F.lit(False)).alias("missing"),
+    ).repartition("root").sortWithinPartitions("root", "node")
+    own = own.select(
+        "root", "node", F.when(F.col("odd").isNull(), over).otherwise(F.nullif("odd", F.lit(""))).alias("parent"), "kind", F.when(F.col("title").isNotNull(), quoted(F.col("title"))).alias("title"), shown(quoted(F.col("html")), "paragraph", "problem").alias("html"), shown(quoted(F.col("name")), "problem").alias("uri"),
+        "name", shown(quoted(F.col("answer")), "problem").alias("solution"), F.col("answer").isNotNull().alias("solved"), "target", F.coalesce("missing", F.lit(False)).alias("missing"),
     )
-    return own.where("root is not null").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_folded_quizzes, "root string, quiz string, error string")
+    return own.mapInArrow(_folded_quizzes, "root string, quiz string, error string")
 
 
 def structures(nodes: DataFrame, *columns: str, tops: bool = False) -> DataFrame:
